@@ -117,7 +117,7 @@ def page_cost(stations: Column, sheets_per_station: float = 4.2, pages_per_sheet
     pages = stations * F.lit(sheets_per_station) * F.lit(pages_per_sheet)
     return F.struct(
         F.round(pages, 0).cast("long").alias("pages"),
-        F.round(pages * F.lit(usd_per_1000) / 1000.0, 2).alias("usd"),
+        (F.floor(pages * F.lit(usd_per_1000) / 1000.0 * 100 + 0.5) / 100).alias("usd"),
     )
 
 

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import audit_queries  # noqa: F401
+from . import audit_queries, list_queries, source_queries  # noqa: F401
 from .catalog import ORACLE, QUERIES  # noqa: F401

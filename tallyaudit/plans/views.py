@@ -57,7 +57,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "v_extract": (["v_sheet"], _extract(31, 37)),
     "v_extract2": (["v_sheet"], _extract(41, 47)),
     "v_timeline": ([], """
-      SELECT user_id AS sheet_id, event_id AS pos, epoch_ms(ts) AS ts_ms,
+      SELECT user_id AS sheet_id, event_id AS pos, epoch_us(ts) // 1000 AS ts_ms,
         CASE event_type WHEN 'view' THEN 'T' WHEN 'click' THEN 'D' WHEN 'purchase' THEN 'C' WHEN 'error' THEN 'O' ELSE 'J' END AS state_code
       FROM events"""),
     "v_times": (["v_timeline"], """
@@ -208,4 +208,6 @@ def with_views(sql: str, *names: str) -> str:
         visit(n)
     if not order:
         return sql
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order) + "\n" + sql
+    own = sql.lstrip()
+    link = ",\n" + own[4:].lstrip() if own.startswith("WITH ") else "\n" + sql
+    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order) + link
