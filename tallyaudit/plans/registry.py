@@ -1,4 +1,6 @@
 """All registered queries."""
 
-from . import audit_queries, list_queries, source_queries  # noqa: F401
+from . import (  # noqa: F401
+    audit_queries, compare_queries, forensic_queries, list_queries, source_queries, stream_queries, text_queries,
+)
 from .catalog import ORACLE, QUERIES  # noqa: F401
