@@ -94,40 +94,58 @@ def compose_plain(wide: DataFrame) -> DataFrame:
 def apply_templates(wide: DataFrame) -> DataFrame:
     """Remove printed digits in rule order A, G, B, C, D, E, F and compose the value with a note.
 
-    Templates are one narrow row per form and are joined on the form, beside its rows.
+    Templates are one narrow row per form and are joined on the form, beside its rows. The digits of a
+    row travel through the rules as the single element of an array, so every rule reads the state
+    left by the one before it without repeating its expression.
     """
     kinds = ["unit", "col0", "col1", "col2", "triple", "d01", "d12"]
     flat = templates(wide).groupBy("sheet_id").agg(
         *[F.max(F.when(F.col("kind") == k, F.col("pattern"))).alias(f"t_{k}") for k in kinds])
-    df = wide.join(flat, "sheet_id", "left").withColumn("note", F.lit(""))
-    null_int = F.lit(None).cast("int")
-    d0, d1, d2, note = (F.col(c) for c in (*CELLS, "note"))
+    df = wide.join(flat, "sheet_id", "left")
     m0, m1, m2 = F.col("m0"), F.col("m1"), F.col("m2")
 
-    def rule(frame: DataFrame, cond: Column, cleared: tuple[str, ...], text: Column) -> DataFrame:
-        hit = F.coalesce(cond, F.lit(False))
-        return frame.withColumn("_h", hit).withColumns({
-            **{c: F.when(F.col("_h"), null_int).otherwise(F.col(c)) for c in cleared},
-            "note": F.when(F.col("_h"), text).otherwise(F.col("note"))}).drop("_h")
-
     def joined(*cols: Column) -> Column:
         return F.concat_ws("-", *[c.cast("string") for c in cols])
 
-    df = rule(df, d0.isNull() & d1.isNull() & (d2.cast("string") == F.col("t_unit")), ("d2",), F.lit("tpl_D2"))
-    df = rule(df, d0.cast("string") == F.col("t_col0"), ("d0",), F.lit("tpl_col0"))
-    for p, c in ((1, d1), (2, d2)):
-        df = rule(df, c.cast("string") == F.col(f"t_col{p}"), (f"d{p}",), F.when(
-            note != "", F.concat(note, F.lit(f"+tpl_col{p}"))).otherwise(f"tpl_col{p}"))
-    df = rule(df, d0.isNull() & d2.isNull() & d1.isNotNull() & (m1 > FAINT_INK), ("d1",), F.lit("iso_D1"))
-    df = rule(df, d0.isNull() & d1.isNull() & d2.isNotNull() & (F.col("c2") < LOW_CONF) & (m2 > FAINT_INK),
-              ("d2",), F.lit("low_D2"))
-    df = rule(df, d0.isNotNull() & d1.isNotNull() & d2.isNotNull() & (joined(d0, d1, d2) == F.col("t_triple"))
-              & (F.least(m0, m1, m2) > DARK_INK), CELLS, F.lit("tpl_triple"))
-    df = rule(df, d0.isNotNull() & d1.isNotNull() & d2.isNull() & (joined(d0, d1) == F.col("t_d01"))
-              & (F.least(m0, m1) > DARK_INK), ("d0", "d1"), F.lit("tpl_D01"))
-    df = rule(df, d0.isNull() & d1.isNotNull() & d2.isNotNull() & (joined(d1, d2) == F.col("t_d12"))
-              & (F.least(m1, m2) > DARK_INK), ("d1", "d2"), F.lit("tpl_D12"))
-    return df.select("sheet_id", "row_idx", _compose(d0, d1, d2).alias("value"), "note")
+    def rule(cond, cleared: tuple[str, ...], text):
+        """``cond`` and ``text`` see the current state; on a hit the digits clear and the note changes."""
+        def apply(s: Column) -> Column:
+            hit = F.coalesce(cond(s), F.lit(False))
+            digits = [F.when(~hit, s[c]).alias(c) if c in cleared else s[c].alias(c) for c in CELLS]
+            return F.struct(*digits, F.when(hit, text(s)).otherwise(s["note"]).alias("note"))
+
+        return apply
+
+    def says(text: str):
+        return lambda s: F.lit(text)
+
+    def also(text: str):
+        return lambda s: F.when(s["note"] != "", F.concat(s["note"], F.lit("+" + text))).otherwise(text)
+
+    def has(s: Column, pattern: str) -> Column:
+        """Which of the three digits are present, written like ``x.x``."""
+        present = [s[c].isNotNull() if p == "x" else s[c].isNull() for c, p in zip(CELLS, pattern)]
+        return present[0] & present[1] & present[2]
+
+    rules = [
+        rule(lambda s: has(s, "..x") & (s["d2"].cast("string") == F.col("t_unit")), ("d2",), says("tpl_D2")),
+        rule(lambda s: s["d0"].cast("string") == F.col("t_col0"), ("d0",), says("tpl_col0")),
+        rule(lambda s: s["d1"].cast("string") == F.col("t_col1"), ("d1",), also("tpl_col1")),
+        rule(lambda s: s["d2"].cast("string") == F.col("t_col2"), ("d2",), also("tpl_col2")),
+        rule(lambda s: has(s, ".x.") & (m1 > FAINT_INK), ("d1",), says("iso_D1")),
+        rule(lambda s: has(s, "..x") & (F.col("c2") < LOW_CONF) & (m2 > FAINT_INK), ("d2",), says("low_D2")),
+        rule(lambda s: has(s, "xxx") & (joined(s["d0"], s["d1"], s["d2"]) == F.col("t_triple"))
+             & (F.least(m0, m1, m2) > DARK_INK), CELLS, says("tpl_triple")),
+        rule(lambda s: has(s, "xx.") & (joined(s["d0"], s["d1"]) == F.col("t_d01")) & (F.least(m0, m1) > DARK_INK),
+             ("d0", "d1"), says("tpl_D01")),
+        rule(lambda s: has(s, ".xx") & (joined(s["d1"], s["d2"]) == F.col("t_d12")) & (F.least(m1, m2) > DARK_INK),
+             ("d1", "d2"), says("tpl_D12")),
+    ]
+    state = F.array(F.struct(*CELLS, F.lit("").alias("note")))
+    for r in rules:
+        state = F.transform(state, r)
+    return df.select("sheet_id", "row_idx", F.inline(state)).select(
+        "sheet_id", "row_idx", _compose(*[F.col(c) for c in CELLS]).alias("value"), "note")
 
 
 def drop_dominant(values: DataFrame) -> DataFrame:
