@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -64,16 +65,29 @@ def ballot_array(parties: list[tuple[int, str]], min_len: int) -> Column:
     ])
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``use`` as a variable."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def best_ballot_row(name: Column, row: Column, parties: list[tuple[int, str]],
                     min_score: float = 0.3) -> Column:
     """Official name by row number, else by word overlap, else the name as read."""
-    ballot = ballot_array(parties, 3)
-    by_row = F.filter(ballot, lambda p: p["row"] == row)
-    mine = words(F.upper(name), 3)
-    scored = F.transform(ballot, lambda p: F.struct(
-        jaccard(mine, p["words"]).alias("score"), (-p["row"]).alias("rank"), p["name"].alias("name")))
+    official = F.create_map(*[F.lit(x) for r, p in parties if p for x in (r, p)])
+    scored = let(words(F.upper(name), 3), lambda mine: F.transform(ballot_array(parties, 3), lambda p: F.struct(
+        jaccard(mine, p["words"]).alias("score"), (-p["row"]).alias("rank"), p["name"].alias("name"))))
     best = F.array_max(F.filter(scored, lambda s: s["score"] > min_score))
-    return F.coalesce(F.get(by_row, F.lit(0))["name"], best["name"], name)
+    return F.coalesce(F.try_element_at(official, row), best["name"], name)
+
+
+def keyword_hits(parties: list[tuple[int, str]], line: Column) -> Column:
+    """All parties, in ballot order, whose long words occur in the line (see ``keyword_match``)."""
+    def hit(party: str) -> Column:
+        ws = [w for w in party.split() if len(w) >= 4]
+        found = sum((line.contains(w).cast("int") for w in ws), F.lit(0))
+        return F.when(found >= max(1, len(ws) // 2), party)
+
+    return F.array_compact(F.array(*[hit(p) for _, p in parties if any(len(w) >= 4 for w in p.split())]))
 
 
 def keyword_match(party: Column, line: Column) -> Column:
@@ -83,9 +97,14 @@ def keyword_match(party: Column, line: Column) -> Column:
     return (F.size(ws) > 0) & (hits >= F.greatest(F.lit(1), F.floor(F.size(ws) / 2)))
 
 
-def edit_similarity(a: Column, b: Column) -> Column:
+def edit_similarity(a: Column, b: Column, above: float | None = None) -> Column:
+    """1 - edit distance / longer length. With ``above``, pairs whose lengths alone rule out a score
+    beyond it are not measured and score 0."""
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest > 0, 1.0 - F.levenshtein(a, b) / longest).otherwise(0.0)
+    score = F.when(longest > 0, 1.0 - F.levenshtein(a, b) / longest).otherwise(0.0)
+    if above is None:
+        return score
+    return F.when(F.least(F.length(a), F.length(b)) > longest * above, score).otherwise(0.0)
 
 
 @F.pandas_udf(DoubleType())
@@ -102,6 +121,6 @@ def length_bound(a: Column, b: Column) -> Column:
 def best_edit_match(name: Column, parties: list[tuple[int, str]], min_score: float = 0.55) -> Column:
     """Official name with the highest edit similarity above the threshold."""
     scored = F.transform(ballot_array(parties, 3), lambda p: F.struct(
-        edit_similarity(p["name"], name).alias("score"), (-p["row"]).alias("rank"),
+        edit_similarity(p["name"], name, min_score).alias("score"), (-p["row"]).alias("rank"),
         p["name"].alias("name")))
     return F.array_max(F.filter(scored, lambda s: s["score"] > min_score))["name"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lines import line_kind
 from ..functions.names import norm_name, words
-from ..session import bounded
+from ..session import cut_lineage
 
 # Compared totals and the rows a reader's vote map may carry besides parties.
 TOTALS = [("Electores Hábiles", "eligible", "electors"), ("Total Votantes", "emitted", "voters"),
@@ -74,7 +74,7 @@ def reader_parties(reader: DataFrame, compat: bool = False) -> DataFrame:
 def _spelling_map(official: DataFrame, reader: DataFrame) -> DataFrame:
     pairs = name_pairs(official.select(F.col("party").alias("name")).distinct(),
                        reader.select(F.col("reader_name").alias("name")).distinct())
-    return bounded(pairs.select(F.col("a").alias("party"), F.col("b").alias("reader_name")))
+    return cut_lineage(pairs.select(F.col("a").alias("party"), F.col("b").alias("reader_name")))
 
 
 def _first_match(official: DataFrame, reader: DataFrame) -> DataFrame:

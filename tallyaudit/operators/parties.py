@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lines import line_kind
 from ..functions.values import strip
-from ..session import bounded
+from ..session import cut_lineage
 
 
 def party_totals(lines: DataFrame, top: int | None = None) -> DataFrame:
@@ -56,11 +56,11 @@ def party_outliers(sheets: DataFrame, lines: DataFrame, z_min: float = 2.5, z_hi
     """Sheets where a party's share is far from that party's contest-wide distribution.
 
     Mean and deviation come from a grouped aggregate, never from a window: a (contest, party) group
-    spans every station. The statistics are materialised once and broadcast only below a measured
-    size, so the detail side is normally not shuffled a second time.
+    spans every station. The statistics are written once, so the join sees their real size: small ones
+    are broadcast and the detail side is not shuffled again, large ones join by shuffle.
     """
     shares = party_shares(sheets, lines)
-    stats = bounded(shares.groupBy("contest_id", "code").agg(
+    stats = cut_lineage(shares.groupBy("contest_id", "code").agg(
         F.avg("share").alias("mean"), F.stddev_samp("share").alias("std"), F.count("*").alias("n")
     ).where((F.col("n") >= min_n) & (F.col("std") >= min_std)))
     z = F.abs(F.col("share") - F.col("mean")) / F.col("std")

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import (best_ballot_row, block_similarity, edit_similarity, keyword_match,
-                               length_bound, strip_marks)
+from ..functions.names import (best_ballot_row, block_similarity, edit_similarity, keyword_hits, length_bound, let,
+                               strip_marks)
 from ..functions.text import is_scanned
 from ..functions.values import strip
+from ..session import cut_lineage
 from ..sources.dims import BALLOT
 
 # Field patterns, primary and alternate, case-insensitive.
@@ -100,18 +101,21 @@ def _empty() -> Column:
     return F.create_map().cast(NO_VOTES)
 
 
-def _put(votes: Column, name: Column, value: Column, when: Column) -> Column:
-    """Add an entry unless the name is already present."""
-    fresh = F.coalesce(when, F.lit(False)) & ~F.map_contains_key(votes, F.coalesce(name, F.lit("")))
+def _put(votes: Column, name: Column, value: Column) -> Column:
+    """Add an entry unless its name is NULL or already present."""
+    fresh = name.isNotNull() & ~F.coalesce(F.map_contains_key(votes, name), F.lit(False))
     return F.when(fresh, F.map_concat(votes, F.create_map(F.coalesce(name, F.lit("")), value)).cast(NO_VOTES)).otherwise(votes)
 
 
-def _row_votes(line: Column, pattern: str) -> tuple[Column, Column, Column]:
-    """Ballot name, votes and validity of a ``row name votes`` line."""
-    row = F.regexp_extract(line, pattern, 1).try_cast("int")
-    votes = F.regexp_extract(line, pattern, 3).try_cast("int")
-    name = best_ballot_row(strip(F.regexp_extract(line, pattern, 2)), row, BALLOT)
-    return name, votes, row.between(1, MAX_ROW) & (votes <= MAX_VOTES)
+def _row_entry(line: Column, pattern: str) -> Column:
+    """(name, votes) of a ``row name votes`` line; the name is NULL when the line is no such row."""
+    parts = F.struct(
+        F.regexp_extract(line, pattern, 1).try_cast("int").alias("row"),
+        strip(F.regexp_extract(line, pattern, 2)).alias("name"),
+        F.regexp_extract(line, pattern, 3).try_cast("int").alias("votes"))
+    return let(parts, lambda p: F.struct(
+        F.when(p["row"].between(1, MAX_ROW) & (p["votes"] <= MAX_VOTES), best_ballot_row(p["name"], p["row"], BALLOT))
+        .alias("name"), p["votes"].alias("votes")))
 
 
 def _matching(lines: Column, pattern: str) -> Column:
@@ -119,32 +123,37 @@ def _matching(lines: Column, pattern: str) -> Column:
     return F.filter(F.transform(lines, strip), lambda x: x.rlike(pattern))
 
 
-def fold_table(body: Column, start: Column, pattern: str = TABLE_ROW) -> Column:
-    def step(acc: Column, line: Column) -> Column:
-        name, votes, ok = _row_votes(line, pattern)
-        return _put(acc, name, votes, ok)
+def _or_none(rows: Column, kind: str) -> Column:
+    return F.coalesce(rows, F.array().cast(kind))
 
-    rows = F.coalesce(_matching(lines_of(body), pattern), F.array().cast("array<string>"))
-    return F.aggregate(rows, start, step)
+
+def fold_table(body: Column, start: Column, pattern: str = TABLE_ROW) -> Column:
+    entries = F.transform(_matching(lines_of(body), pattern), lambda x: _row_entry(x, pattern))
+    return F.aggregate(_or_none(entries, "array<struct<name:string,votes:int>>"), start,
+                       lambda acc, e: _put(acc, e["name"], e["votes"]))
 
 
 def fold_fulltext(body: Column, start: Column) -> Column:
     """Numbered rows plus lines that contain a party's words and end in a number.
 
-    The scan is sequential by definition: a party already found no longer matches later lines.
+    The scan is sequential by definition: a party already found no longer matches later lines. All
+    text work happens per line beforehand; the fold only looks names up.
     """
-    def step(acc: Column, line: Column) -> Column:
-        name, votes, ok = _row_votes(line, FULLTEXT_ROW)
-        acc = _put(acc, name, votes, ok)
-        upper = F.upper(line)
-        tail = F.regexp_extract(line, r"(\d{1,3})\s*$", 1).try_cast("int")
-        ballot = F.array(*[F.lit(p) for _, p in BALLOT if p])
-        open_hits = F.filter(ballot, lambda p: ~F.map_contains_key(acc, p) & keyword_match(p, upper))
-        hit = F.get(open_hits, F.lit(0))
-        return _put(acc, hit, tail, hit.isNotNull() & (tail <= MAX_VOTES))
+    def facts(line: Column) -> Column:
+        row = _row_entry(line, FULLTEXT_ROW)
+        return F.struct(row["name"].alias("name"), row["votes"].alias("votes"),
+                        F.regexp_extract(line, r"(\d{1,3})\s*$", 1).try_cast("int").alias("tail"),
+                        let(F.upper(line), lambda u: keyword_hits(BALLOT, u)).alias("hits"))
+
+    def step(acc: Column, e: Column) -> Column:
+        def second(votes: Column) -> Column:
+            hit = F.get(F.filter(e["hits"], lambda h: ~F.map_contains_key(votes, h)), F.lit(0))
+            return let(F.when(e["tail"] <= MAX_VOTES, hit), lambda h: _put(votes, h, e["tail"]))
+
+        return let(_put(acc, e["name"], e["votes"]), second)
 
-    rows = F.filter(F.transform(lines_of(body), strip), lambda x: x.rlike(r"\d$"))
-    return F.aggregate(F.coalesce(rows, F.array().cast("array<string>")), start, step)
+    rows = F.transform(_matching(lines_of(body), r"\d$"), facts)
+    return F.aggregate(_or_none(rows, "array<struct<name:string,votes:int,tail:int,hits:array<string>>>"), start, step)
 
 
 def fold_totals(text: Column, start: Column) -> Column:
@@ -162,11 +171,11 @@ def fold_totals(text: Column, start: Column) -> Column:
             .when(open_label("VOTOS IMPUGNADOS", upper.contains("IMPUGNAD")), "VOTOS IMPUGNADOS")
             .when(open_label("TOTAL EMITIDOS", upper.contains("EMITID") | upper.contains("TOTAL DE VOTOS")),
                   "TOTAL EMITIDOS"))
-        return _put(acc, label, tail, label.isNotNull() & (tail <= MAX_VOTES))
+        return let(F.when(tail <= MAX_VOTES, label), lambda name: _put(acc, name, tail))
 
     rows = F.filter(F.transform(lines_of(text), strip),
                     lambda x: x.rlike(r"\d$") & F.upper(x).rlike("BLANCO|NULO|IMPUGNAD|EMITID|TOTAL DE VOTOS"))
-    return F.aggregate(F.coalesce(rows, F.array().cast("array<string>")), start, step)
+    return F.aggregate(_or_none(rows, "array<string>"), start, step)
 
 
 def digit_values(body: Column) -> Column:
@@ -284,24 +293,24 @@ def _party_candidates(text: Column) -> Column:
 def party_next_line_votes(docs: DataFrame, metric: str = "edit", min_score: float = 0.55) -> DataFrame:
     """Each ballot party's most similar line, and the number printed below it.
 
-    ``edit`` stays in the JVM. ``blocks`` uses the matching-block ratio: only pairs whose length bound
-    can still win are scored, in Arrow batches, and the winner is a grouped ``max_by``.
+    ``edit`` stays in the JVM. ``blocks`` uses the matching-block ratio: each distinct line is scored
+    once, in Arrow batches, against the parties its length still allows, and only pairs above the
+    threshold return to the documents.
     """
     base = docs.select("doc_id", _party_candidates(F.col("text")).alias("lines")).where(F.size("lines") > 0)
     if metric == "edit":
         ballot = F.array(*[F.lit(p) for _, p in BALLOT if p])
         best = F.transform(ballot, lambda p: F.struct(p.alias("party"), F.array_max(F.transform("lines", lambda x: F.struct(
-            edit_similarity(p, x["line"]).alias("score"), (-x["pos"]).alias("rank"), x["next"].alias("next")))).alias("b")))
+            edit_similarity(p, x["line"], min_score).alias("score"), (-x["pos"]).alias("rank"), x["next"].alias("next")))).alias("b")))
         rows = base.select("doc_id", F.explode(best).alias("r")).select(
             "doc_id", "r.party", F.col("r.b.score").alias("score"), F.col("r.b.next").alias("votes"))
     else:
-        parties = F.array(*[F.lit(p) for _, p in BALLOT if p])
-        scored = base.select("doc_id", F.explode("lines").alias("x")).select(
-            "doc_id", "x.*", F.explode(parties).alias("party")).where(
-            length_bound(F.col("party"), F.col("line")) > min_score
-        ).withColumn("score", block_similarity("party", "line"))
-        rows = scored.groupBy("doc_id", "party").agg(F.max_by(
-            F.struct("score", F.col("next").alias("votes")), F.struct("score", (-F.col("pos")).alias("rank"))).alias("b")
+        lines = base.select("doc_id", F.explode("lines").alias("x")).select("doc_id", "x.*")
+        pairs = lines.select("line").distinct().select(
+            "line", F.explode(F.array(*[F.lit(p) for _, p in BALLOT if p])).alias("party")).where(
+            length_bound(F.col("party"), F.col("line")) > min_score).withColumn("score", block_similarity("party", "line"))
+        rows = lines.join(cut_lineage(pairs.where(F.col("score") > min_score)), "line").groupBy("doc_id", "party").agg(
+            F.max_by(F.struct("score", F.col("next").alias("votes")), F.struct("score", (-F.col("pos")).alias("rank"))).alias("b")
         ).select("doc_id", "party", "b.score", "b.votes")
     return rows.where((F.col("score") > min_score) & F.col("votes").isNotNull()).select("doc_id", "party", "votes")
 

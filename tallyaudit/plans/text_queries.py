@@ -107,7 +107,7 @@ def t09(spark, sf):
 _PAIRED = """
 SELECT doc_id, party, CAST(next AS INT) AS votes FROM (
   SELECT d.sheet_id AS doc_id, p.name AS party, d.votes AS next, 1.0 - levenshtein(p.name, d.line) * 1.0 / greatest(length(p.name), length(d.line)) AS s
-  FROM (SELECT sheet_id, code AS pos, name AS line, votes FROM v_line JOIN ballot b ON b.row = code WHERE kind = 'party' AND sheet_id % 4 = 0
+  FROM (SELECT sheet_id, code AS pos, b.name AS line, votes FROM v_line JOIN ballot b ON b.row = code WHERE kind = 'party' AND sheet_id % 4 = 0
         UNION ALL SELECT sheet_id, 100, 'CIUDADANOS QUE VOTARON', emitted FROM v_sheet WHERE sheet_id % 4 = 0) d, ballot p WHERE p.real
   QUALIFY row_number() OVER (PARTITION BY d.sheet_id, p.name ORDER BY s DESC, d.pos) = 1) WHERE s > 0.55"""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,18 +43,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on shared storage so a lost executor does not replay its history."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
-
-def bounded(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Materialise a summary table once and broadcast it only if its measured size allows.
-
-    Above ``max_rows`` the table comes back unhinted and joins by shuffle, where adaptive execution
-    splits skewed partitions.
+    It is computed once, survives lost executors, and carries its real size, so the optimizer
+    chooses between a broadcast and a shuffled join from a measured number.
     """
-    from pyspark.sql import functions as F
-
-    kept = cut_lineage(df)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

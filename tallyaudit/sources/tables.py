@@ -253,7 +253,7 @@ def v_text(spark: SparkSession, sf: str) -> DataFrame:
         return f"concat_ws('\\n', {parts}, concat('TOTAL DE VOTOS EMITIDOS', '{sep}', emitted))"
 
     tail = "concat('FIRMA DEL PRESIDENTE D.N.I. ', lpad(CAST(sheet_id AS STRING), 8, '0'), ' HORA: 16:', lpad(CAST(sheet_id % 60 AS STRING), 2, '0'))"
-    pairs = f"""concat_ws('\\n', 'ACTA ELECTORAL', concat('MESA DE SUFRAGIO N° ', station),
+    pairs = f"""concat_ws('\\n', 'ACTA ELECTORAL', concat('MESA N° ', station),
         concat('TOTAL ELECTORES HABILES: ', eligible),
         array_join(transform(rows, k -> concat(names[k], '\\n', v[k])), '\\n'), {totals(chr(92) + 'n')},
         concat('CIUDADANOS QUE VOTARON', '\\n', emitted), {tail})"""
