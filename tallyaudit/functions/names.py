@@ -26,10 +26,11 @@ _MULTI = {chr(c): _ascii(chr(c)) for c in (*range(0xA0, 0x250), 0x2026, 0x2116,
 
 def strip_marks(c: Column) -> Column:
     """Latin letters without diacritics; anything else outside ASCII is dropped."""
+    plain = c
     for src, dst in _MULTI.items():
-        c = F.replace(c, F.lit(src), F.lit(dst))
-    c = F.translate(c, "".join(_SINGLE), "".join(_SINGLE.values()))
-    return F.regexp_replace(c, r"[^\x00-\x7F]", "")
+        plain = F.replace(plain, F.lit(src), F.lit(dst))
+    plain = F.translate(plain, "".join(_SINGLE), "".join(_SINGLE.values()))
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.regexp_replace(plain, r"[^\x00-\x7F]", ""))
 
 
 def norm_name(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Ink and confidence limits, minimum counts and shares.
@@ -149,16 +149,19 @@ def apply_templates(wide: DataFrame) -> DataFrame:
 
 
 def drop_dominant(values: DataFrame) -> DataFrame:
-    """With six or more positive values, one shared by half of them is a leftover print."""
-    positive = values.where(F.col("value") > 0)
-    counts = positive.groupBy("sheet_id", "value").agg(F.count("*").alias("n"), F.min("row_idx").alias("first_row"))
-    top = counts.groupBy("sheet_id").agg(
-        F.sum("n").alias("total"),
-        F.max_by(F.struct("value", "n"), F.struct("n", (-F.col("first_row")).alias("r"))).alias("t")
-    ).where((F.col("total") >= MIN_VALUES) & (F.col("t.n") >= F.col("total") * DOMINANCE)).select(
-        "sheet_id", F.col("t.value").alias("dominant"))
-    j = values.join(top, "sheet_id", "left")
-    hit = F.coalesce(F.col("value") == F.col("dominant"), F.lit(False))
-    return j.select("sheet_id", "row_idx", F.when(~hit, F.col("value")).alias("value"),
-                    F.when(hit, F.concat_ws(" ", F.nullif(F.col("note"), F.lit("")), F.lit("sanity_dup")))
-                    .otherwise(F.col("note")).alias("note"))
+    """With six or more positive values, one shared by half of them is a leftover print.
+
+    A form has at most as many rows as the ballot, so its windows are small; all share one shuffle.
+    """
+    form, same = Window.partitionBy("sheet_id"), Window.partitionBy("sheet_id", "value")
+    positive = F.col("value") > 0
+    counted = values.withColumns({
+        "_n": F.count(F.when(positive, 1)).over(same), "_first": F.min("row_idx").over(same),
+        "_total": F.count(F.when(positive, 1)).over(form)})
+    top = counted.withColumn("_top", F.max(F.when(positive, F.struct(
+        F.col("_n"), (-F.col("_first")).alias("r"), F.col("value")))).over(form))
+    hit = F.coalesce((F.col("_total") >= MIN_VALUES) & (F.col("_top._n") >= F.col("_total") * DOMINANCE)
+                     & (F.col("value") == F.col("_top.value")), F.lit(False))
+    return top.select("sheet_id", "row_idx", F.when(~hit, F.col("value")).alias("value"),
+                      F.when(hit, F.concat_ws(" ", F.nullif(F.col("note"), F.lit("")), F.lit("sanity_dup")))
+                      .otherwise(F.col("note")).alias("note"))

@@ -71,15 +71,21 @@ def reader_parties(reader: DataFrame, compat: bool = False) -> DataFrame:
         F.max_by("votes", "p").alias("votes"), F.min("p").alias("pos"))
 
 
-def _spelling_map(official: DataFrame, reader: DataFrame) -> DataFrame:
-    pairs = name_pairs(official.select(F.col("party").alias("name")).distinct(),
-                       reader.select(F.col("reader_name").alias("name")).distinct())
+def _spellings(lines: DataFrame) -> DataFrame:
+    """Distinct normalised names, written once. Raw spellings are deduplicated before any text work."""
+    raw = lines.select("name").distinct()
+    return cut_lineage(raw.select(norm_name(F.col("name")).alias("name")).distinct())
+
+
+def spelling_map(lines: DataFrame, reader: DataFrame) -> DataFrame:
+    """(party, reader_name) of every pair of spellings that match; its measured size decides the join."""
+    pairs = name_pairs(_spellings(lines), _spellings(reader))
     return cut_lineage(pairs.select(F.col("a").alias("party"), F.col("b").alias("reader_name")))
 
 
-def _first_match(official: DataFrame, reader: DataFrame) -> DataFrame:
+def _first_match(spellings: DataFrame, reader: DataFrame) -> DataFrame:
     """(sheet, party) with the first reader row whose name matches."""
-    candidates = reader.join(_spelling_map(official, reader), "reader_name")
+    candidates = reader.join(spellings, "reader_name")
     return candidates.groupBy("sheet_id", "party").agg(
         F.min_by(F.struct("reader_name", "votes"), "pos").alias("m")
     ).select("sheet_id", "party", F.col("m.reader_name").alias("reader_name"), F.col("m.votes").alias("reader_votes"))
@@ -88,7 +94,7 @@ def _first_match(official: DataFrame, reader: DataFrame) -> DataFrame:
 def compare_parties(lines: DataFrame, reader: DataFrame, compat: bool = False) -> DataFrame:
     """Every official party line with the reader line it matches, if any."""
     off, rd = official_parties(lines), reader_parties(reader, compat)
-    j = off.join(_first_match(off, rd), ["sheet_id", "party"], "left")
+    j = off.join(_first_match(spelling_map(lines, reader), rd), ["sheet_id", "party"], "left")
     return j.select("sheet_id", "party", "reader_name", "votes", "reader_votes",
                     (F.col("votes") - F.col("reader_votes")).alias("diff"),
                     (F.col("votes") == F.col("reader_votes")).alias("equal"))
@@ -136,9 +142,9 @@ def compare_status(sheets: DataFrame, lines: DataFrame, extract: DataFrame, read
 def consensus_lines(lines: DataFrame, local: DataFrame, google: DataFrame) -> DataFrame:
     """Official parties with the votes each reader found."""
     off = official_parties(lines)
-    m1 = _first_match(off, reader_parties(local)).select(
+    m1 = _first_match(spelling_map(lines, local), reader_parties(local)).select(
         "sheet_id", "party", F.col("reader_name").alias("local_name"), F.col("reader_votes").alias("local"))
-    m2 = _first_match(off, reader_parties(google)).select(
+    m2 = _first_match(spelling_map(lines, google), reader_parties(google)).select(
         "sheet_id", "party", F.col("reader_name").alias("google_name"), F.col("reader_votes").alias("google"))
     return off.select("sheet_id", "party", F.col("votes").alias("official")).join(
         m1, ["sheet_id", "party"], "left").join(m2, ["sheet_id", "party"], "left")

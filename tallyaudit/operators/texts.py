@@ -197,24 +197,25 @@ def party_rows(body: Column) -> Column:
 
 
 def fold_positional(digits: Column, names: Column) -> Column:
-    """Line i of the digit column belongs to ballot row i."""
+    """Line i of the digit column belongs to ballot row i; a later line replaces an equal name."""
     official = F.create_map(*[F.lit(x) for r, p in BALLOT if p for x in (r, p)])
-    read = F.coalesce(names, F.array().cast("array<struct<row:int,name:string>>"))
+    cells = F.transform(_or_none(digits, "array<int>"), lambda v, i: F.struct((i + 1).alias("row"), v.alias("v")))
+    filled = F.filter(cells, lambda c: F.coalesce(c["v"], F.lit(0)) != 0)
 
-    def entry(v: Column, i: Column) -> Column:
-        row = i + 1
-        seen = F.get(F.filter(read, lambda r: r["row"] == row), F.lit(0))["name"]
-        name = F.coalesce(F.nullif(seen, F.lit("")), F.try_element_at(official, row),
-                          F.concat(F.lit("PARTIDO FILA "), row.cast("string")))
-        return F.struct(F.upper(name).alias("name"), v.alias("v"))
+    def named(read: Column) -> Column:
+        def entry(c: Column) -> Column:
+            seen = F.get(F.filter(read, lambda r: r["row"] == c["row"]), F.lit(0))["name"]
+            name = F.coalesce(F.nullif(seen, F.lit("")), F.try_element_at(official, c["row"]),
+                              F.concat(F.lit("PARTIDO FILA "), c["row"].cast("string")))
+            return F.struct(F.upper(name).alias("name"), c["v"].alias("v"))
 
-    found = F.filter(F.transform(digits, entry), lambda e: F.coalesce(e["v"], F.lit(0)) != 0)
+        return F.transform(filled, entry)
 
     def step(acc: Column, e: Column) -> Column:
         rest = F.map_filter(acc, lambda k, _: k != e["name"])
         return F.map_concat(rest, F.create_map(e["name"], e["v"])).cast(NO_VOTES)
 
-    return F.aggregate(F.coalesce(found, F.array().cast("array<struct<name:string,v:int>>")), _empty(), step)
+    return F.aggregate(let(_or_none(names, "array<struct<row:int,name:string>>"), named), _empty(), step)
 
 
 def _explode_votes(docs: DataFrame, votes: str = "votes") -> DataFrame:
@@ -300,8 +301,10 @@ def party_next_line_votes(docs: DataFrame, metric: str = "edit", min_score: floa
     base = docs.select("doc_id", _party_candidates(F.col("text")).alias("lines")).where(F.size("lines") > 0)
     if metric == "edit":
         ballot = F.array(*[F.lit(p) for _, p in BALLOT if p])
-        best = F.transform(ballot, lambda p: F.struct(p.alias("party"), F.array_max(F.transform("lines", lambda x: F.struct(
-            edit_similarity(p, x["line"], min_score).alias("score"), (-x["pos"]).alias("rank"), x["next"].alias("next")))).alias("b")))
+        best = let(F.col("lines"), lambda lines: F.transform(ballot, lambda p: F.struct(
+            p.alias("party"), F.array_max(F.transform(lines, lambda x: F.struct(
+                edit_similarity(p, x["line"], min_score).alias("score"), (-x["pos"]).alias("rank"),
+                x["next"].alias("next")))).alias("b"))))
         rows = base.select("doc_id", F.explode(best).alias("r")).select(
             "doc_id", "r.party", F.col("r.b.score").alias("score"), F.col("r.b.next").alias("votes"))
     else:
