@@ -23,3 +23,13 @@ def test_matches_sql(spark, duck, name):
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) == len(want)
     assert canonical(got).equals(canonical(want))
+
+
+@pytest.mark.parametrize("mode", ["mesa", "anomalia", "discrepancia", "fecha", "tipo"])
+def test_list_order(spark, duck, mode):
+    from tallyaudit.plans import list_queries
+    from tallyaudit.plans.views import with_views
+
+    got = [r.sheet_id for r in entry.queries()[f"p04_sort_{mode}"](spark, SF).collect()]
+    sql = with_views(f"SELECT sheet_id FROM v_listing ORDER BY {list_queries._ORDERS[mode]}", "v_listing")
+    assert got == [r[0] for r in duck.execute(sql).fetchall()]
