@@ -87,12 +87,12 @@ def entities_to_fields(docs: DataFrame) -> DataFrame:
 
     flat = F.array_compact(F.flatten(F.transform("ents", items)))
     fields = F.aggregate(flat, F.create_map().cast(FIELDS_TYPE), step)
-    return docs.select("doc_id", F.explode(fields).alias("field", "value"))
+    return docs.select("doc_id", F.explode_outer(fields).alias("field", "value")).where("field IS NOT NULL")
 
 
 def entities_to_votes(docs: DataFrame) -> DataFrame:
     """(doc_id, party, votes) of the party entities; an unread number is 0 and the last entry wins."""
-    e = docs.select("doc_id", F.posexplode("ents").alias("pos", "e")).where(
+    e = docs.select("doc_id", F.posexplode_outer("ents").alias("pos", "e")).where(
         strip(F.col("e.tipo")).isin(PARTY_TYPES))
     subs = F.coalesce(F.col("e.sub_entidades"), F.array().cast("array<struct<tipo:string,texto:string,conf:double>>"))
     text = _text(F.col("e"))

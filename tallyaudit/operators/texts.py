@@ -93,7 +93,7 @@ def section_body(zones: Column, label: str) -> Column:
 
 
 def text_sections(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(sections(F.col("text"))).alias("idx", "s")).select(
+    return docs.select("doc_id", F.posexplode_outer(sections(F.col("text"))).alias("idx", "s")).where("idx IS NOT NULL").select(
         "doc_id", "idx", "s.label", "s.body", F.size(lines_of(F.col("s.body"))).alias("n_lines"))
 
 
@@ -219,7 +219,8 @@ def fold_positional(digits: Column, names: Column) -> Column:
 
 
 def _explode_votes(docs: DataFrame, votes: str = "votes") -> DataFrame:
-    return docs.select("doc_id", F.explode(votes).alias("party", "votes"))
+    # The outer form keeps the optimizer from repeating the whole fold in an inferred ``size > 0`` filter.
+    return docs.select("doc_id", F.explode_outer(votes).alias("party", "votes")).where("party IS NOT NULL")
 
 
 def table_votes(docs: DataFrame) -> DataFrame:
@@ -248,7 +249,7 @@ def positional_votes(docs: DataFrame) -> DataFrame:
 
 def party_name_lines(docs: DataFrame) -> DataFrame:
     body = section_body(sections(F.col("text")), "COLUMNA PARTIDOS")
-    return docs.select("doc_id", F.posexplode(party_rows(body)).alias("idx", "r")).select(
+    return docs.select("doc_id", F.posexplode_outer(party_rows(body)).alias("idx", "r")).where("idx IS NOT NULL").select(
         "doc_id", "idx", "r.row", "r.name")
 
 
@@ -298,17 +299,18 @@ def party_next_line_votes(docs: DataFrame, metric: str = "edit", min_score: floa
     once, in Arrow batches, against the parties its length still allows, and only pairs above the
     threshold return to the documents.
     """
-    base = docs.select("doc_id", _party_candidates(F.col("text")).alias("lines")).where(F.size("lines") > 0)
+    base = docs.select("doc_id", _party_candidates(F.col("text")).alias("lines"))
     if metric == "edit":
         ballot = F.array(*[F.lit(p) for _, p in BALLOT if p])
         best = let(F.col("lines"), lambda lines: F.transform(ballot, lambda p: F.struct(
             p.alias("party"), F.array_max(F.transform(lines, lambda x: F.struct(
                 edit_similarity(p, x["line"], min_score).alias("score"), (-x["pos"]).alias("rank"),
                 x["next"].alias("next")))).alias("b"))))
-        rows = base.select("doc_id", F.explode(best).alias("r")).select(
+        rows = base.select("doc_id", F.explode_outer(best).alias("r")).select(
             "doc_id", "r.party", F.col("r.b.score").alias("score"), F.col("r.b.next").alias("votes"))
     else:
-        lines = base.select("doc_id", F.explode("lines").alias("x")).select("doc_id", "x.*")
+        lines = base.select("doc_id", F.explode_outer("lines").alias("x")).where(
+            "x IS NOT NULL").select("doc_id", "x.*")
         pairs = lines.select("line").distinct().select(
             "line", F.explode(F.array(*[F.lit(p) for _, p in BALLOT if p])).alias("party")).where(
             length_bound(F.col("party"), F.col("line")) > min_score).withColumn("score", block_similarity("party", "line"))

@@ -18,18 +18,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def v_line(spark: SparkSession, sf: str) -> DataFrame:
-    """Vote lines, one row per (sheet, code); codes of 80 and above are the special rows."""
+    """Vote lines, one row per (sheet, code); codes of 80 and above are the special rows.
+
+    Only numbers are aggregated, so the aggregate stays hash-based; the name follows from the code.
+    """
     special = {5: (90, "VOTOS IMPUGNADOS"), 6: (80, "VOTOS EN BLANCO"), 7: (81, "VOTOS NULOS")}
-    code, name = "CAST(l_suppkey % 25 AS INT) + 1", "concat('Agrupación NATION_', l_suppkey % 25)"
+    code = "CAST(l_suppkey % 25 AS INT) + 1"
+    name = "concat('Agrupación NATION_', code - 1)"
     for number, (special_code, special_name) in special.items():
         code = f"CASE WHEN l_linenumber = {number} THEN {special_code} ELSE {code} END"
-        name = f"CASE WHEN l_linenumber = {number} THEN '{special_name}' ELSE {name} END"
+        name = f"CASE WHEN code = {special_code} THEN '{special_name}' ELSE {name} END"
     return (
         table(spark, sf, "lineitem")
-        .selectExpr("l_orderkey AS sheet_id", f"{code} AS code", f"{name} AS name",
-                    "CAST(l_quantity AS INT) AS votes")
-        .groupBy("sheet_id", "code")
-        .agg(F.max("name").alias("name"), F.sum("votes").alias("votes"))
+        .selectExpr("l_orderkey AS sheet_id", f"{code} AS code", "CAST(l_quantity AS INT) AS votes")
+        .groupBy("sheet_id", "code").agg(F.sum("votes").alias("votes"))
+        .selectExpr("sheet_id", "code", f"{name} AS name", "votes")
     )
 
 
