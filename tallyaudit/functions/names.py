@@ -34,7 +34,7 @@ def strip_marks(c: Column) -> Column:
 
 
 def norm_name(c: Column) -> Column:
-    return strip_marks(strip(F.upper(c)))
+    return let(strip(F.upper(c)), strip_marks)
 
 
 def words(c: Column, min_len: int = 4) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lines import line_kind
 from ..functions.names import norm_name, words
+from ..functions.values import strip
 from ..session import cut_lineage
 
 # Compared totals and the rows a reader's vote map may carry besides parties.
@@ -63,10 +64,9 @@ def official_parties(lines: DataFrame) -> DataFrame:
 
 def reader_parties(reader: DataFrame, compat: bool = False) -> DataFrame:
     """One row per (sheet, normalised reader name); special rows drop unless ``compat``."""
-    name = norm_name(F.col("name"))
-    rows = reader.select("sheet_id", name.alias("reader_name"), "votes", F.col("pos").alias("p"))
-    if not compat:
-        rows = rows.where(~F.col("reader_name").rlike("^(" + "|".join(READER_SPECIAL) + ")"))
+    kept = reader if compat else reader.where(
+        ~strip(F.upper("name")).rlike("^(" + "|".join(READER_SPECIAL) + ")"))
+    rows = kept.select("sheet_id", norm_name(F.col("name")).alias("reader_name"), "votes", F.col("pos").alias("p"))
     return rows.groupBy("sheet_id", "reader_name").agg(
         F.max_by("votes", "p").alias("votes"), F.min("p").alias("pos"))
 
