@@ -31,13 +31,20 @@ def use_utc(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a fresh local one only where none is named."""
+    """The cluster's shared checkpoint folder.
+
+    A fresh local folder is used only by a single-machine session that names none; any other master must
+    set ``spark.checkpoint.dir``, since its executors do not share local disks.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    path = configured or tempfile.mkdtemp(prefix="tallyaudit-ckpt-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="tallyaudit-ckpt-")
     sc.setCheckpointDir(path)
     return path
 
