@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, quality
+from . import lines, near_dedup, quality
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+@query
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.drop_templates(table(spark, sf_dir, "documents"))
@@ -44,13 +49,13 @@ WITH lines AS (
 ), distinct_lines AS (
     SELECT leaf, tokens, count(*) AS n FROM seen GROUP BY ALL
 ), exploded AS (
-    SELECT leaf, tokens, n, at, tokens[at] AS token FROM distinct_lines, unnest(range(1, len(tokens) + 1)) AS u(at)
+    SELECT leaf, tokens, n, i, tokens[i] AS token FROM distinct_lines, unnest(range(1, len(tokens) + 1)) AS u(i)
 ), frequent AS (
-    SELECT leaf, at, token FROM exploded WHERE token <> '<*>' GROUP BY ALL HAVING sum(n) >= 3
+    SELECT leaf, i, token FROM exploded WHERE token <> '<*>' GROUP BY ALL HAVING sum(n) >= 3
 ), forms AS (
     SELECT e.leaf, e.tokens, CASE WHEN count(f.token) >= 0.7 * count(*)
-        THEN list(coalesce(f.token, '<*>') ORDER BY e.at) ELSE list_prepend('=', e.tokens) END AS tpl
-    FROM exploded e LEFT JOIN frequent f USING (leaf, at, token) GROUP BY e.leaf, e.tokens
+        THEN list(coalesce(f.token, '<*>') ORDER BY e.i) ELSE list_prepend('=', e.tokens) END AS tpl
+    FROM exploded e LEFT JOIN frequent f USING (leaf, i, token) GROUP BY e.leaf, e.tokens
 ), per_doc AS (
     SELECT leaf, tpl, cls, min(doc_id) AS doc_id FROM seen JOIN forms USING (leaf, tokens) GROUP BY ALL
 ), recurring AS (
@@ -67,4 +72,4 @@ SELECT doc_id, coalesce(len(arr), 0)::BIGINT AS n_lines, len(gone)::BIGINT AS n_
     CASE WHEN len(gone) = 0 THEN text
          ELSE array_to_string(list_transform(list_filter(range(1, len(arr) + 1), lambda i: NOT list_contains(gone, i)), lambda i: arr[i]), chr(10)) END AS text
 FROM judged
-""".replace("\\x", "\x")
+"""
