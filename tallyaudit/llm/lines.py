@@ -35,17 +35,27 @@ def drop_templates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     tokens of a leaf. ``constant``: least share of constant tokens in a generalised template. ``copy_share``: a
     document that would lose a larger share of its words stays whole.
     """
-    lines = (
-        docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_cls"),
-                    F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("_pos", "_line"))
+    text_lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_cls"), text_lines.alias("_lines"))
+    # Every line is placed in the tree once; of the texts only the lines in shared leaves are read again.
+    placed = cut_lineage(
+        keyed.select("_id", "_cls", F.posexplode("_lines").alias("_pos", "_line"))
         .select("_id", "_cls", "_pos", words(F.col("_line")).alias("_tokens"))
         .where(F.size("_tokens") >= min_tokens)
-        .withColumn("_tokens", F.transform("_tokens", lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t)))
-        .withColumn("_leaf", F.xxhash64(F.size("_tokens"), F.slice("_tokens", 1, depth)))
+        .select("_id", "_cls", "_pos", _leaf(F.col("_tokens"), depth).alias("_leaf"))
     )
     # A leaf of a single document holds no recurring template; minimum and maximum tell, and combine before the shuffle.
-    shared = lines.groupBy("_leaf").agg(F.min("_cls").alias("a"), F.max("_cls").alias("b")).where("a <> b").select("_leaf")
-    held = cut_lineage(lines.join(shared, "_leaf", "left_semi").withColumn("_lid", F.xxhash64("_tokens")))
+    shared = placed.groupBy("_leaf").agg(F.min("_cls").alias("a"), F.max("_cls").alias("b")).where("a <> b").select("_leaf")
+    spots = (
+        placed.join(shared, "_leaf", "left_semi")
+        .groupBy(F.col("_id").alias("_i"), F.col("_cls").alias("_c")).agg(F.collect_set(F.struct("_pos", "_leaf")).alias("_spots"))
+    )
+    held = cut_lineage(
+        keyed.join(spots, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_cls") == F.col("_c")))
+        .select("_id", "_cls", "_lines", F.explode("_spots").alias("_s"))
+        .select("_id", "_cls", "_s.*", _masked(words(F.get("_lines", F.col("_s._pos")))).alias("_tokens"))
+        .withColumn("_lid", F.xxhash64("_tokens"))
+    )
     templates = _templates(held, min_docs, constant)
     gone = (
         held.select("_id", "_cls", "_pos", "_lid", F.size("_tokens").alias("_n"))
@@ -66,6 +76,15 @@ def drop_templates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         F.when(whole, 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped"))
 
 
+def _masked(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
+
+
+def _leaf(tokens: Column, depth: int) -> Column:
+    """The leaf of a line: token count and leading tokens."""
+    return F.xxhash64(F.size(tokens), _masked(F.slice(tokens, 1, depth)))
+
+
 def _without(a: Column, gone: Column) -> Column:
     """Array ``a`` without the sorted 0-based positions ``gone``: the runs between them, in linear time."""
     def runs(g: Column) -> Column:
