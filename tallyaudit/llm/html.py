@@ -36,7 +36,7 @@ CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt",
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-NOTICE = re.compile(r"cookie|copyright|©|all rights|subscribe|newsletter|sign up|log ?in|privacy|terms|advert|sponsor|share|follow us|comment|reply|related|read more", re.I)
+NOTICE = re.compile(r"\b(?:cookie|copyright|©|all rights|subscribe|newsletter|sign up|log ?in|privacy|terms|advert|sponsor|share|follow us|comment|reply|related|read more)", re.I)
 
 Block = tuple[str, tuple[str, ...], float]
 
@@ -129,7 +129,7 @@ def features(block: Block) -> list[int]:
     out = ["bias", f"words{min(n, 64).bit_length()}", f"links{int(links * 4)}", f"stop{text[-1] in '.!?…:”\"'}", f"commas{min(text.count(','), 3)}"]
     if n < 40 and NOTICE.search(text):
         out.append("notice")
-    return [slot(f) for f in out] + [slot("in " + w) for w in marks]
+    return [slot(f) for f in out] + [slot("in " + w) for w in marks] + [slot("under " + " ".join(marks[-3:]))]
 
 
 def scores(feats: list[list[int]], weights: np.ndarray) -> np.ndarray:
@@ -229,7 +229,7 @@ def labelled_pages(n: int = PAGES, seed: int = 11) -> list[tuple[list[Block], li
         for _ in range(rng.integers(2, 12)):
             kind = rng.random()
             if kind < 0.7:
-                out.append(f"<p>{words(1 if rng.random() < 0.2 else 8, 90, '\x02')}" + (f" <b>{words(1, 3)}</b> {link()}" if rng.random() < 0.2 else "") + ("</p>" if rng.random() < 0.9 else ""))
+                out.append(f"<p>{words(*((1, 7) if rng.random() < 0.4 else (5, 90)), '\x02')}" + (f" <b>{words(1, 3)}</b> {link()}" if rng.random() < 0.2 else "") + ("</p>" if rng.random() < 0.9 else ""))
             elif kind < 0.8:
                 out.append(f"<h2>{words(1, 8, '\x02')}</h2>")
             elif kind < 0.9:
