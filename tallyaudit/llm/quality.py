@@ -103,15 +103,18 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def votes() -> list[Column]:
     """One column of -1, 0 or 1 for each of RULES, from the measures of :func:`counts`."""
-    n, chars = F.col("n_words"), F.greatest(F.col("word_chars"), F.lit(1))
+    def at_least_one(c: str) -> Column:
+        return F.greatest(F.col(c), F.lit(1))
+
+    n, chars, n_lines = at_least_one("n_words"), at_least_one("word_chars"), at_least_one("_n_lines")
     measure = {
         "symbols": F.col("n_symbols") / n,
-        "dup_lines": F.col("n_dup_lines") / F.col("_n_lines"),
+        "dup_lines": F.col("n_dup_lines") / n_lines,
         "repeats": F.col("n_repeat_words") / n,
-        "capitals": F.col("_capitals") / F.greatest(F.col("_letters"), F.lit(1)),
+        "capitals": F.col("_capitals") / at_least_one("_letters"),
         "function_words": F.col("_function").cast("double"),
         "letters": F.col("_letters") / chars,
-        "sentence_ends": F.when(F.col("_n_lines") >= 3, F.col("_ends") / F.col("_n_lines")),
+        "sentence_ends": F.when(F.col("_n_lines") >= 3, F.col("_ends") / n_lines),
     }
     out = []
     for rule, good, bad in LOW_IS_GOOD:
