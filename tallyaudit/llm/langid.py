@@ -94,9 +94,11 @@ def fit(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str =
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             kept = [(i, k, c) for i, k, t in zip(f["i"], f["k"], f["t"]) if (c := bucket_counts(t)) is not None]
+            if not kept:
+                continue
             at = [np.flatnonzero(c) for _, _, c in kept]
-            yield pd.DataFrame({"i": [i for i, _, _ in kept], "k": [k for _, k, _ in kept], "at": pd.Series(at, dtype=object),
-                                "n": pd.Series([c[a].astype(np.int64) for a, (_, _, c) in zip(at, kept)], dtype=object)})
+            yield pd.DataFrame({"i": [i for i, _, _ in kept], "k": [k for _, k, _ in kept], "at": pd.Series([a.tolist() for a in at], dtype=object),
+                                "n": pd.Series([c[a].tolist() for a, (_, _, c) in zip(at, kept)], dtype=object)})
 
     sample = rows.select(F.col(id_col).alias("i"), F.col(lang).alias("k"), F.col(text).alias("t")).mapInPandas(
         run, "i long, k string, at array<long>, n array<long>").dropDuplicates(["i", "k"]).toPandas().sort_values(["i", "k"], ignore_index=True)
