@@ -138,7 +138,8 @@ def _placed(rows: DataFrame, seed: int) -> tuple[DataFrame, pd.DataFrame]:
     placed = keyed.join(offsets, ["sid", "chunk"]).withColumn("start", start)
     touched = F.when(F.col("size") > 0, F.sequence(F.expr("start div len"), F.expr("(start + size - 1) div len")))
     cut = placed.select("_row", "doc_id", "size", "source_size", "target", "sid", "start", "len", F.explode_outer(touched).alias("block"))
-    used = cut.join(block_uses(spark, plan, seed), ["sid", "block"], "left")
+    # The use table grows with the corpus, though Spark sees only its small origin: a merge join, never a broadcast.
+    used = cut.join(block_uses(spark, plan, seed).hint("merge"), ["sid", "block"], "left")
     lo = F.greatest(F.col("block") * F.col("len"), F.col("start")) - F.col("start")
     hi = F.least((F.col("block") + 1) * F.col("len"), F.col("start") + F.col("size")) - F.col("start")
     return used.select("_row", "doc_id", "size", "source_size", "target", lo.alias("lo"), hi.alias("hi"), F.coalesce("times", F.lit(0)).alias("times")), plan
