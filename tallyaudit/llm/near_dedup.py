@@ -30,17 +30,18 @@ from .common import cut_lineage
 
 WIDTH = 5
 BANDS, ROWS, BITS = 25, 5, 4
-K = 128
+#: Minima of the signature of every document, and of the long one that full comparisons of a bucket use.
+K, K_LONG = 128, 1024
 PER_WORD = 64 // BITS
-#: Five standard deviations of the estimate at similarity 0.85 with K minima of BITS bits.
-SLACK = 0.17
+#: Five standard deviations of the estimates at similarity 0.85.
+SLACK, SLACK_LONG = 0.17, 0.06
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_MUL = _rng.integers(1, 2**32, K, dtype=np.uint32) | np.uint32(1)
-_ADD = _rng.integers(0, 2**32, K, dtype=np.uint32)
+_MUL = _rng.integers(1, 2**32, K_LONG, dtype=np.uint32) | np.uint32(1)
+_ADD = _rng.integers(0, 2**32, K_LONG, dtype=np.uint32)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -77,7 +78,11 @@ def word_hashes(text: bytes) -> np.ndarray:
 
 def shingles(text: bytes | None) -> np.ndarray:
     """Sorted distinct shingle hashes of a whole text."""
-    w = word_hashes(text or b"")
+    return shingle_set(word_hashes(text or b""))
+
+
+def shingle_set(w: np.ndarray) -> np.ndarray:
+    """Sorted distinct hashes of the WIDTH-word windows of a word sequence; of the whole where it is shorter."""
     if not len(w):
         return w
     k = min(WIDTH, len(w))
@@ -88,19 +93,25 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.unique(_mix(total + np.uint64(k)))
 
 
-def minima(sh: np.ndarray) -> np.ndarray:
-    """K minima of a non-empty shingle set under multiply-add permutations of 32 bits."""
+def minima(sh: np.ndarray, k: int = K) -> np.ndarray:
+    """k minima of a non-empty shingle set under multiply-add permutations of 32 bits; the set is taken in blocks."""
     x = (sh >> np.uint64(32)).astype(np.uint32)
-    out = np.empty(K, np.uint32)
-    for i in range(K):
-        h = x * _MUL[i]
-        h += _ADD[i]
+    out = np.full(k, 2**32 - 1, np.uint32)
+    for at in range(0, len(x), 1024):
+        h = _MUL[:k, None] * x[None, at : at + 1024]
+        h += _ADD[:k, None]
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
-        out[i] = h.min()
+        np.minimum(out, h.min(axis=1), out=out)
     return out
 
 
+def band_keys(m: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each band of ROWS minima."""
+    bands = m[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
+    return _mix((bands * _powers(_STEP, ROWS)).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _BASE).astype(np.int64)
+
+
 def pack(m: np.ndarray) -> np.ndarray:
     """The low BITS bits of each minimum, PER_WORD to a 64-bit word."""
     low = (m & np.uint32(2**BITS - 1)).astype(np.uint64).reshape(-1, PER_WORD)
@@ -114,7 +125,7 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     for s in range(1, BITS):
         any_bit |= x >> np.uint64(s)
     ones = np.uint64(sum(1 << (BITS * j) for j in range(PER_WORD)))
-    equal = 1 - np.bitwise_count(any_bit & ones).sum(axis=-1) / K
+    equal = 1 - np.bitwise_count(any_bit & ones).sum(axis=-1) / (PER_WORD * x.shape[-1])
     c = 2.0**-BITS
     return (equal - c) / (1 - c)
 
@@ -127,14 +138,12 @@ def signatures(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> D
             for i, t in zip(f["doc_id"], f["t"]):
                 w = word_hashes(t or b"")
                 digest = int(_mix((w * _powers(_BASE, len(w))).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(w)))[0].astype(np.int64))
-                sh = shingles(t)
+                sh = shingle_set(w)
                 if not len(sh):
                     rows.append((i, digest, 0, None, None))
                     continue
                 m = minima(sh)
-                bands = m[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
-                keys = _mix((bands * _powers(_STEP, ROWS)).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _BASE)
-                rows.append((i, digest, len(sh), pack(m).astype(np.int64), keys.astype(np.int64)))
+                rows.append((i, digest, len(sh), pack(m).astype(np.int64), band_keys(m)))
             yield pd.DataFrame(rows, columns=["doc_id", "digest", "n_shingles", "sig", "bands"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInPandas(
@@ -220,13 +229,14 @@ def _proposals(buckets: DataFrame, comps: DataFrame, turn: int, first: bool) ->
         F.least("doc_id", "o.doc_id").alias("a"), F.greatest("doc_id", "o.doc_id").alias("b")).distinct()
 
 
-def _across(buckets: DataFrame, comps: DataFrame, limit: int, block: int = 2048) -> DataFrame:
+def _across(buckets: DataFrame, comps: DataFrame, texts: DataFrame, limit: int, block: int = 2048) -> DataFrame:
     """All pairs across components within a bucket whose estimate is not far below the limit: (a, b), distinct.
 
     Every such pair has a member outside the bucket's largest component; these members probe all members. Members are
     dealt to parts and probes to shares of about ``block`` rows; one group is one part and one share, so a large bucket
     is spread over many tasks and no task holds more than two blocks. The largest component is repeated once per share
-    of probes, which is once unless thousands of members are still outside it. Only passing pairs are emitted.
+    of probes, which is once unless thousands of members are still outside it. Only pairs that pass the estimate from
+    long signatures, which are made for the members of these buckets alone, are emitted.
     """
     rows = buckets.join(comps, "doc_id")
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
@@ -236,28 +246,64 @@ def _across(buckets: DataFrame, comps: DataFrame, limit: int, block: int = 2048)
             "key", F.col("top.comp").alias("top"), F.ceil(F.col("all") / block).cast("int").alias("parts"),
             F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("shares"))
     )
-    dealt = rows.join(mixed, "key").withColumn("h", F.xxhash64("doc_id", F.lit(1)))
-    part, share = F.pmod("h", "parts").cast("int"), F.pmod(F.shiftright("h", 20), "shares").cast("int")
+    rows = cut_lineage(rows.join(mixed, "key"))
+    dealt = rows.join(_long_signatures(texts.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")), "doc_id")
+    h = F.xxhash64("doc_id", F.lit(1))
+    part, share = F.pmod(h, "parts").cast("int"), F.pmod(F.shiftright(h, 20), "shares").cast("int")
     members = dealt.select("key", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"),
-                           F.lit(False).alias("probe"), "doc_id", "comp", "sig")
+                           F.lit(False).alias("probe"), "doc_id", "comp", (F.col("comp") != F.col("top")).alias("out"), "sig", "bands")
     probes = dealt.where("comp <> top").select(
         "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), share.alias("share"),
-        F.lit(True).alias("probe"), "doc_id", "comp", "sig")
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
+        F.lit(True).alias("probe"), "doc_id", "comp", F.lit(True).alias("out"), "sig", "bands")
+    group = ["key", "part", "share"]
+
+    def compare(f: pd.DataFrame) -> pd.DataFrame:
+        k = f[group].to_numpy()
+        edges = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]).any(axis=1), [True])))
+        ids, comp, probe, out = f["doc_id"].to_numpy(), f["comp"].to_numpy(), f["probe"].to_numpy(bool), f["out"].to_numpy(bool)
+        bands = np.frombuffer(b"".join(f["bands"]), np.int64).reshape(len(f), -1)
+        sig = np.frombuffer(b"".join(f["sig"]), np.uint64).reshape(len(f), -1)
         a, b = [], []
-        q, m = f[f["probe"]], f[~f["probe"]]
-        if len(q) and len(m):
-            ids, comp = m["doc_id"].to_numpy(), m["comp"].to_numpy()
-            sig = np.stack(m["sig"]).astype(np.int64).view(np.uint64)
-            for i, c, s in zip(q["doc_id"], q["comp"], q["sig"]):
-                e = estimate(np.asarray(s, np.int64).view(np.uint64), sig)
-                for j in ids[(comp != c) & (e >= limit / 100 - SLACK)]:
-                    a.append(min(i, j))
-                    b.append(max(i, j))
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+        for lo, hi in zip(edges, edges[1:]):
+            m = lo + np.flatnonzero(~probe[lo:hi])
+            for i in lo + np.flatnonzero(probe[lo:hi]):
+                # Of two probes the smaller id asks, and a pair is asked in the first band that both share.
+                other = m[(comp[m] != comp[i]) & ~(out[m] & (ids[m] < ids[i]))]
+                if len(other):
+                    first = (bands[other] == bands[i]).argmax(axis=1)
+                    other = other[bands[i][first] == k[i, 0]]
+                    hit = ids[other[estimate(sig[i], sig[other]) >= limit / 100 - SLACK_LONG]]
+                    a.append(np.minimum(hit, ids[i]))
+                    b.append(np.maximum(hit, ids[i]))
+        none = np.empty(0, np.int64)
+        return pd.DataFrame({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])}).drop_duplicates()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Whole groups of a sorted partition at a time; at most one group waits for its rest."""
+        held = None
+        for f in frames:
+            f = f if held is None else pd.concat([held, f], ignore_index=True)
+            if not len(f):
+                continue
+            same = (f[group] == f[group].iloc[-1]).all(axis=1).to_numpy()
+            cut = len(f) - int(np.argmin(same[::-1])) if not same.all() else 0
+            held = f.iloc[cut:]
+            if cut:
+                yield compare(f.iloc[:cut])
+        if held is not None and len(held):
+            yield compare(held)
+
+    return members.union(probes).repartition(*group).sortWithinPartitions(*group).mapInPandas(run, "a long, b long").distinct()
+
+
+def _long_signatures(texts: DataFrame) -> DataFrame:
+    """(doc_id, sig, bands): packed signature of K_LONG minima and the band keys, as bytes."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            m = [minima(shingles(t), K_LONG) for t in f["t"]]
+            yield pd.DataFrame({"doc_id": f["doc_id"], "sig": [pack(x).tobytes() for x in m], "bands": [band_keys(x).tobytes() for x in m]})
 
-    return members.union(probes).groupBy("key", "part", "share").applyInPandas(run, "a long, b long").distinct()
+    return texts.select("doc_id", "t").mapInPandas(run, "doc_id long, sig binary, bands binary")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", limit: int = 85, rounds: int = 3) -> DataFrame:
@@ -286,7 +332,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
             sa, sb = (sig.select(F.col("doc_id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
             pairs = _similar(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sig_a", "sig_b"), limit)
         else:
-            pairs = _across(buckets.join(sig, "doc_id"), comps, limit)
+            pairs = _across(buckets, comps, texts, limit)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs)
