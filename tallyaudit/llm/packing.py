@@ -13,8 +13,10 @@ many full windows, which shards share; an empty table gives no rows; other colum
 from __future__ import annotations
 
 import os
+import sys
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,9 +27,10 @@ from .common import cut_lineage
 WINDOW = 2048
 CLOSING = (1).to_bytes(4, "little")
 SHARD_PIECES = 32_768
-#: Chunks between blanks whose ids a task remembers at once; it starts anew beyond that.
-MEMO = 400_000
+#: Chunks between blanks whose ids a Python worker remembers, across its tasks; it starts anew beyond that.
+MEMO = 800_000
 MEMO_CHARS = 48
+_memo: dict[str, dict[str, bytes]] = {}
 
 
 class CapacityTree:
@@ -79,6 +82,22 @@ def best_fit_decreasing(lengths: list[int], window: int = WINDOW) -> list[tuple[
     return out
 
 
+def _remember(new: set[str], memo: dict[str, bytes], encode: Callable) -> list[str]:
+    """Add the ids of ``new`` chunks to ``memo``; returns those too long to stay there.
+
+    The tokenizer lower-cases, never joins ids across a blank or line end, and separates letters from punctuation. So
+    chunks are coded on their own, a full stop or comma after a letter apart from the rest, and ASCII in lower case.
+    """
+    parts = {c: (c[:-1], c[-1]) if len(c) > 1 and c[-1] in ".," and c[-2].isalpha() else (c, "") for c in new}
+    cores = {c: core.lower() if core.isascii() and "<|" not in core else core for c, (core, _) in parts.items()}
+    missing = [c for c in {*cores.values(), *(end for _, end in parts.values())} if c not in memo]
+    for c, e in zip(missing, encode(missing, add_special_tokens=False)):
+        memo[c] = array("I", e.ids).tobytes() if sys.byteorder == "little" else b"".join(x.to_bytes(4, "little") for x in e.ids)
+    for c, (_, end) in parts.items():
+        memo[c] = memo[cores[c]] + memo[end]
+    return [c for c in {*missing, *new} if len(c) > MEMO_CHARS]
+
+
 def pieces(docs: DataFrame, tokenizer: str, text: str = "text", id_col: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens) of the full windows and the rest of each document's ids."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,23 +105,17 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", id_col: str = "d
         from tokenizers import Tokenizer
 
         encode = Tokenizer.from_file(tokenizer).encode_batch_fast
-        memo: dict[str, bytes] = {}
+        memo = _memo.setdefault(tokenizer, {})
         for f in frames:
             rows = []
             for i, t in zip(f["doc_id"], f["t"]):
-                # The tokenizer never joins ids across a blank or line end, so chunks between them are coded once.
                 chunks = (t or "").replace("\n", " ").split(" ")
-                new = list({c for c in chunks if c not in memo})
-                if new:
-                    if len(memo) > MEMO:
-                        memo.clear()
-                        new = list(set(chunks))
-                    for c, e in zip(new, encode(new, add_special_tokens=False)):
-                        memo[c] = b"".join(x.to_bytes(4, "little") for x in e.ids)
+                if len(memo) > MEMO:
+                    memo.clear()
+                long = _remember({c for c in chunks if c not in memo}, memo, encode)
                 ids = b"".join([memo[c] for c in chunks]) + CLOSING
-                for c in new:
-                    if len(c) > MEMO_CHARS:
-                        del memo[c]
+                for c in long:
+                    memo.pop(c, None)
                 n = len(ids) // 4
                 for s in range(0, n, window):
                     part = ids[4 * s : 4 * (s + window)]
