@@ -28,7 +28,7 @@ WINDOW = 2048
 CLOSING = (1).to_bytes(4, "little")
 SHARD_PIECES = 32_768
 #: Chunks between blanks whose ids a Python worker remembers, across its tasks; it starts anew beyond that.
-MEMO = 800_000
+MEMO = 1_200_000
 MEMO_CHARS = 48
 _memo: dict[str, dict[str, bytes]] = {}
 
