@@ -43,14 +43,28 @@ def compare_totals(sheets: DataFrame, extract: DataFrame) -> DataFrame:
 
 
 def name_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(a, b) for every pair of distinct normalised names that match."""
-    a = left.select(F.col("name").alias("a"), words(F.col("name")).alias("wa"))
-    b = right.select(F.col("name").alias("b"), words(F.col("name")).alias("wb"))
-    shared = a.select("a", F.size("wa").alias("na"), F.explode("wa").alias("w")).join(
-        b.select("b", F.size("wb").alias("nb"), F.explode("wb").alias("w")), "w")
-    overlap = shared.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    similar = overlap.where(F.col("c") / (F.col("na") + F.col("nb") - F.col("c")) >= threshold).select("a", "b")
-    same = a.join(b, F.col("a") == F.col("b")).select("a", "b")
+    """(a, b) for every pair of distinct normalised names that match.
+
+    Names of n and m words match only if they share ``need`` words, so one of the first n - need + 1 words of one name,
+    rarest first, is among the first m - need + 1 of the other. Only these words are joined, per pair of lengths: a
+    word that most names carry comes last in each and meets no one, and no match is lost.
+    """
+    sides = [names.select("name", F.explode(words(F.col("name"))).alias("w")) for names in (left, right)]
+    common = sides[0].union(sides[1]).groupBy("w").agg(F.count("*").alias("n"))
+
+    def keyed(side: DataFrame, name: str, mine: str, other: str) -> DataFrame:
+        ranked = side.join(common, "w").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("_r"))
+        sized = ranked.select(F.col("name").alias(name), F.transform("_r", lambda x: x["w"]).alias(f"w{name}")).withColumn(
+            mine, F.size(f"w{name}"))
+        few, many = F.ceil(F.col(mine) * threshold - 1e-9), F.floor(F.col(mine) / threshold + 1e-9)
+        partners = sized.withColumn(other, F.explode(F.sequence(few.cast("int"), many.cast("int"))))
+        need = F.ceil((F.col(mine) + F.col(other)) * threshold / (1 + threshold) - 1e-9).cast("int")
+        return partners.select(name, f"w{name}", mine, other, F.explode(F.slice(f"w{name}", F.lit(1), F.col(mine) - need + 1)).alias("w"))
+
+    met = keyed(sides[0], "a", "na", "nb").join(keyed(sides[1], "b", "nb", "na"), ["w", "na", "nb"])
+    shared = F.size(F.array_intersect("wa", "wb"))
+    similar = met.where(shared / (F.col("na") + F.col("nb") - shared) >= threshold).select("a", "b")
+    same = left.select(F.col("name").alias("a")).join(right.select(F.col("name").alias("b")), F.col("a") == F.col("b"))
     return similar.union(same).distinct()
 
 
@@ -112,11 +126,12 @@ def unmatched(lines: DataFrame, reader: DataFrame, compat: bool = False) -> Data
     return only_official.unionByName(only_reader)
 
 
-def compare_alerts(sheets: DataFrame, lines: DataFrame, extract: DataFrame, reader: DataFrame) -> DataFrame:
+def compare_alerts(sheets: DataFrame, lines: DataFrame, extract: DataFrame, reader: DataFrame,
+                   compat: bool = False) -> DataFrame:
     """One row per discrepancy with its alert level."""
     totals = compare_totals(sheets, extract).where("NOT equal").select(
         "sheet_id", F.col("field"), F.lit("alerta").alias("level"), "official", "reader")
-    parties = compare_parties(lines, reader).where("NOT equal").select(
+    parties = compare_parties(lines, reader, compat).where("NOT equal").select(
         "sheet_id", F.concat(F.lit("Votos "), F.col("party")).alias("field"),
         F.when(F.abs("diff") > ALERT_DIFF, "alerta").otherwise("info").alias("level"),
         F.col("votes").alias("official"), F.col("reader_votes").alias("reader"))
@@ -126,7 +141,7 @@ def compare_alerts(sheets: DataFrame, lines: DataFrame, extract: DataFrame, read
 def compare_status(sheets: DataFrame, lines: DataFrame, extract: DataFrame, reader: DataFrame,
                    compat: bool = False) -> DataFrame:
     """Roll-up of a sheet: ok, info or alerta, discrepancy count and both vote sums."""
-    alerts = compare_alerts(sheets, lines, extract, reader).groupBy("sheet_id").agg(
+    alerts = compare_alerts(sheets, lines, extract, reader, compat).groupBy("sheet_id").agg(
         F.count("*").alias("n_disc"), F.max(F.col("level") == "alerta").alias("has_alert"))
     off = official_parties(lines).groupBy("sheet_id").agg(F.sum("votes").alias("so"))
     rd = reader_parties(reader, compat).groupBy("sheet_id").agg(F.sum("votes").alias("sr"))

@@ -144,5 +144,4 @@ def parse_verdict(text: Column) -> Column:
     return F.struct(
         F.when(ok, truthy).alias("anomaly"),
         F.when(ok, F.lower(F.coalesce(doc["confianza"], F.lit("")))).otherwise("baja").alias("confidence"),
-        F.when(ok, F.substring(F.coalesce(doc["anotacion"], F.lit("")), 1, 800))
-        .otherwise(F.substring(text, 1, 600)).alias("note"))
+        F.when(ok, F.coalesce(doc["anotacion"], F.lit(""))).otherwise(text).alias("note"))

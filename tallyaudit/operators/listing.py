@@ -118,14 +118,16 @@ def newest_first(df: DataFrame, ts: str, tie: str) -> DataFrame:
     return df.orderBy(F.col(ts).desc_nulls_last(), F.col(tie).asc())
 
 
-def stations_by_status(results: DataFrame, status: str, n: int = 500) -> DataFrame:
-    return results.where(F.col("status") == status.upper()).orderBy("station", "job_id").limit(n)
+def stations_by_status(results: DataFrame, status: str, n: int | None = None) -> DataFrame:
+    out = results.where(F.col("status") == status.upper()).orderBy("station", "job_id")
+    return out if n is None else out.limit(n)
 
 
-def anomalies(scores: DataFrame, only_positive: bool = True, n: int = 1000, tie: str = "sheet_id") -> DataFrame:
+def anomalies(scores: DataFrame, only_positive: bool = True, n: int | None = None, tie: str = "sheet_id") -> DataFrame:
     """Scores, lowest (most unusual) first."""
     out = scores.where("is_anomaly") if only_positive else scores
-    return out.orderBy(F.col("score").asc_nulls_first(), F.col(tie).asc()).limit(n)
+    out = out.orderBy(F.col("score").asc_nulls_first(), F.col(tie).asc())
+    return out if n is None else out.limit(n)
 
 
 def curated_status(sheets: DataFrame, curated: DataFrame) -> DataFrame:

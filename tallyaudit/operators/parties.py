@@ -52,7 +52,7 @@ def party_shares(sheets: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def party_outliers(sheets: DataFrame, lines: DataFrame, z_min: float = 2.5, z_high: float = 4.0,
-                   min_n: int = 3, min_std: float = 0.01, limit: int | None = 200) -> DataFrame:
+                   min_n: int = 3, min_std: float = 0.01, limit: int | None = None) -> DataFrame:
     """Sheets where a party's share is far from that party's contest-wide distribution.
 
     Mean and deviation come from a grouped aggregate, never from a window: a (contest, party) group

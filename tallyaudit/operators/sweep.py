@@ -110,10 +110,9 @@ def pipeline_report(sheets: DataFrame, readers: DataFrame, statuses: DataFrame,
         F.count_if("consistent").alias("n_consistent"))
 
 
-def station_overview(station: str, sheets: DataFrame, timeline: DataFrame, scores: DataFrame,
-                     max_sheets: int = 10) -> DataFrame:
-    """Status, dated events and model result of one station; the filter reaches every scan."""
-    mine = sheets.where(F.col("station") == station).orderBy("contest_id", "sheet_id").limit(max_sheets)
+def station_overview(station: str, sheets: DataFrame, timeline: DataFrame, scores: DataFrame) -> DataFrame:
+    """Status, dated events and model result of one station, from all its sheets; the filter reaches every scan."""
+    mine = sheets.where(F.col("station") == station)
     status = station_status(mine)
     first = mine.groupBy("station").agg(F.min_by("sheet_id", F.struct("contest_id", "sheet_id")).alias("sheet_id"))
     model = first.join(scores.select("sheet_id", "is_anomaly", "score"), "sheet_id", "left").drop("sheet_id")

@@ -160,17 +160,17 @@ WHERE n >= 3 AND std >= 0.01 AND abs(share - mean) / std >= 1.8"""
 
 @query("a12_party_outliers", f"{_OUTLIERS} ORDER BY z_score DESC, sheet_id, code LIMIT 200", "v_sheet v_line")
 def a12(spark, sf):
-    return parties.party_outliers(t.v_sheet(spark, sf), t.v_line(spark, sf), z_min=Z_MIN)
+    return parties.party_outliers(t.v_sheet(spark, sf), t.v_line(spark, sf), z_min=Z_MIN, limit=200)
 
 
 @query("a12_party_outliers_all", _OUTLIERS, "v_sheet v_line")
 def a12all(spark, sf):
-    return parties.party_outliers(t.v_sheet(spark, sf), t.v_line(spark, sf), z_min=Z_MIN, limit=None)
+    return parties.party_outliers(t.v_sheet(spark, sf), t.v_line(spark, sf), z_min=Z_MIN)
 
 
 @query("a13_outliers_by_party", f"SELECT name, count(*) AS n FROM ({_OUTLIERS}) GROUP BY name ORDER BY n DESC, name LIMIT 12", "v_sheet v_line")
 def a13(spark, sf):
-    return parties.outliers_by_party(parties.party_outliers(t.v_sheet(spark, sf), t.v_line(spark, sf), z_min=Z_MIN, limit=None))
+    return parties.outliers_by_party(parties.party_outliers(t.v_sheet(spark, sf), t.v_line(spark, sf), z_min=Z_MIN))
 
 
 _SIGNALS = """

@@ -1,10 +1,9 @@
 """Document facts and the anomaly model."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..operators import forensics, model
+from ..session import shared_folder
 from ..sources import tables as t
 from .catalog import query
 from .source_queries import _FILE
@@ -78,7 +77,7 @@ def x05(spark, sf):
 @query("x06_histogram_gaps", """
 WITH l AS (SELECT DISTINCT doc_id, gray FROM v_pixels),
 g AS (SELECT a.doc_id, a.gray + 1 AS gap FROM l a JOIN l b ON b.doc_id = a.doc_id AND b.gray = a.gray + 2 WHERE a.gray + 1 BETWEEN 10 AND 239
-  AND NOT EXISTS (SELECT 1 FROM l c WHERE c.doc_id = a.doc_id AND c.gray = a.gray + 1) QUALIFY row_number() OVER (PARTITION BY a.doc_id ORDER BY a.gray) <= 10),
+  AND NOT EXISTS (SELECT 1 FROM l c WHERE c.doc_id = a.doc_id AND c.gray = a.gray + 1)),
 d AS (SELECT doc_id, gray - lag(gray) OVER (PARTITION BY doc_id ORDER BY y, x) AS v FROM v_pixels)
 SELECT doc_id, CAST(1 AS INT) AS page, round(stddev_pop(v), 2) AS noise, coalesce((SELECT string_agg(CAST(gap AS VARCHAR), ',' ORDER BY gap) FROM g WHERE g.doc_id = d.doc_id), '') AS gaps FROM d GROUP BY doc_id""", "v_pixels")
 def x06(spark, sf):
@@ -212,7 +211,7 @@ def m04(spark, sf):
 @query("m05_save_load")
 def m05(spark, sf):
     f = _features(spark, sf)
-    path = tempfile.mkdtemp(prefix="tallyaudit-model-")
+    path = shared_folder(spark, "model")
     model.save_model(spark, model.fit_one_class(f), path)
     return model.score(f, model.load_model(spark, path)).select("sheet_id", "score", "is_anomaly")
 

@@ -111,15 +111,15 @@ def p07b(spark, sf):
 
 
 @query("p08_stations_by_status", """
-SELECT job_id, lpad(CAST(station_no AS VARCHAR), 6, '0') AS station FROM v_sweep WHERE status = 'PARA_JEE' ORDER BY station, job_id LIMIT 500""", "v_sweep")
+SELECT job_id, lpad(CAST(station_no AS VARCHAR), 6, '0') AS station FROM v_sweep WHERE status = 'PARA_JEE' ORDER BY station, job_id""", "v_sweep")
 def p08(spark, sf):
     r = t.v_sweep(spark, sf).withColumn("station", F.lpad(F.col("station_no").cast("string"), 6, "0"))
     return listing.stations_by_status(r, "para_jee").select("job_id", "station")
 
 
-@query("p09_anomalies", "SELECT doc_id, is_anomaly, score FROM v_report WHERE is_anomaly ORDER BY score, doc_id LIMIT 1000", "v_report")
+@query("p09_anomalies", "SELECT doc_id, is_anomaly, score FROM v_report WHERE is_anomaly ORDER BY score, doc_id", "v_report")
 def p09(spark, sf):
-    return listing.anomalies(t.v_report(spark, sf), True, 1000, "doc_id")
+    return listing.anomalies(t.v_report(spark, sf), tie="doc_id")
 
 
 _CURATED = ", ".join(f"('{s}', '{c}')" for s, c in dims.CURATED)
@@ -338,7 +338,7 @@ def b09(spark, sf):
 
 
 @query("b10_station_overview", """
-WITH mine AS (SELECT * FROM v_list_sheet WHERE station = '000005' ORDER BY contest_id, sheet_id LIMIT 10),
+WITH mine AS (SELECT * FROM v_list_sheet WHERE station = '000005'),
 f AS (SELECT is_anomaly, score FROM (SELECT sheet_id FROM mine ORDER BY contest_id, sheet_id LIMIT 1) LEFT JOIN v_score USING (sheet_id))
 SELECT sheet_id, event, date, (SELECT count(*) FROM mine) AS n_sheets, CASE WHEN (SELECT bool_or(coalesce(pdf_path, '') <> '') FROM mine) THEN 'EXISTE_CON_PDF' ELSE 'EXISTE_SIN_PDF' END AS status,
   f.is_anomaly, f.score

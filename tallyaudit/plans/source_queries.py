@@ -1,11 +1,10 @@
 """Sources, table upkeep, scalar functions."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import clock, explain, lines as line_rules, names, text as text_rules, values
 from ..operators import history, texts
+from ..session import shared_folder
 from ..sources import dims, documents, official, sheets, sinks, tables as t
 from .catalog import query
 
@@ -123,7 +122,7 @@ def s09(spark, sf):
 @query("s10_append_history", """
 SELECT contest_id, CAST(2 * count(*) AS BIGINT) AS n FROM v_sheet GROUP BY contest_id""", "v_sheet")
 def s10(spark, sf):
-    path = tempfile.mkdtemp(prefix="tallyaudit-history-")
+    path = shared_folder(spark, "history")
     results = t.v_sheet(spark, sf).select("sheet_id", "contest_id", "emitted")
     sinks.append_history(results, path)
     sinks.append_history(results, path)

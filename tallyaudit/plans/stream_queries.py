@@ -1,9 +1,8 @@
 """Streaming bookkeeping, run to completion over landed files of the event table."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..sources import tables as t
 from ..streaming import sweep_stream as ss
 from .catalog import query
@@ -11,7 +10,7 @@ from .catalog import query
 
 def _landed(spark, sf, files: int = 4) -> str:
     """The sweep log as a folder of files, the way a crawler lands it."""
-    path = tempfile.mkdtemp(prefix="tallyaudit-landed-")
+    path = shared_folder(spark, "landed")
     (t.v_sweep(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
      .repartitionByRange(files, "station_no").write.mode("overwrite").parquet(path))
     return path
@@ -19,7 +18,7 @@ def _landed(spark, sf, files: int = 4) -> str:
 
 def _drain(spark, stream, mode: str, name: str):
     """Run a stream over everything landed and hand back its table of results."""
-    out, ckpt = tempfile.mkdtemp(prefix=f"tallyaudit-{name}-"), tempfile.mkdtemp(prefix="tallyaudit-ckpt-")
+    out, ckpt = shared_folder(spark, name), shared_folder(spark, "streams")
 
     def write(batch, batch_id):
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/b={batch_id}")
@@ -47,7 +46,7 @@ def b06(spark, sf):
 
 @query("b07_stream_upsert", "SELECT job_id, station_no, status FROM v_sweep", "v_sweep")
 def b07(spark, sf):
-    out, ckpt = tempfile.mkdtemp(prefix="tallyaudit-upsert-"), tempfile.mkdtemp(prefix="tallyaudit-ckpt-")
+    out, ckpt = shared_folder(spark, "upsert"), shared_folder(spark, "streams")
     ss.stream_upsert(ss.sweep_source(spark, _landed(spark, sf), 2), out, ckpt).awaitTermination()
     return ss.read_upserted(spark, out).select("job_id", "station_no", "status")
 

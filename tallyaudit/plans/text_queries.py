@@ -179,7 +179,7 @@ _ANSWER = """CASE turn % 3 WHEN 0 THEN text || ' {"anomalia": true, "confianza":
 
 @query("t18_parse_verdict", f"""
 SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS anomaly, CASE turn % 3 WHEN 0 THEN 'alta' WHEN 1 THEN 'media' ELSE 'baja' END AS confidence,
-  CASE turn % 3 WHEN 0 THEN CAST(conv_id AS VARCHAR) WHEN 1 THEN 'ok' ELSE substr({_ANSWER}, 1, 600) END AS note FROM conversations""")
+  CASE turn % 3 WHEN 0 THEN CAST(conv_id AS VARCHAR) WHEN 1 THEN 'ok' ELSE {_ANSWER} END AS note FROM conversations""")
 def t18(spark, sf):
     c = t.table(spark, sf, "conversations").selectExpr("conv_id", "turn", _ANSWER.replace("VARCHAR", "STRING") + " AS answer")
     return c.select("conv_id", "turn", entities.parse_verdict(F.col("answer")).alias("v")).select("conv_id", "turn", "v.*")

@@ -1,13 +1,13 @@
 """Declared schemas of the nested documents the audit reads."""
 
-# One official tally sheet as published.
+# One official tally sheet as published; numbers are read as text, since some come quoted or with decimals.
 SHEET_DOC = """
-totalElectoresHabiles INT, totalVotosEmitidos INT, totalVotosValidos INT,
-porcentajeParticipacionCiudadana DOUBLE,
+totalElectoresHabiles STRING, totalVotosEmitidos STRING, totalVotosValidos STRING,
+porcentajeParticipacionCiudadana STRING,
 detalle ARRAY<STRUCT<adCodigo: STRING, adAgrupacionPolitica: STRING, adDescripcion: STRING,
-                     adVotos: INT, descripcion: STRING, nvotos: INT>>,
-lineaTiempo ARRAY<STRUCT<codigoEstadoActa: STRING, fechaRegistro: BIGINT>>,
-archivos ARRAY<STRUCT<id: STRING, tipo: INT>>
+                     adVotos: STRING, descripcion: STRING, nvotos: STRING>>,
+lineaTiempo ARRAY<STRUCT<codigoEstadoActa: STRING, fechaRegistro: STRING>>,
+archivos ARRAY<STRUCT<id: STRING, tipo: STRING>>
 """
 
 # Official participants of one contest.

@@ -49,6 +49,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for ``name`` under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{name}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
@@ -56,6 +61,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     chooses between a broadcast and a shuffled join from a measured number.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = shared_folder(spark, "tables")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

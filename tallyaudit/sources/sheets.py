@@ -12,8 +12,13 @@ from ..functions.values import strip
 STATE_CODES = {"T": "scanned", "D": "typed", "C": "counted", "O": "observed", "J": "sent_jee"}
 
 
+def whole(c: Column) -> Column:
+    """A published number as a whole one, written plain, quoted or with decimals; null where it is none."""
+    return c.cast("string").try_cast("decimal(38,6)").try_cast("bigint")
+
+
 def parse_sheets(raw: DataFrame) -> DataFrame:
-    """Sheets whose document is present and parses.
+    """Sheets whose document is present and is JSON; a field that does not fit is null, the sheet stays.
 
     ``raw`` carries the envelope (sheet_id, station, contest_id, contest, state, ...) and ``api_json``.
     """
@@ -22,12 +27,12 @@ def parse_sheets(raw: DataFrame) -> DataFrame:
         "api_json", schema.SHEET_DOC + ", _bad STRING",
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     return (
-        parsed.where(F.col("doc").isNotNull() & F.col("doc._bad").isNull())
+        parsed.where(F.col("doc").isNotNull() & (F.col("doc._bad").isNull() | F.try_parse_json("api_json").isNotNull()))
         .withColumns({
-            "eligible": F.col("doc.totalElectoresHabiles").cast("long"),
-            "emitted": F.col("doc.totalVotosEmitidos").cast("long"),
-            "valid": F.col("doc.totalVotosValidos").cast("long"),
-            "declared_pct": F.col("doc.porcentajeParticipacionCiudadana"),
+            "eligible": whole(F.col("doc.totalElectoresHabiles")),
+            "emitted": whole(F.col("doc.totalVotosEmitidos")),
+            "valid": whole(F.col("doc.totalVotosValidos")),
+            "declared_pct": F.col("doc.porcentajeParticipacionCiudadana").try_cast("double"),
         })
         .drop("api_json")
     )
@@ -43,7 +48,7 @@ def sheet_lines(sheets: DataFrame) -> DataFrame:
             F.coalesce(F.nullif(F.col("item.adCodigo"), F.lit("")), F.col("item.adAgrupacionPolitica"))
             .alias("code"),
             F.coalesce("item.descripcion", "item.adDescripcion").alias("name"),
-            F.coalesce("item.nvotos", "item.adVotos").cast("long").alias("votes"),
+            whole(F.coalesce("item.nvotos", "item.adVotos")).alias("votes"),
         )
         .where(F.col("votes").isNotNull())
     )
@@ -53,7 +58,7 @@ def state_log(sheets: DataFrame) -> DataFrame:
     """State changes in logged order: sheet_id, pos, state_code, ts_ms."""
     return sheets.select("sheet_id", F.posexplode("doc.lineaTiempo").alias("pos", "e")).select(
         "sheet_id", "pos", F.col("e.codigoEstadoActa").alias("state_code"),
-        F.col("e.fechaRegistro").alias("ts_ms"))
+        whole(F.col("e.fechaRegistro")).alias("ts_ms"))
 
 
 def state_times(log: DataFrame) -> DataFrame:
@@ -70,5 +75,5 @@ def state_times(log: DataFrame) -> DataFrame:
 
 def attachment_id(files: Column, kind: int = 1) -> Column:
     """Id of the first attachment of the wanted kind, else of the first one."""
-    wanted = F.filter(files, lambda f: f["tipo"] == kind)
+    wanted = F.filter(files, lambda f: whole(f["tipo"]) == kind)
     return F.coalesce(F.get(wanted, F.lit(0))["id"], F.get(files, F.lit(0))["id"])

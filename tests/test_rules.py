@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from tallyaudit.functions import clock, lines, names, values
-from tallyaudit.operators import history, sums, turnout
+from tallyaudit.operators import compare, forensics, history, sums, sweep, turnout
 from tallyaudit.sources import sheets
 
 
@@ -90,3 +90,62 @@ def test_turnout_edges(spark):
     assert got == {(3, "votos_excedentes", "alta"), (3, "sobre_capacidad", "alta"), (3, "participacion_imposible", "alta"),
                    (4, "sobre_capacidad", "media")}
     assert turnout.turnout_outliers(s).count() == 0
+
+
+def test_quoted_and_decimal_numbers_keep_their_sheet(spark):
+    docs = ['{"totalVotosEmitidos": 10, "detalle": [{"adCodigo": "1", "adDescripcion": "A", "adVotos": 7}]}',
+            '{"totalVotosEmitidos": 10, "detalle": [{"adCodigo": "1", "adDescripcion": "A", "adVotos": "7"}]}',
+            '{"totalVotosEmitidos": "10", "porcentajeParticipacionCiudadana": "85.2", "detalle": []}',
+            '{"totalVotosEmitidos": 10.0, "detalle": [{"adCodigo": "1", "adDescripcion": "A", "nvotos": "x"}], "archivos": "none"}',
+            '{"totalVotosEmitidos": 1']
+    raw = spark.createDataFrame([(i, "000001", 10, "P", d) for i, d in enumerate(docs)],
+                                "sheet_id LONG, station STRING, contest_id INT, contest STRING, api_json STRING")
+    s = sheets.parse_sheets(raw)
+    assert {r.sheet_id: (r.emitted, r.declared_pct) for r in s.collect()} == {0: (10, None), 1: (10, None), 2: (10, 85.2), 3: (10, None)}
+    assert {(r.sheet_id, r.votes) for r in sheets.sheet_lines(s).collect()} == {(0, 7), (1, 7)}
+
+
+def test_name_pairs_lose_no_match(spark):
+    import random
+
+    rng = random.Random(5)
+    vocabulary = ["PARTIDO", "FRENTE", "NORTE", "UNIDOS", "POPULAR", "PERU", "AL", "VERDE"]
+    left, right = ({" ".join(rng.choices(vocabulary, k=rng.randint(1, 6))) for _ in range(120)} for _ in range(2))
+
+    def match(a, b):
+        x, y = ({w for w in n.split() if len(w) >= 4} for n in (a, b))
+        return a == b or bool(x and y) and len(x & y) / len(x | y) >= 0.5
+
+    frames = [spark.createDataFrame([(n,) for n in sorted(names)], "name STRING") for names in (left, right)]
+    got = {(r.a, r.b) for r in compare.name_pairs(*frames).collect()}
+    assert got == {(a, b) for a in left for b in right if match(a, b)}
+
+
+def test_a_word_that_all_names_share_forms_no_pairs(spark):
+    left, right = (spark.range(2000).selectExpr(f"concat('PARTIDO {k}', id) AS name") for k in ("NORTE", "SURES"))
+    assert compare.name_pairs(left, right.union(left.limit(1))).count() == 1
+
+
+def test_compat_reaches_the_comparison(spark):
+    s = spark.createDataFrame([(1, "a", 10, None, None, None)], "sheet_id INT, station STRING, contest_id INT, eligible LONG, emitted LONG, valid LONG")
+    official = spark.createDataFrame([(1, "5", "TOTAL EMITIDOS ALFA", 5, 0)], "sheet_id INT, code STRING, name STRING, votes LONG, pos INT")
+    extract = spark.createDataFrame([(1, None, None, None)], "sheet_id INT, electors LONG, voters LONG, valid LONG")
+    reader = spark.createDataFrame([(1, "TOTAL EMITIDOS ALFA", 9, 0)], "sheet_id INT, name STRING, votes LONG, pos INT")
+    r = compare.compare_status(s, official, extract, reader, compat=True).first()
+    assert (r.sum_reader, r.abs_diff, r.n_discrepancies, r.status) == (9, 4, 1, "info")
+
+
+def test_station_overview_reads_all_sheets(spark):
+    rows = [(i, "000001", 10, "CON_ERROR" if i == 15 else "C", "u") for i in range(16)]
+    s = spark.createDataFrame(rows, "sheet_id INT, station STRING, contest_id INT, state STRING, file_url STRING")
+    events = s.selectExpr("sheet_id", "'e' AS event", "'d' AS date")
+    scores = spark.createDataFrame([(0, True, 0.5)], "sheet_id INT, is_anomaly BOOLEAN, score DOUBLE")
+    got = sweep.station_overview("000001", s, events, scores).collect()
+    assert {(r.n_sheets, r.status) for r in got} == {(16, "CON_ERROR_ACTA")} and len(got) == 16
+
+
+def test_every_page_is_scored(spark):
+    px = spark.range(3 * 64).selectExpr("1L AS doc_id", "CAST(id div 64 AS INT) + 1 AS page", "CAST(id % 64 div 8 AS INT) AS y",
+                                        "CAST(id % 8 AS INT) AS x", "CAST(id * 37 % 256 AS INT) AS gray")
+    for out in (forensics.artificial_score(forensics.raster_rows(px)), forensics.histogram_gaps(px), forensics.scan_score(px)):
+        assert sorted(r.page for r in out.collect()) == [1, 2, 3]
