@@ -90,7 +90,7 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
                 m = OCTETS.match(text, at)
                 if m:
                     ip = m.end()
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups()):
+                    if all(len(q := p.lstrip("0")) <= 3 and int(q or "0") <= 255 for p in m.groups()):
                         base.append((at, ip, "ip"))
             if at >= card:
                 m = NUMBER.match(text, at)

@@ -242,6 +242,11 @@ def test_base_spans(spark, odd, none, documents, module, plain, parts):
     assert not got(find(none))
 
 
+def test_long_runs_of_zeros_in_an_address():
+    t = "0" * 6000 + ".0.0.1"
+    assert pii.find(t)[0] == [(0, len(t), "ip")]
+
+
 def test_added_spans():
     t = "IBAN: DE89370400440532013000, tel:030 1234567 89, see ftp://joe:pw@host.org"
     assert {s[2] for s in pii.find(t)[1]} >= {"account", "phone", "address"}
