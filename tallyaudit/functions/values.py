@@ -112,6 +112,22 @@ def eta_seconds(done: Column, total: Column, elapsed: Column) -> Column:
     return F.when(rate > 0, F.round((total - done) / rate, 0).cast("long"))
 
 
+def elapsed_seconds(started: Column, now: Column) -> Column:
+    """Whole seconds since the start; unknown before it."""
+    return F.bround((F.unix_micros(now) - F.unix_micros(started)) / F.lit(1e6), 0).cast("long")
+
+
+def progress_rate(done: Column, elapsed: Column) -> Column:
+    """Stations per second; unknown before any progress or second."""
+    return F.when((done > 0) & (elapsed != 0), done / elapsed)
+
+
+def running_eta(done: Column, total: Column, elapsed: Column, running: Column) -> Column:
+    """Remaining seconds at the observed rate, only while the job runs."""
+    rate = progress_rate(done, elapsed)
+    return F.when(running & (rate > 0), F.bround((total - done) / rate, 0).cast("long"))
+
+
 def page_cost(stations: Column, sheets_per_station: float = 4.2, pages_per_sheet: float = 1.0,
               usd_per_1000: float = 1.50) -> Column:
     pages = stations * F.lit(sheets_per_station) * F.lit(pages_per_sheet)

@@ -50,6 +50,11 @@ def upsert_overwrite(base: DataFrame, new: DataFrame, keys: list[str], seq: str
     return upsert(base, new, keys, seq=seq)
 
 
+def upsert_single(base: DataFrame, new: DataFrame, seq: str | None = None) -> DataFrame:
+    """A table of one row, replaced as a whole by the newest."""
+    return upsert(base.withColumn("id", F.lit(1)), new.withColumn("id", F.lit(1)), ["id"], seq=seq)
+
+
 def upsert_coalesce(base: DataFrame, new: DataFrame, keys: list[str], keep_if_null: list[str],
                     keep_if_empty: list[str], seq: str | None = None) -> DataFrame:
     """Sheets: an empty document or a missing path never erases what is stored."""

@@ -114,6 +114,12 @@ def by_key(df: DataFrame, key: str, value, order: list[Column] | None = None) ->
     return out.orderBy(*order) if order else out
 
 
+def with_document(df: DataFrame, col: str, schema: str) -> DataFrame:
+    """Parsed JSON in place of a text column; a missing or empty text counts as an empty document."""
+    text = F.coalesce(F.nullif(F.col(col), F.lit("")), F.lit("{}"))
+    return df.withColumn(col, F.from_json(text, schema))
+
+
 def newest_first(df: DataFrame, ts: str, tie: str) -> DataFrame:
     return df.orderBy(F.col(ts).desc_nulls_last(), F.col(tie).asc())
 

@@ -52,6 +52,14 @@ def suspicion_ranking(signals: DataFrame, n: int | None = 50) -> DataFrame:
     return ranked if n is None else ranked.orderBy(F.col("score").desc(), "station", "contest").limit(n)
 
 
+def suspicion_reasons(signals: DataFrame, n: int | None = 50) -> DataFrame:
+    """Score and signals (kind, reason, points) of each sheet; a sheet has at most one signal of each kind."""
+    ranked = signals.groupBy("sheet_id", "station", "contest").agg(
+        F.sum("points").alias("score"),
+        F.array_sort(F.collect_list(F.struct("kind", "reason", "points"))).alias("signals"))
+    return ranked if n is None else ranked.orderBy(F.col("score").desc(), "sheet_id").limit(n)
+
+
 def audit_summary(sheets: DataFrame, lines: DataFrame, times: DataFrame,
                   days: tuple[int, ...] = DAY_STARTS) -> DataFrame:
     """Seven counters of the executive summary in one pass over the joined sheets."""

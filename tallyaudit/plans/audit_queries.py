@@ -204,6 +204,14 @@ def a14(spark, sf):
     return ranking.suspicion_ranking(_signals(spark, sf))
 
 
+@query("a14_suspicion_reasons", f"""
+SELECT sheet_id, station, contest, CAST(sum(points) AS BIGINT) AS score,
+  string_agg(reason || ' +' || CAST(points AS VARCHAR), '; ' ORDER BY kind) AS signals FROM ({_SIGNALS}) GROUP BY 1, 2, 3""", "v_sheet v_sums v_time_facts")
+def a14r(spark, sf):
+    return ranking.suspicion_reasons(_signals(spark, sf), None).withColumn("signals", F.array_join(F.transform(
+        "signals", lambda s: F.concat(s["reason"], F.lit(" +"), s["points"].cast("string"))), "; "))
+
+
 @query("a15_audit_summary", """
 SELECT count(*) AS sheets, count(f.sheet_id) AS with_log, count(*) FILTER (f.day = 12) AS day_12, count(*) FILTER (f.day = 13) AS day_13,
   count(*) FILTER (f.day = 0) AS unknown_day, count(*) FILTER (emitted <> 0 AND v.sum_all <> emitted) AS sum_mismatches,

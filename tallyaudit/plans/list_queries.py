@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import score_confidence
 from ..operators import compare, dashboard, history, listing, sums, sweep
-from ..sources import dims, sinks, tables as t
+from ..sources import dims, official, sinks, tables as t
 from ..operators.ranking import event_timeline
 from .catalog import query
 
@@ -110,6 +110,52 @@ def p07b(spark, sf):
         F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
 
 
+@query("p07_station", "SELECT job_id, station_no, status FROM v_sweep WHERE station_no = 7", "v_sweep")
+def p07c(spark, sf):
+    return listing.by_key(t.v_sweep(spark, sf), "station_no", 7).select("job_id", "station_no", "status")
+
+
+def _jobs(spark, sf):
+    """One job per customer with orders: newest start and its counters as JSON; none where nothing is finished."""
+    done = F.count_if(F.col("o_orderstatus") == "F")
+    return t.table(spark, sf, "orders").groupBy("o_custkey").agg(
+        F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("started"),
+        F.when(done > 0, F.to_json(F.struct(F.count("*").alias("total"), done.alias("done")))).alias("stats_json"),
+    ).select(F.concat(F.lit("job_"), F.col("o_custkey").cast("string")).alias("job_id"), "started", "stats_json")
+
+
+_JOBS = """
+SELECT 'job_' || CAST(o_custkey AS VARCHAR) AS job_id, strftime(max(o_orderdate), '%Y-%m-%d') AS started,
+  CASE WHEN count(*) FILTER (o_orderstatus = 'F') > 0 THEN count(*) END AS total,
+  CASE WHEN count(*) FILTER (o_orderstatus = 'F') > 0 THEN count(*) FILTER (o_orderstatus = 'F') END AS done
+FROM orders GROUP BY o_custkey"""
+
+
+def _job_rows(jobs):
+    return listing.with_document(jobs, "stats_json", "total long, done long").select("job_id", "started", "stats_json.*")
+
+
+@query("p07_job", f"SELECT * FROM ({_JOBS}) WHERE job_id = 'job_7'")
+def p07d(spark, sf):
+    return _job_rows(listing.by_key(_jobs(spark, sf), "job_id", "job_7"))
+
+
+@query("p07_jobs_newest_first", f"SELECT * FROM ({_JOBS})")
+def p07e(spark, sf):
+    return listing.newest_first(_job_rows(_jobs(spark, sf)), "started", "job_id")
+
+
+@query("p07_snapshot", "SELECT * FROM v_official WHERE contest_id = 10", "v_official")
+def p07f(spark, sf):
+    return official.official_totals(listing.by_key(t.v_official(spark, sf), "contest_id", 10))
+
+
+@query("p07_snapshots", "SELECT contest_id, count(*) AS parties FROM v_official GROUP BY 1", "v_official")
+def p07g(spark, sf):
+    return t.v_official(spark, sf).orderBy("contest_id").select(
+        "contest_id", F.json_array_length("participants_json").cast("long").alias("parties"))
+
+
 @query("p08_stations_by_status", """
 SELECT job_id, lpad(CAST(station_no AS VARCHAR), 6, '0') AS station FROM v_sweep WHERE status = 'PARA_JEE' ORDER BY station, job_id""", "v_sweep")
 def p08(spark, sf):

@@ -114,6 +114,25 @@ def s08(spark, sf):
     return history.upsert_overwrite(t.v_report(spark, sf), new, ["doc_id"])
 
 
+@query("s08_upsert_snapshots", """
+SELECT contest_id, electors, captured FROM (
+  SELECT c_nationkey AS contest_id, count(*) AS electors, '2024-01-29' AS captured FROM customer GROUP BY 1 UNION ALL
+  SELECT s_nationkey, count(*), '2024-01-30' FROM supplier WHERE s_nationkey % 2 = 0 GROUP BY 1)
+QUALIFY row_number() OVER (PARTITION BY contest_id ORDER BY captured DESC) = 1""")
+def s08b(spark, sf):
+    def snapshot(name, key, captured):
+        return t.table(spark, sf, name).groupBy(F.col(key).alias("contest_id")).agg(F.count("*").alias("electors")).withColumn("captured", F.lit(captured))
+
+    new = snapshot("supplier", "s_nationkey", "2024-01-30").where("contest_id % 2 = 0")
+    return history.upsert_overwrite(snapshot("customer", "c_nationkey", "2024-01-29"), new, ["contest_id"])
+
+
+@query("s08_upsert_single", "SELECT 1 AS id, count(*) AS electors FROM supplier")
+def s08c(spark, sf):
+    base, new = (t.table(spark, sf, n).agg(F.count("*").alias("electors")) for n in ("customer", "supplier"))
+    return history.upsert_single(base, new)
+
+
 @query("s09_with_has_alert", "SELECT report_id, sheet_id, has_anomaly FROM v_report_log", "v_report_log")
 def s09(spark, sf):
     return history.with_has_alert(t.v_report_log(spark, sf)).select("report_id", "sheet_id", "has_anomaly")
@@ -349,6 +368,21 @@ def f16(spark, sf):
                     values.eta_seconds(F.col("event_id"), F.col("total"), F.col("value")).alias("eta"))
 
 
+@query("f16_running_job", """
+SELECT id, elapsed, CASE WHEN done > 0 AND elapsed <> 0 THEN done / elapsed END AS rate,
+  CASE WHEN running AND done > 0 AND elapsed <> 0 THEN CAST(round_even((total - done) / (done / elapsed), 0) AS BIGINT) END AS eta
+FROM (SELECT event_id AS id, event_id % 50 AS done, total, event_type = 'click' AS running,
+    CAST(round_even((epoch_us(last) - epoch_us(ts)) / 1e6, 0) AS BIGINT) AS elapsed
+  FROM events, (SELECT count(*) AS total, max(ts) AS last FROM events))""")
+def f16b(spark, sf):
+    e = t.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    e = e.withColumns({"total": e.agg(F.count("*")).scalar(), "last": e.agg(F.max("ts")).scalar()})
+    e = e.withColumns({"done": F.col("event_id") % 50, "elapsed": values.elapsed_seconds(F.col("ts"), F.col("last"))})
+    done, elapsed = F.col("done"), F.col("elapsed")
+    return e.select(F.col("event_id").alias("id"), "elapsed", values.progress_rate(done, elapsed).alias("rate"),
+                    values.running_eta(done, F.col("total"), elapsed, F.col("event_type") == "click").alias("eta"))
+
+
 @query("f17_page_cost", """
 SELECT c_custkey AS id, CAST(round(c_custkey * 4.2) AS BIGINT) AS pages, round(c_custkey * 4.2 * 1.5 / 1000.0, 2) AS usd FROM customer""")
 def f17(spark, sf):
