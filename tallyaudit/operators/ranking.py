@@ -86,7 +86,7 @@ EVENT_FIELDS = {
 
 
 def event_timeline(events: DataFrame, key: str = "sheet_id") -> DataFrame:
-    """Dated events of each sheet plus its current state.
+    """Dated events of each sheet plus its current state, in order of date and event within the sheet; no shuffle.
 
     Date columns are text; those of ``EVENT_FIELDS`` that the input lacks are skipped.
     """
@@ -99,7 +99,7 @@ def event_timeline(events: DataFrame, key: str = "sheet_id") -> DataFrame:
         return F.coalesce(*pairs)
 
     def row(event: str, field: Column, date: Column) -> Column:
-        return F.struct(F.lit(event).alias("event"), field.alias("field"), date.alias("date"),
+        return F.struct(date.alias("date"), F.lit(event).alias("event"), field.alias("field"),
                         F.col("state").alias("description"))
 
     structs = []
@@ -111,4 +111,5 @@ def event_timeline(events: DataFrame, key: str = "sheet_id") -> DataFrame:
         "fechaUltimaActualizacion" in events.columns) else F.lit("")
     structs.append(F.when(F.coalesce("state", F.lit("")) != "",
                           row("estado_actual", F.lit(None).cast("string"), updated)))
-    return events.select(key, F.inline(F.array_compact(F.array(*structs)))).orderBy("date", key, "event")
+    return events.select(key, F.inline(F.array_sort(F.array_compact(F.array(*structs))))).select(
+        key, "event", "field", "date", "description")
