@@ -1,9 +1,11 @@
 """Secrets by assignment-aware lexing.
 
-The lexer stops at assignment operators (``:`` and ``=``), reads the name on their left and the literal or name on
-their right, and so turns source and configuration text into name-literal pairs. Constants are propagated: a literal
-assigned to a plain name counts for every sensitive name that the plain name is assigned to. Literals are scored by
-the parts of their target names, their length, their character classes and their entropy.
+The lexer stops at assignment operators (``:``, ``=``, ``:=`` and ``=>``), reads the name on their left and the
+literal or name on their right, and so turns source and configuration text into name-literal pairs. In
+``name: type = literal`` the literal belongs to the name before the type. Constants are propagated: a literal assigned
+to a plain name counts for every sensitive name that the plain name is assigned to; of several assignments the latest
+before the use counts, or the first after it if none is before. Literals are scored by the parts of their target names,
+their length, their character classes and their entropy.
 
 Base kinds are assign (a keyword, an operator and a value), access (key ids) and hex (long runs); the method adds
 ``literal``. Positions are code points, ends exclusive.
@@ -35,7 +37,12 @@ LEAST_SCORE = 5
 OPERATOR = re.compile("[:=]")
 VALUE = re.compile(r" *[\"']?([A-Za-z0-9+/_.=-]+)")
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*")
-LITERAL = re.compile(r"=?[ \t]*(?:\"([^\"\n]+)\"|'([^'\n]+)'|([A-Za-z0-9+/_.=-]+))")
+LITERAL = re.compile(r"[=>]?[ \t]*(?:\"([^\"\n]+)\"|'([^'\n]+)'|([A-Za-z0-9+/_.=-]+))")
+#: A type between ``:`` and ``=``: references and lifetimes, names with paths, arguments in brackets two deep, arrays, options, unions.
+_ARGUMENTS = r"(?:<(?:[^<>=\n]|<[^<>=\n]*>)*>|\[(?:[^\[\]=\n]|\[[^\[\]=\n]*\])*\])"
+_ONE = rf"(?:&?(?:'[a-z_]+[ \t]+)?(?:(?:mut|readonly|const|dyn)[ \t]+)?[A-Za-z_]\w*(?:(?:\.|::)[A-Za-z_]\w*)*{_ARGUMENTS}?(?:\[\])*[?!*]?|{_ARGUMENTS}[?!]?|\"[A-Za-z_][^\"=\n]*\"|'[A-Za-z_][^'=\n]*')"
+TYPE = re.compile(rf"[ \t]*{_ONE}(?:[ \t]*[|&][ \t]*{_ONE})*[ \t]*=(?![=>])", re.A)
+KEY = re.compile(r"[ \t]*=>")
 ACCESS = re.compile("AKIA[A-Z0-9]{12,}")
 HEX = re.compile("[0-9a-f]{32,}")
 
@@ -85,6 +92,28 @@ def value_score(value: str) -> int:
     return 1 + (n >= 16) + bool(re.search("[0-9]", value) and re.search("[A-Za-z]", value)) + (entropy >= 3)
 
 
+def sources(pairs: list[tuple[str, str, int, int]]) -> list[int]:
+    """For each pair, the pair whose value its own stands for: names are followed to the latest assignment before, else to the first after."""
+    n, latest, first = len(pairs), {}, {}
+    for i in range(n - 1, -1, -1):
+        first[pairs[i][0]] = i
+    refers = []
+    for i, (name, value, *_) in enumerate(pairs):
+        refers.append(latest.get(value, first.get(value, i)))
+        latest[name] = i
+    out = [-1] * n
+    for i in range(n):
+        path, j = [], i
+        while out[j] < 0:
+            out[j] = n  # on the path
+            path.append(j)
+            j = refers[j]
+        end = out[j] if out[j] < n else j
+        for p in path:
+            out[p] = end
+    return out
+
+
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, added spans) of a text."""
     base: list[Span] = [(m.start(), m.end(), "access") for m in ACCESS.finditer(text)]
@@ -99,20 +128,22 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
                 base.append((start, done, "assign"))
         if op >= seen and (name := name_before(text, op, seen)):
             m = LITERAL.match(text, op + 1)
-            if m:
-                g = m.lastindex or 3
-                pairs.append((name, m[g], m.start(g), m.end(g)))
-                seen = m.end()
+            t = TYPE.match(text, op + 1) if text[op] == ":" else None
+            typed = LITERAL.match(text, t.end()) if t else None
+            if m and m[3] and KEY.match(text, m.start(3) + len(m[3].rstrip("="))):
+                continue  # the word is itself the name of what follows, as in ``call :name => literal``
+            # What stands for a type may be a value before an unrelated ``=``: it stays a pair if it looks like a secret.
+            for x in (m if not typed or m and value_score(m[m.lastindex or 3]) >= 2 else None, typed):
+                if x:
+                    g = x.lastindex or 3
+                    pairs.append((name, x[g], x.start(g), x.end(g)))
+                    seen = x.end()
     more: list[Span] = []
-    constants = {name: (value, start, end) for name, value, start, end in pairs}
-    for name, value, start, end in pairs:
+    for (name, *_), at in zip(pairs, sources(pairs)):
         score = name_score(name)
         if score < 2:
             continue
-        hops = 0
-        while value in constants and hops < len(pairs) and constants[value][0] != value:
-            value, start, end = constants[value]
-            hops += 1
+        _, value, start, end = pairs[at]
         if score + value_score(value) >= LEAST_SCORE and value_score(value) >= 2:
             more.append((start, end, "literal"))
     covered = [(s, e) for s, e, _ in base]

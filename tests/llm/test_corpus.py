@@ -254,6 +254,35 @@ def test_added_spans():
     assert [(t[a:b], k) for a, b, k in secrets.find(t)[1]] == [("k9f8a7d6s5q4w3e2x1", "literal")]
 
 
+def literals(t):
+    return [t[a:b] for a, b, k in secrets.find(t)[1] if k == "literal"]
+
+
+@pytest.mark.parametrize("text, value", [
+    ('password: str = "s3cretValue99"', "s3cretValue99"), ("const dbPassword: string = 's3cretValue99';", "s3cretValue99"),
+    ('val authToken: String? = "s3cretValue99"', "s3cretValue99"), ("static API_KEY: &'static str = \"s3cretValue99\";", "s3cretValue99"),
+    ('token: Optional[Dict[str, str]] = "s3cretValue99"', "s3cretValue99"), ('pwd: str | None="s3cretValue99"', "s3cretValue99"),
+    ("let keyPass: std::string::String = 's3cretValue99'", "s3cretValue99"), ("f(user: str = 'joe', db_pwd: str = 's3cretValue99')", "s3cretValue99"),
+])
+def test_typed_assignments(text, value):
+    assert literals(text) == [value]
+
+
+@pytest.mark.parametrize("text", ["'db_pwd' => 's3cretValue99',", ':db_pwd => "s3cretValue99"', "call :db_pwd=>'s3cretValue99'", "db_pwd => s3cretValue99"])
+def test_hash_arrows(text):
+    assert literals(text) == ["s3cretValue99"]
+
+
+def test_latest_assignment_before_the_use():
+    t = 'base = "k9f8a7d6s5q4w3e2x1"\ndb_pwd = base\nbase = "public"\nother = base'
+    assert literals(t) == ["k9f8a7d6s5q4w3e2x1"]
+    t = 'base = "public"\nbase = "k9f8a7d6s5q4w3e2x1"\nmid = base\nbase = "public2"\ndb_pwd = mid'
+    assert literals(t) == ["k9f8a7d6s5q4w3e2x1"]
+    assert literals('db_pwd = base\nbase = "k9f8a7d6s5q4w3e2x1"\nbase = "public"') == ["k9f8a7d6s5q4w3e2x1"]  # a use ahead of all assignments
+    assert literals("pwd = pwd\na_pwd = b_pwd\nb_pwd = a_pwd") == []
+    assert literals("db_pwd: abc1234defgh = other") == ["abc1234defgh"]  # no type, as before
+
+
 def test_language(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL")
