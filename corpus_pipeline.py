@@ -24,8 +24,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    """One document of each group of near duplicates: word shingles, similarity 0.8 or more."""
+    kept = near_dedup.near_duplicates(docs, limit=80).where("kept").select("doc_id").distinct()
     return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 

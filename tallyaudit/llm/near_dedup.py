@@ -36,6 +36,14 @@ PER_WORD = 64 // BITS
 #: Five standard deviations of the estimates at similarity 0.85.
 SLACK, SLACK_LONG = 0.17, 0.06
 
+
+def slack(limit: int, k: int, least: float) -> float:
+    """Five standard deviations of an estimate from k minima at similarity ``limit`` / 100, and ``least`` at least."""
+    c = 2.0**-BITS
+    p = c + (1 - c) * limit / 100
+    return max(least, 5 * (p * (1 - p) / k) ** 0.5 / (1 - c))
+
+
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -150,13 +158,13 @@ def signatures(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> D
         run, "doc_id long, digest long, n_shingles long, sig array<long>, bands array<long>")
 
 
-def _similar(pairs: DataFrame, limit: int, slack: float = SLACK) -> DataFrame:
+def _similar(pairs: DataFrame, limit: int) -> DataFrame:
     """Pairs (a, b, sig_a, sig_b) whose estimate is not far below the limit."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
                 e = estimate(np.stack(f["sig_a"]).astype(np.int64).view(np.uint64), np.stack(f["sig_b"]).astype(np.int64).view(np.uint64))
-                f = f[e >= limit / 100 - slack]
+                f = f[e >= limit / 100 - slack(limit, K, SLACK)]
             yield f[["a", "b"]]
 
     return pairs.mapInPandas(run, "a long, b long")
@@ -255,7 +263,7 @@ def _across(buckets: DataFrame, comps: DataFrame, texts: DataFrame, limit: int,
     probes = dealt.where("comp <> top").select(
         "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), share.alias("share"),
         F.lit(True).alias("probe"), "doc_id", "comp", F.lit(True).alias("out"), "sig", "bands")
-    group = ["key", "part", "share"]
+    group, far = ["key", "part", "share"], slack(limit, K_LONG, SLACK_LONG)
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
         k = f[group].to_numpy()
@@ -272,7 +280,7 @@ def _across(buckets: DataFrame, comps: DataFrame, texts: DataFrame, limit: int,
                 if len(other):
                     first = (bands[other] == bands[i]).argmax(axis=1)
                     other = other[bands[i][first] == k[i, 0]]
-                    hit = ids[other[estimate(sig[i], sig[other]) >= limit / 100 - SLACK_LONG]]
+                    hit = ids[other[estimate(sig[i], sig[other]) >= limit / 100 - far]]
                     a.append(np.minimum(hit, ids[i]))
                     b.append(np.maximum(hit, ids[i]))
         none = np.empty(0, np.int64)

@@ -346,3 +346,30 @@ def test_pipeline(spark):
         assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
         docs = spark.createDataFrame(out.toPandas(), docs.schema)
     assert set(corpus_pipeline.run(spark, SF).columns) >= {"doc_id", "start", "length", "sequence_id", "offset"}
+
+
+def article(seed, lines=10):
+    return "\n".join(prose(1000 * seed + j, 40) for j in range(lines))
+
+
+def near_copy(text, seed, run=35):
+    """``text`` with ``run`` words of its third line replaced: similarity 0.82 for ten lines of 40 words."""
+    ls = text.split("\n")
+    w = ls[2].split(" ")
+    ls[2] = " ".join([*w[:2], *(f"v{seed}" + "aeiou"[i % 5] * (1 + i // 5) for i in range(run)), *w[2 + run :]])
+    return "\n".join(ls)
+
+
+def jaccard(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / max(1, len(a | b))
+
+
+def test_pipeline_links_copies_from_80(spark):
+    a = article(1)
+    b = near_copy(a, 1)
+    assert 0.81 < jaccard(a, b) < 0.83
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate([a, b, article(2)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in got(corpus_pipeline.keep_one(spark, docs, SF))) == [0, 2]
+    assert near_dedup.near_duplicates(docs).where("kept").count() == 3
