@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyaudit.llm import lines, mixing, near_dedup, packing, quality
 from tallyaudit.llm.common import cut_lineage, table
@@ -24,9 +25,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: word shingles, similarity 0.8 or more."""
-    kept = near_dedup.near_duplicates(docs, limit=80).where("kept").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of near duplicates (word shingles, similarity 0.8 or more).
+
+    Every row is a document of its own, whatever its id: of a group the row with the smallest id stays, rows without an
+    id last. Rows without an id and rows that share one stay unless their text is a duplicate; rows without words all stay.
+    """
+    rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
+    groups = near_dedup.near_duplicates(rows, id_col="_row", limit=80).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    kept = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min_by("_row", order).alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

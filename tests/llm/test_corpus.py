@@ -373,3 +373,31 @@ def test_pipeline_links_copies_from_80(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in got(corpus_pipeline.keep_one(spark, docs, SF))) == [0, 2]
     assert near_dedup.near_duplicates(docs).where("kept").count() == 3
+
+
+def brute_pipeline(rows):
+    """Pieces (doc_id, start, length, crc) of rows (doc_id, text) of one source that the rules keep whole: one row per group of near copies, each taken once."""
+    left = []
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        if all(jaccard(t, u) < 0.8 for _, u in left):  # the fixture has no chains
+            left.append((i, t))
+    tok, out = Tokenizer.from_file(TOKENIZER), collections.Counter()
+    for i, t in left:
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 1]
+        for at in range(0, len(ids), 2048):
+            part = ids[at : at + 2048]
+            out[i, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    return out
+
+
+def test_pipeline_matches_brute_force(spark, tmp_path):
+    rows = [(i, article(i)) for i in range(40)]
+    rows += [(None, article(50)), (None, article(51)), (None, article(3)), (None, near_copy(article(4), 4)), (None, article(50))]
+    rows += [(7, article(60)), (8, article(8)), (9, article(9)), (9, near_copy(article(10), 10)), (None, article(52).replace("\n", "\n\n"))]
+    full = [(i, t, "en", "a", len(t)) for i, t in rows]
+    docs = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = collections.Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in got(corpus_pipeline.run(spark, str(tmp_path))))
+    assert out == brute_pipeline(rows)
+    ids = collections.Counter(i for i, start, *_ in out.elements() if start == 0)
+    assert ids[None] == 3 and ids[7] == ids[9] == 2 and ids[8] == 1 and not ids[10]
