@@ -6,12 +6,16 @@ becomes a variable field. Lines with the same generalised form share a template;
 is its own template. A template that recurs in enough documents is boilerplate: its lines are dropped, but for those
 of the document with the smallest id, so that no content disappears from the corpus.
 
+The shorter a line, the more documents it takes: lines of fewer than ``min_tokens`` tokens lie in a leaf of all their
+tokens, those of numbers alone with their digits, and each token that they lack asks for another ``min_docs``
+documents. A long line that stands in two different texts recurs, but for its fields word for word.
+
 Documents with the same text count once, so copies of a document are no evidence against its lines; and a document of
 which nearly all would go is a copy as a whole and is left to document deduplication. Everything is hash aggregation
 and equi-joins on distinct lines: no line pairs are formed, and a line that a third of all documents share is one row
 after the first partial aggregate.
 
-Edge cases: null and empty texts, and lines of fewer than ``min_tokens`` tokens, stay as they are; repeated rows are
+Edge cases: null and empty texts, and lines without a word, stay as they are; repeated rows are
 treated alike and all stay; an empty table gives no rows; other columns pass through, and one that has the name of a
 column added here is replaced by it.
 """
@@ -28,12 +32,13 @@ ADDED = ("n_lines", "n_dropped")
 
 
 def drop_templates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_docs: int = 3, min_tokens: int = 5,
-                   depth: int = 3, constant: float = 0.7, copy_share: float = 0.8) -> DataFrame:
+                   depth: int = 3, constant: float = 0.7, copy_share: float = 0.8, long_tokens: int = 20) -> DataFrame:
     """``docs`` with ``text`` freed of recurring templates, and the counts ``n_lines`` and ``n_dropped``.
 
     ``min_docs``: documents of different text that make a token constant and a template recurring. ``depth``: leading
     tokens of a leaf. ``constant``: least share of constant tokens in a generalised template. ``copy_share``: a
-    document that would lose a larger share of its words stays whole.
+    document that would lose a larger share of its words stays whole. ``min_tokens``: shorter lines ask for more
+    documents. ``long_tokens``: tokens without a digit of a line for which two texts are enough.
     """
     text_lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_cls"), text_lines.alias("_lines"))
@@ -41,8 +46,8 @@ def drop_templates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     placed = cut_lineage(
         keyed.select("_id", "_cls", F.posexplode("_lines").alias("_pos", "_line"))
         .select("_id", "_cls", "_pos", words(F.col("_line")).alias("_tokens"))
-        .where(F.size("_tokens") >= min_tokens)
-        .select("_id", "_cls", "_pos", _leaf(F.col("_tokens"), depth).alias("_leaf"))
+        .where(F.size("_tokens") > 0)
+        .select("_id", "_cls", "_pos", _leaf(F.col("_tokens"), depth, min_tokens).alias("_leaf"))
     )
     # A leaf of a single document holds no recurring template; minimum and maximum tell, and combine before the shuffle.
     shared = placed.groupBy("_leaf").agg(F.min("_cls").alias("a"), F.max("_cls").alias("b")).where("a <> b").select("_leaf")
@@ -53,10 +58,10 @@ def drop_templates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     held = cut_lineage(
         keyed.join(spots, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_cls") == F.col("_c")))
         .select("_id", "_cls", "_lines", F.explode("_spots").alias("_s"))
-        .select("_id", "_cls", "_s.*", _masked(words(F.get("_lines", F.col("_s._pos")))).alias("_tokens"))
+        .select("_id", "_cls", "_s.*", let(words(F.get("_lines", F.col("_s._pos"))), lambda t: _fields(t, min_tokens)).alias("_tokens"))
         .withColumn("_lid", F.xxhash64("_tokens"))
     )
-    templates = _templates(held, min_docs, constant)
+    templates = _templates(held, min_docs, constant, min_tokens, long_tokens)
     gone = (
         held.select("_id", "_cls", "_pos", "_lid", F.size("_tokens").alias("_n"))
         .join(templates, "_lid").where(F.col("_cls") != F.col("_owner"))
@@ -80,9 +85,16 @@ def _masked(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
 
 
-def _leaf(tokens: Column, depth: int) -> Column:
-    """The leaf of a line: token count and leading tokens."""
-    return F.xxhash64(F.size(tokens), _masked(F.slice(tokens, 1, depth)))
+def _fields(tokens: Column, min_tokens: int) -> Column:
+    """The tokens with fields for those with a digit; a short line of nothing else keeps them."""
+    bare = (F.size(tokens) < min_tokens) & F.forall(tokens, lambda t: t.rlike("[0-9]"))
+    return F.when(bare, tokens).otherwise(_masked(tokens))
+
+
+def _leaf(tokens: Column, depth: int, min_tokens: int) -> Column:
+    """The leaf of a line: token count and leading tokens, of a short line all tokens."""
+    n = F.size(tokens)
+    return F.when(n < min_tokens, F.xxhash64(n, _fields(tokens, min_tokens))).otherwise(F.xxhash64(n, _masked(F.slice(tokens, 1, depth))))
 
 
 def _without(a: Column, gone: Column) -> Column:
@@ -95,7 +107,7 @@ def _without(a: Column, gone: Column) -> Column:
     return let(gone, runs)
 
 
-def _templates(held: DataFrame, min_docs: int, constant: float) -> DataFrame:
+def _templates(held: DataFrame, min_docs: int, constant: float, min_tokens: int, long_tokens: int) -> DataFrame:
     """(_lid, _owner) of the distinct lines that belong to a recurring template."""
     seen = cut_lineage(held.groupBy("_lid", "_cls").agg(F.min("_id").alias("_id")))
     distinct = (
@@ -110,13 +122,17 @@ def _templates(held: DataFrame, min_docs: int, constant: float) -> DataFrame:
     part = F.xxhash64("_at", F.when(F.col("_const") == 1, F.col("_token")).otherwise(FIELD))
     forms = (
         tokens.join(frequent, ["_leaf", "_at", "_token"], "left")
-        .groupBy("_lid", "_leaf").agg(F.bit_xor(part).alias("_form"), F.sum("_const").alias("_c"), F.count("*").alias("_len"))
-        .select("_lid", F.when(F.col("_c") >= constant * F.col("_len"), F.xxhash64("_leaf", "_form")).otherwise(F.col("_lid")).alias("_tpl"))
+        .groupBy("_lid", "_leaf").agg(F.bit_xor(part).alias("_form"), F.sum("_const").alias("_c"), F.count("*").alias("_len"), F.count_if(F.col("_token") != FIELD).alias("_words"))
+        .select("_lid", "_len", "_words", F.when(F.col("_c") >= constant * F.col("_len"), F.xxhash64("_leaf", "_form")).otherwise(F.col("_lid")).alias("_tpl"))
     )
     forms = cut_lineage(forms)
-    recurring = (
-        seen.join(forms, "_lid").groupBy("_tpl", "_cls").agg(F.min("_id").alias("_id"))
-        .groupBy("_tpl").agg(F.count("*").alias("_docs"), F.min_by("_cls", F.struct("_id", "_cls")).alias("_owner"))
-        .where(F.col("_docs") >= min_docs)
+    owner = F.min_by("_cls", F.struct("_id", "_cls")).alias("_owner")
+    # The lines of a template are equally long.
+    recurring = cut_lineage(
+        seen.join(forms.select("_lid", "_len", "_tpl"), "_lid").groupBy("_tpl", "_cls").agg(F.min("_id").alias("_id"), F.max("_len").alias("_len"))
+        .groupBy("_tpl").agg(F.count("*").alias("_docs"), F.max("_len").alias("_len"), owner)
+        .where(F.col("_docs") >= min_docs * F.greatest(F.lit(1), 1 + min_tokens - F.col("_len"))).select("_tpl", "_owner")
     )
-    return forms.join(recurring, "_tpl").select("_lid", "_owner")
+    twice = seen.groupBy("_lid").agg(F.count("*").alias("_docs"), owner).where("_docs > 1")
+    exact = forms.where(F.col("_words") >= long_tokens).join(recurring, "_tpl", "left_anti").join(twice, "_lid")
+    return forms.join(recurring, "_tpl").select("_lid", "_owner").union(exact.select("_lid", "_owner"))

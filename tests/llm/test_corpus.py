@@ -97,6 +97,24 @@ def test_lines(spark):
     assert out[6]["text"] is None and out[6]["n_lines"] == 0 and out[7]["text"] == "" and out[8]["text"] == "one two"
 
 
+def freed(spark, texts):
+    out = {r["doc_id"]: r for r in got(lines.drop_templates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    return [out[i]["text"] for i in range(len(texts))]
+
+
+def test_short_and_long_lines(spark):
+    own = [f"{prose(300 + i)}\n{prose(400 + i)}" for i in range(20)]
+    long = prose(999, 60)
+    texts = [f"{x}\n{1900 + i}" for i, x in enumerate(own)]
+    texts[:12] = [f"{x}\nAll rights reserved." for x in texts[:12]]
+    texts[:5] = [f"{x}\nSee you." for x in texts[:5]]
+    texts[15] += "\n" + long
+    texts[18] += "\n" + long
+    want = [x if i == 0 else x.replace("\nAll rights reserved.", "") for i, x in enumerate(texts)]
+    want[18] = want[18].replace("\n" + long, "")
+    assert freed(spark, texts) == want
+
+
 def test_lines_on_odd_rows(odd, none):
     assert len(got(lines.drop_templates(odd))) == len(ROWS) and not got(lines.drop_templates(none))
 
