@@ -11,7 +11,8 @@ tokens, those of numbers alone with their digits, and each token that they lack
 documents. A long line that stands in two different texts recurs, but for its fields word for word.
 
 Documents with the same text count once, so copies of a document are no evidence against its lines; and a document of
-which nearly all would go is a copy as a whole and is left to document deduplication. Everything is hash aggregation
+which nearly all would go stays whole, for document deduplication, only if all that would go belongs to one other
+document and is nearly all of that one too. Everything is hash aggregation
 and equi-joins on distinct lines: no line pairs are formed, and a line that a third of all documents share is one row
 after the first partial aggregate.
 
@@ -37,7 +38,7 @@ def drop_templates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     ``min_docs``: documents of different text that make a token constant and a template recurring. ``depth``: leading
     tokens of a leaf. ``constant``: least share of constant tokens in a generalised template. ``copy_share``: a
-    document that would lose a larger share of its words stays whole. ``min_tokens``: shorter lines ask for more
+    document stays whole if its recurring lines have one owner and hold this share of the words of both together. ``min_tokens``: shorter lines ask for more
     documents. ``long_tokens``: tokens without a digit of a line for which two texts are enough.
     """
     text_lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
@@ -46,11 +47,11 @@ def drop_templates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     placed = cut_lineage(
         keyed.select("_id", "_cls", F.posexplode("_lines").alias("_pos", "_line"))
         .select("_id", "_cls", "_pos", words(F.col("_line")).alias("_tokens"))
-        .where(F.size("_tokens") > 0)
-        .select("_id", "_cls", "_pos", _leaf(F.col("_tokens"), depth, min_tokens).alias("_leaf"))
+        .where((F.size("_tokens") > 0) | (F.col("_pos") == 0))  # a first line counts its row below
+        .select("_id", "_cls", "_pos", F.size("_tokens").alias("_n"), _leaf(F.col("_tokens"), depth, min_tokens).alias("_leaf"))
     )
     # A leaf of a single document holds no recurring template; minimum and maximum tell, and combine before the shuffle.
-    shared = placed.groupBy("_leaf").agg(F.min("_cls").alias("a"), F.max("_cls").alias("b")).where("a <> b").select("_leaf")
+    shared = placed.where("_n > 0").groupBy("_leaf").agg(F.min("_cls").alias("a"), F.max("_cls").alias("b")).where("a <> b").select("_leaf")
     spots = (
         placed.join(shared, "_leaf", "left_semi")
         .groupBy(F.col("_id").alias("_i"), F.col("_cls").alias("_c")).agg(F.collect_set(F.struct("_pos", "_leaf")).alias("_spots"))
@@ -62,16 +63,26 @@ def drop_templates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         .withColumn("_lid", F.xxhash64("_tokens"))
     )
     templates = _templates(held, min_docs, constant, min_tokens, long_tokens)
-    gone = (
+    gone = cut_lineage(
         held.select("_id", "_cls", "_pos", "_lid", F.size("_tokens").alias("_n"))
         .join(templates, "_lid").where(F.col("_cls") != F.col("_owner"))
-        .groupBy("_id", "_cls").agg(F.array_sort(F.collect_set(F.struct("_pos", "_n"))).alias("_gone"))
+        .groupBy("_id", "_cls").agg(F.array_sort(F.collect_set(F.struct("_pos", "_n"))).alias("_gone"),
+                                    F.min("_owner").alias("_owner"), F.max("_owner").alias("_last"))
     )
+    words_of = cut_lineage(placed.groupBy("_cls").agg((F.sum("_n") / F.count_if(F.col("_pos") == 0)).alias("_all")))
+    lost = F.aggregate("_gone", F.lit(0), lambda a, x: a + x["_n"])
+    copies = (
+        gone.where("_owner = _last").select("_id", "_cls", "_owner", lost.alias("_lost"))
+        .join(words_of, "_cls").where(F.col("_lost") >= copy_share * F.col("_all"))
+        .join(words_of.select(F.col("_cls").alias("_owner"), F.col("_all").alias("_theirs")), "_owner")
+        .where(F.col("_lost") >= copy_share * (F.col("_all") + F.col("_theirs") - F.col("_lost")))
+        .select(F.col("_id").alias("_i"), F.col("_cls").alias("_c"))
+    )
+    gone = gone.join(copies, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_cls") == F.col("_c")), "left_anti")
     keep = [c for c in docs.columns if c not in ADDED]
     base = docs.select(*keep, F.xxhash64(text).alias("_k"))
     joined = base.join(gone, base[id_col].eqNullSafe(gone["_id"]) & (base["_k"] == gone["_cls"]), "left")
-    lost = F.aggregate("_gone", F.lit(0), lambda a, x: a + x["_n"])
-    whole = F.col("_gone").isNull() | (lost > copy_share * F.size(words(F.col(text))))
+    whole = F.col("_gone").isNull()
     all_lines = F.split(F.col(text), "\n")
     out = F.when(whole, F.col(text)).otherwise(
         let(all_lines, lambda a: F.array_join(_without(a, F.transform("_gone", lambda x: x["_pos"])), "\n")))

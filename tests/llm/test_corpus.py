@@ -115,6 +115,15 @@ def test_short_and_long_lines(spark):
     assert freed(spark, texts) == want
 
 
+def test_only_copies_of_one_document_stay_whole(spark):
+    a, b, c = ([prose(500 + 10 * i + j, 30) for j in range(6)] for i in range(3))
+    mixed = "\n".join(a[:3] + b[:3])  # recurring lines of two owners: nothing is its own
+    page = "\n".join([*c[:2], "Own."])  # a part of one owner
+    copy = "\n".join(["Other start.", *a])  # nearly the text of one owner
+    texts = ["\n".join(x) for x in (a, b, c)] + [mixed, page, copy, copy.replace("start", "words")]
+    assert freed(spark, texts) == [*texts[:3], "", "Own.", *texts[5:]]
+
+
 def test_lines_on_odd_rows(odd, none):
     assert len(got(lines.drop_templates(odd))) == len(ROWS) and not got(lines.drop_templates(none))
 
