@@ -1,7 +1,7 @@
 """Main text of web pages by a linear-chain conditional random field over DOM leaf blocks.
 
-A page is cut into leaf blocks: runs of text between block-level tags, inline markup joined, scripts and styles left
-out. A block's features are its ancestors' tags and class or id words, and its text: length, links, punctuation,
+A page is cut into leaf blocks: runs of text between block-level tags, inline markup and formulas joined; scripts,
+styles, controls and drawings left out. A block's features are its ancestors' tags and class or id words, and its text: length, links, punctuation,
 notices' words. A CRF with the labels main and other, trained by stochastic gradient ascent on labelled pages, scores
 blocks and neighbouring labels; Viterbi decodes a whole page.
 
@@ -9,7 +9,8 @@ Labelled pages are made by :func:`labelled_pages`: page layouts with known main
 sidebars, notices, adverts, forms, comments), a bounded number given by a parameter and drawn from a fixed seed.
 
 Edge cases: a null or empty page, or one without text, gives the empty string; unclosed and stray tags are tolerated,
-and an unclosed comment or script reaches to the end of the page; repeated rows are treated alike; an empty table gives
+an unclosed comment, script, style, textarea, iframe or noscript reaches to the end of the page, any other element left out to its
+parent's end or a tag that it cannot hold; repeated rows are treated alike; an empty table gives
 no rows; other columns are not read. Whole pages are parsed, whatever their length.
 """
 
@@ -27,13 +28,24 @@ from pyspark.sql import functions as F
 
 PAGES = 240
 FEATURES = 1 << 12
-#: Inline tags do not end a block; void tags have no content; skipped tags hold no text of the page.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Inline tags do not end a block; void tags have no content; raw and left-out ones hold no text of the page.
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr "
+                   "math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup "
+                   "mtable mtd mtext mtr munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template svg head iframe object canvas math select option button textarea".split())
+RAW = frozenset("script style noscript iframe textarea".split())
+LEFT_OUT = frozenset("template svg head object canvas select optgroup option button annotation annotation-xml".split())
+#: What a head may hold; tags that end an open drawing, control or list of choices when they begin inside it.
+IN_HEAD = frozenset("title meta link base basefont bgsound command".split())
+ENDS_SVG = frozenset("article aside blockquote body center code dd div dl dt em footer h1 h2 h3 h4 h5 h6 header hr img li main menu nav ol p pre section span strong sub sup table ul".split())
+ENDS_CHOICE = frozenset("article aside blockquote body footer form h1 h2 h3 h4 h5 h6 header input main nav ol p pre section table textarea ul".split())
+ENDS_BUTTON = frozenset("article aside body button footer form header main nav section".split())
 #: Tags whose open paragraphs or items end when another begins.
-CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+CLOSES = {"option": ("option",), "optgroup": ("option", "optgroup"), "p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
+#: Where the search for an element to end stops.
+ENDS_INLINE = frozenset("p div td li article section body template".split())
+ENDS_IMPLIED = frozenset("table ul ol dl div article section aside main body".split()) | LEFT_OUT
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NOTICE = re.compile(r"\b(?:cookie|copyright|©|all rights|subscribe|newsletter|sign up|log ?in|privacy|terms|advert|sponsor|share|follow us|comment|reply|related|read more)", re.I)
@@ -56,27 +68,56 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
     linked, at, end = 0, 0, len(page)
+    hidden = -1  # place in the stack of the outermost element whose text is left out
 
     def flush() -> None:
         nonlocal linked
         t = " ".join(html.unescape("".join(text)).split())
         if t:
-            marks = tuple(dict.fromkeys(w for tag, words in stack if tag not in INLINE for w in (f"<{tag}>", *words)))
+            shown = stack if hidden < 0 else stack[:hidden]
+            marks = tuple(dict.fromkeys(w for tag, words in shown if tag not in INLINE for w in (f"<{tag}>", *words)))
             out.append((t, marks, min(1.0, linked / max(1, len(t)))))
         text.clear()
         linked = 0
 
-    def pop(tag: str, stop: tuple[str, ...] = ()) -> None:
+    def cut(i: int) -> None:
+        nonlocal hidden
+        if hidden > i:
+            flush()  # the text before the element that its parent's end closes
+        if hidden >= i:
+            hidden = -1
+        del stack[i:]
+
+    def pop(tag: str, stop: tuple[str, ...] | frozenset[str] = ()) -> None:
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == tag:
-                del stack[i:]
+                cut(i)
                 return
             if stack[i][0] in stop:
                 return
 
+    def leave(tag: str) -> None:
+        """End the elements left out that cannot hold the tag."""
+        kinds = [t for t, _ in stack[hidden:]]
+        if "template" in kinds:
+            return
+        if kinds[0] == "head":
+            if tag not in IN_HEAD and tag != "head":
+                cut(hidden)
+        elif kinds[0] == "svg":
+            if tag in ENDS_SVG and not {"foreignobject", "desc"} & set(kinds):
+                cut(hidden)
+        elif kinds[0] in ("select", "optgroup", "option"):
+            if tag in ENDS_CHOICE or kinds[0] == tag == "select":
+                cut(hidden)
+        elif kinds[0] == "button" and tag in ENDS_BUTTON:
+            cut(hidden)
+
     def add(piece: str) -> None:
         nonlocal linked
-        if piece:
+        if piece and hidden >= 0 and stack[-1][0] == "head" and piece.strip():
+            cut(hidden)
+        if piece and hidden < 0:
             text.append(piece)
             if any(tag == "a" for tag, _ in stack):
                 linked += len(piece.strip())
@@ -91,25 +132,43 @@ def blocks(page: str) -> list[Block]:
         if not m[1]:
             continue
         tag, closing = m[1].lower(), page[m.start() + 1] == "/"
-        if tag in SKIPPED and not closing:
-            if tag == "head" or not m[2].rstrip().endswith("/"):
-                close = re.compile(rf"</{tag}\s*>" if tag != "head" else r"</head\s*>|(?=<body[\s>])", re.I).search(page, at)
-                at = close.end() if close else end
-            if tag not in ("button",):
+        alone = tag in VOID or m[2].rstrip().endswith("/")
+        if hidden >= 0 and not closing and tag not in RAW | {"template"}:
+            leave(tag)
+        if not closing and (tag in RAW or tag == "title" and hidden >= 0):
+            if not alone:
+                close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                if close:
+                    at = close.end()
+                elif tag in RAW:
+                    at = end
+                else:
+                    stack.append((tag, ()))
+            if hidden < 0:
+                flush()
+            continue
+        if tag in LEFT_OUT and not closing:
+            if hidden < 0 and tag not in ("button", "annotation", "annotation-xml"):
                 flush()
+            for other in CLOSES.get(tag, ()):
+                pop(other, LEFT_OUT)
+            if tag == "head" or not alone:
+                hidden = len(stack) if hidden < 0 else hidden
+                stack.append((tag, ()))
             continue
         if tag in INLINE:
             if closing:
-                pop(tag, ("p", "div", "td", "li", "article", "section", "body"))
-            elif tag not in VOID:
+                pop(tag, ENDS_INLINE)
+            elif not alone or tag not in VOID and hidden < 0:
                 stack.append((tag, named(m[2])))
             continue
-        flush()
+        if hidden < 0:
+            flush()
         if closing:
-            pop(tag)
-        elif tag not in VOID and not m[2].rstrip().endswith("/"):
+            pop(tag, ("template",) if hidden >= 0 and tag != "template" else ())
+        elif not alone:
             for other in CLOSES.get(tag, ("p",) if tag in ENDS_P else ()):
-                pop(other, ("table", "ul", "ol", "dl", "div", "article", "section", "aside", "main", "body"))
+                pop(other, ENDS_IMPLIED)
             stack.append((tag, named(m[2])))
     flush()
     return out

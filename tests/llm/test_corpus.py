@@ -366,6 +366,24 @@ def test_main_text(spark, none):
     assert right / total > 0.95
 
 
+ARTICLE = "<article><h1>The title</h1><p>One line of text.</p></article>"
+
+
+@pytest.mark.parametrize("before", [
+    '<body><datalist id="x"><option value="A"><option value="B"></datalist>', "<head><title>Site</title><meta charset=utf-8>", "<head><title>Site",
+    "<head><title>Site</title></head><body><select><option>A<option>B</select>", "<body><div><svg><path d='M0 0'></div>", "<body><nav><button>Menu</nav>",
+    "<body><div><object data=x><p>none</div>", "<body><div><canvas>none</div>", "<body><select><option>A<option>B", "<body><div><template><p>none</div></template></div>",
+])
+def test_unclosed_elements_left_out(before):
+    assert [b[0] for b in html.blocks(before + ARTICLE)] == ["The title", "One line of text."]
+
+
+def test_left_out_elements_in_a_block():
+    t = ("<p>So <math><mi>a</mi><mo>=</mo><mn>2</mn><annotation>a=2</annotation></math> holds<button>x<br>y</button>, <svg><title>t</title><text>z</text></svg>and on"
+         "<ul><li>k<template><li>l</template> m</ul><p>Last<option>o</p><script>unclosed")
+    assert [b[0] for b in html.blocks(t)] == ["So a=2 holds,", "and on", "k", "m", "Last"]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
