@@ -7,7 +7,8 @@ them are reranked by true distance, and the nearest of all files form the answer
 to blocks of bounded size; only each part's nearest few leave it, so no pairs are emitted. A query that finds too few
 is answered by a scan of all vectors in the same blocks.
 
-Recall at 10 against brute force: 0.98 on 10,256 vectors of 64 dimensions (64 pivots, post 8, visit 16, share 0.5).
+Recall at 10 against brute force (64 pivots, post 8, visit 16, share 0.5), of the Spark query: 0.96 on 500 vectors, 0.97
+on 2,000, 0.997 on 51,282.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those whose
 dimension differs from the pivots'; equal distances go to the smaller id; repeated ids stand for one vector each; with
@@ -28,8 +29,9 @@ from .common import cut_lineage
 
 PIVOTS, POST, VISIT, SHARE = 64, 8, 16, 0.5
 PART, QUERIES = 4096, 1024
-#: Up to so many vectors, one file holds all and everything in it is reranked.
-ONE_FILE = 4096
+#: Up to so many vectors, one file would hold all and everything in it be reranked: none, the index runs at every size.
+#: Kept for the test that compares both.
+ONE_FILE = 0
 
 
 def usable(v: Column) -> Column:

@@ -341,6 +341,16 @@ def test_nearest(spark, monkeypatch, one_file):
     assert ann.nearest(few, F.col("vec_id") == 0).count() == 2 and ann.nearest(few.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_small_tables_use_the_index(spark, monkeypatch):
+    asked = []
+    post = ann._post
+    monkeypatch.setattr(ann, "_post", lambda v, pivots, files: asked.append((len(pivots), files)) or post(v, pivots, files))
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(rng.normal(size=(300, 8)))]
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") < 3)
+    assert asked[:2] == [(ann.PIVOTS, ann.POST), (ann.PIVOTS, ann.VISIT)] and out.count() == 30
+
+
 def test_viterbi_matches_enumeration():
     rng = np.random.default_rng(7)
     u, p = rng.normal(size=(6, 2)), rng.normal(size=(2, 2))
