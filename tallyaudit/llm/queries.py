@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html, langid, lines, mixing, near_dedup, packing, pii, quality, secrets
+from . import ann, html, langid, lines, mixing, near_dedup, packing, pii, quality, repair, secrets
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", "text")
 
 
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damage(turns), turns)
+
+
 #: The template tree in SQL, on the lines themselves where the operator has hashes of them.
 ORACLE["op3_line_dedup"] = r"""
 WITH lines AS (
