@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html, langid, lines, mixing, near_dedup, packing, pii, quality, repair, secrets
+from . import ann, html, langid, lexical, lines, mixing, near_dedup, packing, pii, quality, repair, secrets
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", "text")
 
 
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
@@ -116,3 +121,27 @@ SELECT doc_id, coalesce(len(arr), 0)::BIGINT AS n_lines, len(gone)::BIGINT AS n_
          ELSE array_to_string(list_transform(list_filter(range(1, len(arr) + 1), lambda i: NOT list_contains(gone, i)), lambda i: arr[i]), chr(10)) END AS text
 FROM judged
 """
+
+
+#: Scores of all documents for all items in exact arithmetic.
+ORACLE["op12_ranked_search"] = r"""
+WITH terms AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), counted AS (
+    SELECT doc_id, t, count(*) AS tf, any_value(len(ts)) AS n FROM terms, unnest(ts) AS u(t) GROUP BY doc_id, t
+), whole AS (
+    SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM terms WHERE len(ts) > 0
+), weights AS (
+    SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counted, whole GROUP BY t, n_docs
+), asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark
+), scored AS (
+    SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+    FROM asked JOIN weights USING (t) JOIN counted USING (t), whole GROUP BY item_id, doc_id
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
