@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html, langid, lexical, lines, mixing, near_dedup, packing, pii, quality, repair, secrets
+from . import ann, fingerprint, html, langid, lexical, lines, mixing, near_dedup, packing, pii, quality, repair, secrets
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", "text")
 
 
+@query
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -145,3 +150,41 @@ WITH terms AS (
 )
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
 """
+
+
+#: Sketches cell by cell; likeness from the sets of digests themselves, where the operator recovers what differs.
+ORACLE["op11_fingerprints"] = r"""
+WITH ordered AS (
+    SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id), '') AS next_text FROM documents
+), texts AS (
+    SELECT doc_id, length(text) AS n_chars, text, next_text,
+        concat(substr(text, 1, length(text) - length(text) // 2), substr(next_text, 1, length(text) // 2)) AS edited FROM ordered
+), sides AS (
+    SELECT doc_id, 'a' AS side, text AS t FROM texts UNION ALL SELECT doc_id, 'e', edited FROM texts UNION ALL SELECT doc_id, 'b', next_text FROM texts
+), digests AS (
+    SELECT DISTINCT doc_id, side, ('0x' || substr(md5(line), 1, 15))::BIGINT AS k
+    FROM sides, unnest(string_split(t, chr(10))) AS u(line) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), filled AS (
+    SELECT doc_id, side, t, (k >> (4 * t)) & 15 AS i, count(*) AS n, bit_xor(k) AS k, bit_xor(((k % 2147483647) * 1103515245 + 12345) % 4294967291) AS c
+    FROM digests, range(3) AS r(t) GROUP BY ALL
+), shown AS (
+    SELECT s.doc_id, s.side, string_agg(coalesce(n::VARCHAR || ',' || printf('%x', f.k) || ',' || printf('%x', f.c), ''), ';' ORDER BY p.t, p.i) AS cells
+    FROM (SELECT doc_id, side FROM sides) s CROSS JOIN (SELECT t, i FROM range(3) AS a(t), range(16) AS b(i)) p
+    LEFT JOIN filled f ON f.doc_id = s.doc_id AND f.side = s.side AND f.t = p.t AND f.i = p.i GROUP BY ALL
+), sizes AS (
+    SELECT doc_id, side, count(*) AS n FROM digests GROUP BY ALL
+), both_ AS (
+    SELECT x.doc_id, y.side, count(*) AS common FROM digests x JOIN digests y ON x.doc_id = y.doc_id AND x.k = y.k AND x.side = 'a' AND y.side <> 'a' GROUP BY ALL
+), likes AS (
+    SELECT s.doc_id, s.side, CASE WHEN coalesce(a.n, 0) + coalesce(b.n, 0) = 0 THEN 1.0::DOUBLE
+        ELSE coalesce(c.common, 0)::DOUBLE / (coalesce(a.n, 0) + coalesce(b.n, 0) - coalesce(c.common, 0)) END AS near
+    FROM (SELECT doc_id, side FROM sides WHERE side <> 'a') s LEFT JOIN sizes a ON a.doc_id = s.doc_id AND a.side = 'a'
+    LEFT JOIN sizes b ON b.doc_id = s.doc_id AND b.side = s.side LEFT JOIN both_ c ON c.doc_id = s.doc_id AND c.side = s.side
+)
+SELECT t.doc_id, t.n_chars, sha256(t.edited) AS edited_sha256,
+    concat(coalesce(a.n, 0)::VARCHAR, ':', f.cells) AS fingerprint, concat(coalesce(e.n, 0)::VARCHAR, ':', g.cells) AS edited_fingerprint,
+    le.near AS near_edited, ln.near AS near_next
+FROM texts t JOIN shown f ON f.doc_id = t.doc_id AND f.side = 'a' JOIN shown g ON g.doc_id = t.doc_id AND g.side = 'e'
+LEFT JOIN sizes a ON a.doc_id = t.doc_id AND a.side = 'a' LEFT JOIN sizes e ON e.doc_id = t.doc_id AND e.side = 'e'
+JOIN likes le ON le.doc_id = t.doc_id AND le.side = 'e' JOIN likes ln ON ln.doc_id = t.doc_id AND ln.side = 'b'
+"""
