@@ -18,14 +18,15 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import per_text
+
 PAGES = 240
 FEATURES = 1 << 12
 #: Inline tags do not end a block; void tags have no content; raw and left-out ones hold no text of the page.
@@ -326,12 +327,8 @@ def extract(pages: DataFrame, html_col: str = "html", carry: tuple[str, ...] = (
     """The ``carry`` columns, text (main text) and n_chars (its code points) of every page."""
     model = pages.sparkSession.sparkContext.broadcast(train(labelled_pages(labelled)))  # 2 x FEATURES numbers
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, pair = model.value
-        for f in frames:
-            text = [main_text(h, w, pair) for h in f["_html"]]
-            yield f.drop(columns=["_html"]).assign(text=text, n_chars=np.array([len(t) for t in text], np.int64))
+    def run(texts: list) -> tuple[None, list[list]]:
+        text = [main_text(h, *model.value) for h in texts]
+        return None, [text, [len(t) for t in text]]
 
-    picked = pages.select(*carry, F.col(html_col).alias("_html"))
-    schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in carry)
-    return picked.mapInPandas(run, f"{schema}, text string, n_chars long")
+    return per_text(pages, [F.col(c) for c in carry], F.col(html_col), run, {"text": pa.string(), "n_chars": pa.int64()})

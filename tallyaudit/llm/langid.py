@@ -13,14 +13,14 @@ repeated rows are predicted alike; an empty table gives no rows; other columns a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import per_text
+
 BUCKETS = 4096
 DIM = 16
 PER_LANG = 600
@@ -91,17 +91,13 @@ def fit(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str =
     chosen = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_lang).select("_id").distinct()
     rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"], "left_semi").where(F.col(lang).isNotNull())
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            kept = [(i, k, c) for i, k, t in zip(f["i"], f["k"], f["t"]) if (c := bucket_counts(t)) is not None]
-            if not kept:
-                continue
-            at = [np.flatnonzero(c) for _, _, c in kept]
-            yield pd.DataFrame({"i": [i for i, _, _ in kept], "k": [k for _, k, _ in kept], "at": pd.Series([a.tolist() for a in at], dtype=object),
-                                "n": pd.Series([c[a].tolist() for a, (_, _, c) in zip(at, kept)], dtype=object)})
+    def run(texts: list) -> tuple[list, list[list]]:
+        kept = [(i, c) for i, t in enumerate(texts) if (c := bucket_counts(t)) is not None]
+        at = [np.flatnonzero(c) for _, c in kept]
+        return [i for i, _ in kept], [[a.tolist() for a in at], [c[a].tolist() for a, (_, c) in zip(at, kept)]]
 
-    sample = rows.select(F.col(id_col).alias("i"), F.col(lang).alias("k"), F.col(text).alias("t")).mapInPandas(
-        run, "i long, k string, at array<long>, n array<long>").dropDuplicates(["i", "k"]).toPandas().sort_values(["i", "k"], ignore_index=True)
+    found = per_text(rows, [F.col(id_col).alias("i"), F.col(lang).alias("k")], F.col(text), run, {"at": pa.list_(pa.int64()), "n": pa.list_(pa.int64())})
+    sample = found.dropDuplicates(["i", "k"]).toPandas().sort_values(["i", "k"], ignore_index=True)
     langs = sorted(set(sample["k"]))
     x = np.zeros((len(sample), BUCKETS), np.float32)
     for r, (at, n) in enumerate(zip(sample["at"], sample["n"])):
@@ -126,23 +122,20 @@ def predict(docs: DataFrame, model: dict, text: str = "text", id_col: str = "doc
     """doc_id, lang_pred, score (calibrated probability) and rejected (score below the model's limit)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for f in frames:
-            rows = []
-            for i, t in zip(f["i"], f["t"]):
-                c = bucket_counts(t)
-                if c is None or not m["langs"]:
-                    rows.append((i, UNKNOWN, 0.0, True))
-                    continue
-                z = (c @ m["table"]) / c.sum() + m["bias"]
-                p = softmax(z[None] / m["temperature"])[0]
-                best = int(p.argmax())
-                rows.append((i, m["langs"][best], float(p[best]), bool(p[best] < m["limit"])))
-            yield pd.DataFrame(rows, columns=["doc_id", "lang_pred", "score", "rejected"])
-
-    return docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")).mapInPandas(
-        run, "doc_id long, lang_pred string, score double, rejected boolean")
+    def run(texts: list) -> tuple[None, list[list]]:
+        m, rows = shared.value, []
+        for t in texts:
+            c = bucket_counts(t)
+            if c is None or not m["langs"]:
+                rows.append((UNKNOWN, 0.0, True))
+                continue
+            z = (c @ m["table"]) / c.sum() + m["bias"]
+            p = softmax(z[None] / m["temperature"])[0]
+            best = int(p.argmax())
+            rows.append((m["langs"][best], float(p[best]), bool(p[best] < m["limit"])))
+        return None, [[r[c] for r in rows] for c in range(3)]
+
+    return per_text(docs, [F.col(id_col).alias("doc_id")], F.col(text), run, {"lang_pred": pa.string(), "score": pa.float64(), "rejected": pa.bool_()})
 
 
 def identify(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str = "lang") -> DataFrame:

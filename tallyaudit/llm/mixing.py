@@ -22,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut_lineage, words
+from .common import cut_lineage, row_keyed, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
@@ -146,13 +147,13 @@ def _placed(rows: DataFrame, seed: int) -> tuple[DataFrame, pd.DataFrame]:
 
 
 def _sized(docs: DataFrame, text: str, id_col: str, source: str) -> DataFrame:
-    return docs.select("_row", F.col(id_col).alias("doc_id"), F.col(source).alias("source"),
-                       F.size(words(F.col(text))).cast("long").alias("size"), F.xxhash64(text).alias("_h"))
+    return docs.select("_row", F.col(f"_doc.{id_col}").alias("doc_id"), F.col(f"_doc.{source}").alias("source"),
+                       F.size(words(F.col(f"_doc.{text}"))).cast("long").alias("size"), F.xxhash64(f"_doc.{text}").alias("_h"))
 
 
 def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", seed: int = 17) -> DataFrame:
     """doc_id, size, source_size, target and taken (words the mix takes of the document, repeats counted) per row."""
-    rows = cut_lineage(_sized(docs.withColumn("_row", F.monotonically_increasing_id()), text, id_col, source))
+    rows = cut_lineage(_sized(row_keyed(docs), text, id_col, source))
     cut, _ = _placed(rows, seed)
     taken = F.coalesce(F.sum((F.col("hi") - F.col("lo")) * F.col("times")), F.lit(0)).cast("long")
     return cut.groupBy("_row", "doc_id", "size", "source_size", "target").agg(taken.alias("taken")).drop("_row")
@@ -181,18 +182,21 @@ def taken_texts(text: str, pieces: list[tuple[int, int, int]]) -> list[str]:
 def mixed_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", n_chars: str = "n_chars",
                     seed: int = 17) -> DataFrame:
     """The mix itself: for each pass a row of the document with the words taken then; the columns of ``docs``."""
-    rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
+    rows = row_keyed(docs)
     cut, _ = _placed(cut_lineage(_sized(rows, text, id_col, source)), seed)
     pieces = cut.where("times > 0").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "times"))).alias("_pieces"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = [taken_texts(t, [(p["lo"], p["hi"], p["times"]) for p in ps]) for t, ps in zip(f[text], f["_pieces"])]
-            f = f.drop(columns=["_pieces"]).assign(**{text: out}).explode(text, ignore_index=True)
-            f = f[f[text].notna()]
-            if n_chars in f.columns:
-                f = f.assign(**{n_chars: f[text].str.len()})
-            yield f
-
-    joined = rows.join(pieces, "_row").drop("_row")
-    return joined.mapInPandas(run, docs.schema)
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, at, out = b.column("_doc"), [], []
+            for i, (t, ps) in enumerate(zip(doc.field(text), b.column("_pieces").to_pylist())):
+                for x in taken_texts(t.as_py(), [(p["lo"], p["hi"], p["times"]) for p in ps]):
+                    at.append(i)
+                    out.append(x)
+            made = {text: out, n_chars: [len(x) for x in out]}
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(made[c], doc.field(c).type) if c in made else doc.field(c).take(rows) for c in names], names=names)
+
+    return rows.join(pieces, "_row").select("_doc", "_pieces").mapInArrow(run, docs.schema)

@@ -2,7 +2,7 @@
 
 1. One pass over the texts makes a document's distinct 5-word shingles (64-bit hashes), their minima under K
    permutations, band keys from the minima, and the b-bit signature: the low bits of each minimum, packed into words.
-2. Documents with the same words are one representative (smallest id) from here on.
+2. Documents with the same words are one representative from here on.
 3. Representatives that share a band key are candidates. Equal bits of two signatures are counted; with
    C = 2^-b for bits that agree by chance, (E - C) / (1 - C) estimates the similarity. Estimates far below the
    limit (five standard deviations) are dropped; the others are confirmed on the full sets of both texts.
@@ -12,21 +12,27 @@
    no candidate link between components goes unseen.
 5. Components are found by label propagation with pointer jumping over the confirmed links.
 
+Word sequences are told apart by 128 bits of a cryptographic hash; everything else is compared in full.
+
 Edge cases: a null or empty text, or one of white space only, has no shingles and stays alone; with fewer than five
-words the whole sequence is the one shingle; repeated rows (same id, same text) give equal result rows; an empty table
-gives no rows; other columns are not read.
+words the whole sequence is the one shingle; repeated rows (same id, same text) give equal result rows, and rows that
+share an id but not a text are documents each; ids may be of any ordered type; a row without an id takes part, its
+component is named by the ids of the others, or null if they have none either, and is kept then; an empty table gives no
+rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, per_text
 
 WIDTH = 5
 BANDS, ROWS, BITS = 25, 5, 4
@@ -69,8 +75,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 def word_hashes(text: bytes) -> np.ndarray:
     """64-bit hash of each ASCII-lowered word of a UTF-8 text, in order.
 
-    A word's hash is the sum of byte codes times powers of an odd base, taken from prefix sums and shifted to the
-    word's start by the inverse power (all modulo 2^64), then mixed with the word's length.
+    Each byte is mixed with its place in the word on its own; a word's hash is the mixed sum of these and of its length.
     """
     b = np.frombuffer(text, np.uint8)
     b = np.where((b >= 65) & (b <= 90), b + 32, b)
@@ -79,9 +84,23 @@ def word_hashes(text: bytes) -> np.ndarray:
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return np.empty(0, np.uint64)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * _powers(_BASE, len(b)), dtype=np.uint64)))
-    inverse = _powers(np.uint64(pow(int(_BASE), -1, 2**64)), len(b))
-    return _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _STEP)
+    place = np.arange(len(b), dtype=np.uint64)
+    place[: starts[0]] = 0
+    for_word = np.diff(np.append(starts, len(b)))
+    place[starts[0] :] -= np.repeat(starts.astype(np.uint64), for_word)
+    x = _BYTE[b] + place * _BASE
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x ^ (x >> np.uint64(29)), dtype=np.uint64)))
+    return _mix(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64) * _STEP)
+
+
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+def word_digest(text: bytes) -> tuple[int, int]:
+    """128 bits of a cryptographic hash of the ASCII-lowered word sequence, as two numbers."""
+    d = hashlib.blake2b(b" ".join(text.translate(_LOWER).split()), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -139,23 +158,18 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, digest (of the word sequence), n_shingles, sig (packed) and bands (keys); no sig without shingles."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for i, t in zip(f["doc_id"], f["t"]):
-                w = word_hashes(t or b"")
-                digest = int(_mix((w * _powers(_BASE, len(w))).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(w)))[0].astype(np.int64))
-                sh = shingle_set(w)
-                if not len(sh):
-                    rows.append((i, digest, 0, None, None))
-                    continue
-                m = minima(sh)
-                rows.append((i, digest, len(sh), pack(m).astype(np.int64), band_keys(m)))
-            yield pd.DataFrame(rows, columns=["doc_id", "digest", "n_shingles", "sig", "bands"])
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInPandas(
-        run, "doc_id long, digest long, n_shingles long, sig array<long>, bands array<long>")
+    """doc_id, h (hash of the text), d1 and d2 (digest of the word sequence), n_shingles, sig (packed) and bands (keys); no sig without shingles."""
+    def run(texts: list) -> tuple[None, list[list]]:
+        out = []
+        for t in texts:
+            sh = shingles(t)
+            m = minima(sh) if len(sh) else None
+            out.append((*word_digest(t or b""), len(sh), *((None, None) if m is None else (pack(m).astype(np.int64), band_keys(m)))))
+        return None, [[r[c] for r in out] for c in range(5)]
+
+    longs = pa.list_(pa.int64())
+    carry = [F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h")]
+    return per_text(docs, carry, F.col(text).cast("binary"), run, {"d1": pa.int64(), "d2": pa.int64(), "n_shingles": pa.int64(), "sig": longs, "bands": longs})
 
 
 def _similar(pairs: DataFrame, limit: int) -> DataFrame:
@@ -320,19 +334,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     Documents with 100 * intersection >= ``limit`` * union are linked; ``component_id`` is the smallest id reachable and
     ``kept`` marks it. ``rounds``: rounds of single proposals before the rest is compared in full.
     """
-    sigs = cut_lineage(signatures(docs, text, id_col))
-    # Copies: representative of each word sequence.
-    reps = sigs.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    copies = cut_lineage(sigs.join(reps, "digest", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
-    first = sigs.where("n_shingles > 0").join(reps.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"]).dropDuplicates(["doc_id"])
+    # Every row is a document of its own, by a number that is never null; ids come back at the end.
+    sigs = cut_lineage(signatures(docs, text, id_col).withColumn("row", F.monotonically_increasing_id()))
+    # Copies: one row for each word sequence.
+    seq = ["d1", "d2"]
+    reps = sigs.where("n_shingles > 0").groupBy(*seq).agg(F.min("row").alias("rep"), F.min("doc_id").alias("low"))
+    copies = cut_lineage(sigs.join(reps, seq, "left").select(F.col("doc_id").alias("id"), "h", "row", "n_shingles", F.coalesce("rep", "row").alias("rep"), F.coalesce("low", "doc_id").alias("low")))
+    own = copies.where("n_shingles > 0 AND row = rep").select("row", "id", "h", "low")
+    first = sigs.join(own.select("row"), "row", "left_semi").withColumn("doc_id", F.col("row"))
     keys = first.select("doc_id", F.explode("bands").alias("key"))
     full = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     buckets = cut_lineage(keys.join(full, "key"))
     members = buckets.select("doc_id").distinct()
     sig = cut_lineage(first.join(members, "doc_id").select("doc_id", "sig"))
+    wanted = cut_lineage(own.join(members, own["row"] == members["doc_id"], "left_semi").select("row", F.col("id").alias("_i"), F.col("h").alias("_h")))
+    found = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_x"), F.col(text).cast("binary").alias("t"))
     texts = cut_lineage(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("binary").alias("t")).join(members, "doc_id", "left_semi")
-        .dropDuplicates(["doc_id"]))
+        found.join(wanted, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_x") == F.col("_h")))
+        .select(F.col("row").alias("doc_id"), "t").dropDuplicates(["doc_id"]))
     links, comps, tested = None, None, None
     for turn in range(rounds + 1):
         if turn < rounds:
@@ -353,8 +372,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         elif comps is not None:
             continue
         comps = cut_lineage(components(links, members))
+    # The smallest id of each component, over its word sequences.
+    rep_of = comps.select(F.col("doc_id").alias("rep"), "comp")
+    lows = rep_of.join(own.select(F.col("row").alias("rep"), "low"), "rep")
+    least = rep_of.join(lows.groupBy("comp").agg(F.min("low").alias("least")), "comp").select("rep", "least")
     return (
-        copies.join(comps.select(F.col("doc_id").alias("rep"), "comp"), "rep", "left")
-        .select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        copies.join(least, "rep", "left")
+        .select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("least", "low").alias("component_id"))
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )

@@ -16,13 +16,14 @@ import os
 import sys
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, per_text
 
 WINDOW = 2048
 CLOSING = (1).to_bytes(4, "little")
@@ -30,7 +31,6 @@ SHARD_PIECES = 32_768
 #: Chunks between blanks whose ids a Python worker remembers, across its tasks; it starts anew beyond that.
 MEMO = 1_200_000
 MEMO_CHARS = 48
-_memo: dict[str, dict[str, bytes]] = {}
 
 
 class CapacityTree:
@@ -82,13 +82,23 @@ def best_fit_decreasing(lengths: list[int], window: int = WINDOW) -> list[tuple[
     return out
 
 
+@lru_cache(maxsize=2)
+def _loaded(tokenizer: str) -> tuple[Callable, dict[str, bytes]]:
+    """The batch encoder and the memory of a Python worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer).encode_batch_fast, {}
+
+
 def _remember(new: set[str], memo: dict[str, bytes], encode: Callable) -> list[str]:
     """Add the ids of ``new`` chunks to ``memo``; returns those too long to stay there.
 
     The tokenizer lower-cases, never joins ids across a blank or line end, and separates letters from punctuation. So
-    chunks are coded on their own, a full stop or comma after a letter apart from the rest, and ASCII in lower case.
+    chunks are coded on their own, a full stop or comma after a Latin letter apart from the rest, and ASCII in lower
+    case. A dotted capital I ends in a combining mark once it is lower-cased, which is no letter; other scripts stay whole.
     """
-    parts = {c: (c[:-1], c[-1]) if len(c) > 1 and c[-1] in ".," and c[-2].isalpha() else (c, "") for c in new}
+    parts = {c: (c[:-1], c[-1]) if len(c) > 1 and c[-1] in ".," and c[-2] < "\u0250" and c[-2] != "\u0130" and c[-2].isalpha() else (c, "") for c in new}
     cores = {c: core.lower() if core.isascii() and "<|" not in core else core for c, (core, _) in parts.items()}
     missing = [c for c in {*cores.values(), *(end for _, end in parts.values())} if c not in memo]
     for c, e in zip(missing, encode(missing, add_special_tokens=False)):
@@ -100,30 +110,25 @@ def _remember(new: set[str], memo: dict[str, bytes], encode: Callable) -> list[s
 
 def pieces(docs: DataFrame, tokenizer: str, text: str = "text", id_col: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens) of the full windows and the rest of each document's ids."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        encode = Tokenizer.from_file(tokenizer).encode_batch_fast
-        memo = _memo.setdefault(tokenizer, {})
-        for f in frames:
-            rows = []
-            for i, t in zip(f["doc_id"], f["t"]):
-                chunks = (t or "").replace("\n", " ").split(" ")
-                if len(memo) > MEMO:
-                    memo.clear()
-                long = _remember({c for c in chunks if c not in memo}, memo, encode)
-                ids = b"".join([memo[c] for c in chunks]) + CLOSING
-                for c in long:
-                    memo.pop(c, None)
-                n = len(ids) // 4
-                for s in range(0, n, window):
-                    part = ids[4 * s : 4 * (s + window)]
-                    rows.append((i, s, len(part) // 4, zlib.crc32(part), n))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("t")).mapInPandas(
-        run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    def run(texts: list) -> tuple[list, list[list]]:
+        encode, memo = _loaded(tokenizer)
+        at, rows = [], []
+        for i, t in enumerate(texts):
+            chunks = (t or "").replace("\n", " ").split(" ")
+            if len(memo) > MEMO:
+                memo.clear()
+            long = _remember({c for c in chunks if c not in memo}, memo, encode)
+            ids = b"".join([memo[c] for c in chunks]) + CLOSING
+            for c in long:
+                memo.pop(c, None)
+            n = len(ids) // 4
+            for s in range(0, n, window):
+                part = ids[4 * s : 4 * (s + window)]
+                at.append(i)
+                rows.append((s, len(part) // 4, zlib.crc32(part), n))
+        return at, [[r[c] for r in rows] for c in range(4)]
+
+    return per_text(docs, [F.col(id_col).alias("doc_id")], F.col(text), run, dict.fromkeys(("start", "length", "ids_crc32", "doc_tokens"), pa.int64()))
 
 
 def pack(docs: DataFrame, tokenizer: str, text: str = "text", id_col: str = "doc_id", window: int = WINDOW) -> DataFrame:
@@ -131,14 +136,14 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", id_col: str = "doc
     cut = cut_lineage(pieces(docs, tokenizer, text, id_col, window).withColumn("_row", F.monotonically_increasing_id()))
     shards = max(1, -(-cut.count() // SHARD_PIECES))
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["doc_id", "start", "_row"], ignore_index=True)
-        places = best_fit_decreasing(f["length"].tolist(), window)
-        shard = int(f["_shard"].iat[0])
-        f["sequence_id"] = [(shard << 32) + w for w, _ in places]
-        f["offset"] = [o for _, o in places]
-        return f.drop(columns=["_row", "_shard"])
+    def run(f: pa.Table) -> pa.Table:
+        f = f.sort_by([("_row", "ascending")])
+        places = best_fit_decreasing(f.column("length").to_pylist(), window)
+        shard = f.column("_shard")[0].as_py()
+        f = f.drop_columns(["_row", "_shard"]).append_column("sequence_id", pa.array([(shard << 32) + w for w, _ in places], pa.int64()))
+        return f.append_column("offset", pa.array([o for _, o in places], pa.int64()))
 
     dealt = cut.withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(shards)))
-    return dealt.groupBy("_shard").applyInPandas(
-        run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    id_type = dealt.schema["doc_id"].dataType.simpleString()
+    return dealt.groupBy("_shard").applyInArrow(
+        run, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -14,12 +14,12 @@ no rows; other columns are not read. A long text is scanned once, with constant
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import per_text
 from .spans import Span, digest, listed
 
 BASE = ("email", "ip", "card", "phone")
@@ -117,15 +117,13 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
 
 
 def find_personal_data(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, the counts of the base kinds, base_sha256 and spans for every row."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for i, t in zip(f["doc_id"], f["t"]):
-                base, more = find(t or "")
-                n = [sum(s[2] == k for s in base) for k in BASE]
-                rows.append((i, *n, digest(base, KINDS), listed(base + more, KINDS)))
-            yield pd.DataFrame(rows, columns=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("t")).mapInPandas(
-        run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    """doc_id, the counts of the base kinds, base_sha256 and spans for every row; ids of any type, null ones too."""
+    def run(texts: list) -> tuple[None, list[list]]:
+        rows = []
+        for t in texts:
+            base, more = find(t or "")
+            rows.append((*(sum(s[2] == k for s in base) for k in BASE), digest(base, KINDS), listed(base + more, KINDS)))
+        return None, [[r[c] for r in rows] for c in range(len(BASE) + 2)]
+
+    added = {**{f"n_{k}": pa.int64() for k in BASE}, "base_sha256": pa.string(), "spans": pa.string()}
+    return per_text(docs, [F.col(id_col).alias("doc_id")], F.col(text), run, added)
