@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyaudit.llm import lines, mixing, near_dedup, packing, quality
-from tallyaudit.llm.common import cut_lineage, table
+from tallyaudit.llm.common import cut_lineage, row_keyed, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -30,11 +30,13 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row is a document of its own, whatever its id: of a group the row with the smallest id stays, rows without an
     id last. Rows without an id and rows that share one stay unless their text is a duplicate; rows without words all stay.
     """
-    rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
-    groups = near_dedup.near_duplicates(rows, id_col="_row", limit=80).select(F.col("doc_id").alias("_row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    kept = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min_by("_row", order).alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    rows = row_keyed(docs)
+    # The key leads with the id, so the smallest key of a group is the row that stays.
+    key = F.struct(F.col("_doc.doc_id").isNull().alias("none"), F.col("_doc.doc_id").alias("id"), "_row")
+    keyed = rows.select("_doc", key.alias("_key"))
+    groups = near_dedup.near_duplicates(keyed.select("_key", "_doc.text"), id_col="_key", limit=80)
+    kept = groups.where("kept").select(F.col("doc_id._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select("_doc.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
