@@ -216,6 +216,8 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
         F.col("digests").alias("a"), paragraphs(F.col("_e")).alias("e"), F.col("next_digests").alias("b"), F.monotonically_increasing_id().alias("_row")))
     pairs = held.select("_row", "a", F.explode(F.array(
         F.struct(F.lit("edited").alias("what"), F.col("e").alias("b")), F.struct(F.lit("next").alias("what"), F.col("b").alias("b")))).alias("_p")).select("_row", "a", "_p.*")
+    # Peeling is work on little data: by rows, not by bytes.
+    pairs = pairs.repartition(max(1, held.count() // RUN), "_row", "what")
     found = differing(pairs, ["_row", "what"]).select("_row", "what", (F.size("only_a") + F.size("only_b")).alias("d"))
     sizes = found.groupBy("_row").agg(*[F.max(F.when(F.col("what") == x, F.col("d"))).alias(x) for x in ("edited", "next")])
     n = {c: F.size(c) for c in "aeb"}

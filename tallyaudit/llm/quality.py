@@ -174,11 +174,11 @@ def assess(docs: DataFrame, text: str = "text", carry: list[str] | None = None,
     The counts are computed once and written to the shared folder; EM and the verdict read that table.
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c not in (*COUNTS, "base_failed", "p_good", "kept")]
-    scored = counts(docs, text).select(*carry, *COUNTS, *[c for c in ("_n_lines", "_ends", "_letters", "_capitals", "_function")])
-    scored = cut_lineage(scored.select(*carry, *COUNTS, *votes()))
+    scored = counts(docs.select(F.struct(F.lit(None).alias("none"), *carry).alias("_doc"), F.col(text).alias("_t")), "_t")
+    scored = cut_lineage(scored.select("_doc", *COUNTS, *votes()))
     names = [f"_v{i}" for i in range(len(RULES))]
     patterns = cut_lineage(scored.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1))
     odds = log_odds(*fit(patterns))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
-    return scored.select(*carry, *COUNTS, failed.alias("base_failed"), p.alias("p_good"), (~failed & (p >= threshold)).alias("kept"))
+    return scored.select(*[F.col(f"_doc.`{c}`") for c in carry], *COUNTS, failed.alias("base_failed"), p.alias("p_good"), (~failed & (p >= threshold)).alias("kept"))

@@ -87,16 +87,18 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damage(turns), turns)
 
 
-#: The template tree in SQL, on the lines themselves where the operator has hashes of them.
+#: The template tree in SQL, on the lines and texts themselves where the operator has hashes of them.
 ORACLE["op3_line_dedup"] = r"""
 WITH lines AS (
     SELECT doc_id, text AS cls, pos, list_filter(regexp_split_to_array(arr[pos], '[\x20\x09-\x0D]+'), lambda x: x <> '') AS raw
     FROM (SELECT doc_id, text, string_split(text, chr(10)) AS arr FROM documents), unnest(range(1, len(arr) + 1)) AS u(pos)
 ), masked AS (
-    SELECT doc_id, cls, pos, list_transform(raw, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
-    FROM lines WHERE len(raw) >= 5
+    SELECT doc_id, cls, pos, raw, list_transform(raw, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS mask
+    FROM lines WHERE len(raw) > 0
+), fielded AS (
+    SELECT *, CASE WHEN len(raw) < 5 AND len(list_filter(mask, lambda t: t <> '<*>')) = 0 THEN raw ELSE mask END AS tokens FROM masked
 ), leafed AS (
-    SELECT *, (len(tokens), tokens[1:3]) AS leaf FROM masked
+    SELECT doc_id, cls, pos, tokens, (len(tokens), CASE WHEN len(tokens) < 5 THEN tokens ELSE mask[1:3] END) AS leaf FROM fielded
 ), seen AS (
     SELECT leaf, tokens, cls, min(doc_id) AS doc_id FROM leafed GROUP BY ALL
 ), distinct_lines AS (
@@ -106,20 +108,36 @@ WITH lines AS (
 ), frequent AS (
     SELECT leaf, i, token FROM exploded WHERE token <> '<*>' GROUP BY ALL HAVING sum(n) >= 3
 ), forms AS (
-    SELECT e.leaf, e.tokens, CASE WHEN count(f.token) >= 0.7 * count(*)
+    SELECT e.leaf, e.tokens, count(*) FILTER (e.token <> '<*>') AS words, CASE WHEN count(f.token) >= 0.7 * count(*)
         THEN list(coalesce(f.token, '<*>') ORDER BY e.i) ELSE list_prepend('=', e.tokens) END AS tpl
     FROM exploded e LEFT JOIN frequent f USING (leaf, i, token) GROUP BY e.leaf, e.tokens
 ), per_doc AS (
-    SELECT leaf, tpl, cls, min(doc_id) AS doc_id FROM seen JOIN forms USING (leaf, tokens) GROUP BY ALL
+    SELECT leaf, tpl, cls, min(doc_id) AS doc_id, max(len(tokens)) AS n FROM seen JOIN forms USING (leaf, tokens) GROUP BY ALL
 ), recurring AS (
-    SELECT leaf, tpl, arg_min(cls, doc_id) AS owner FROM per_doc GROUP BY ALL HAVING count(*) >= 3
+    SELECT leaf, tpl, arg_min(cls, doc_id) AS owner FROM per_doc GROUP BY ALL HAVING count(*) >= 3 * greatest(1, 6 - max(n))
+), twice AS (
+    SELECT leaf, tokens, arg_min(cls, doc_id) AS owner FROM seen GROUP BY ALL HAVING count(*) > 1
+), owned AS (
+    SELECT leaf, tokens, owner FROM forms JOIN recurring USING (leaf, tpl)
+    UNION ALL
+    SELECT leaf, tokens, owner FROM forms ANTI JOIN recurring USING (leaf, tpl) JOIN twice USING (leaf, tokens) WHERE words >= 20
 ), gone AS (
-    SELECT doc_id, list(pos) AS gone, sum(len(tokens)) AS lost
-    FROM leafed JOIN forms USING (leaf, tokens) JOIN recurring USING (leaf, tpl) WHERE cls <> owner GROUP BY doc_id
+    SELECT doc_id, cls, list(pos) AS gone, sum(len(tokens)) AS lost, min(owner) AS owner, count(DISTINCT owner) AS owners
+    FROM leafed JOIN owned USING (leaf, tokens) WHERE cls <> owner GROUP BY doc_id, cls
+), lengths AS (
+    SELECT doc_id, text, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents WHERE text IS NOT NULL
+), pairs AS (
+    SELECT g.doc_id, a.w AS wa, b.w AS wb FROM gone g JOIN lengths a ON a.doc_id = g.doc_id JOIN (SELECT text, any_value(w) AS w FROM lengths GROUP BY text) b ON b.text = g.owner
+    WHERE owners = 1 AND lost >= 0.8 * len(a.w) AND lost >= 0.8 * (len(a.w) + len(b.w) - lost) AND g.owner NOT IN (SELECT cls FROM gone)
+), shingled AS (
+    SELECT doc_id, list_distinct(list_transform(range(1, greatest(1, len(wa) - 4) + 1), lambda i: wa[i:i + 4])) AS sa,
+        list_distinct(list_transform(range(1, greatest(1, len(wb) - 4) + 1), lambda i: wb[i:i + 4])) AS sb FROM pairs
+), copies AS (
+    SELECT doc_id FROM shingled WHERE 100 * len(list_intersect(sa, sb)) >= 80 * (len(sa) + len(sb) - len(list_intersect(sa, sb)))
 ), judged AS (
-    SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS arr,
-        CASE WHEN lost > 0.8 * len(list_filter(regexp_split_to_array(d.text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) THEN [] ELSE coalesce(gone, []) END AS gone
-    FROM documents d LEFT JOIN gone USING (doc_id)
+    SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS arr, CASE WHEN c.doc_id IS NULL THEN coalesce(gone, []) ELSE [] END AS gone
+    FROM documents d LEFT JOIN gone g ON g.doc_id = d.doc_id LEFT JOIN copies c ON c.doc_id = d.doc_id
 )
 SELECT doc_id, coalesce(len(arr), 0)::BIGINT AS n_lines, len(gone)::BIGINT AS n_dropped,
     CASE WHEN len(gone) = 0 THEN text
@@ -127,7 +145,6 @@ SELECT doc_id, coalesce(len(arr), 0)::BIGINT AS n_lines, len(gone)::BIGINT AS n_
 FROM judged
 """
 
-
 #: Scores of all documents for all items in exact arithmetic.
 ORACLE["op12_ranked_search"] = r"""
 WITH terms AS (
