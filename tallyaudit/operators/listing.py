@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from .history import reader_family
 
 FILTERS = ("todos", "con_pdf", "con_ocr", "con_anomalia", "con_discrepancia", "sin_procesar")
@@ -84,12 +85,51 @@ def sort_sheets(listing: DataFrame, mode: str = "mesa") -> DataFrame:
     return listing.orderBy(*sort_columns(mode))
 
 
+def write_page_index(listing: DataFrame, path: str, mode: str = "mesa", rows_per_part: int = 100_000) -> None:
+    """Write the list in the order of ``mode`` for :func:`read_page`, as parts of consecutive rows.
+
+    The list is range-partitioned by the sort key, every part sorted on its own; a row keeps its place in its part. A
+    summary of one row per part holds how many rows the parts before it have, so any place in the order is found
+    without sorting or passing over the rows ahead of it.
+    """
+    spark = listing.sparkSession
+    parts = max(1, -(-listing.count() // rows_per_part))
+    order = sort_columns(mode)
+    # A sorted partition numbers its rows one after another in the lower 33 bits.
+    number = F.monotonically_increasing_id()
+    rows = listing.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(
+        "*", F.shiftright(number, 33).alias("page_part"), number.bitwiseAND((1 << 33) - 1).alias("page_place"))
+    rows.write.partitionBy("page_part").parquet(f"{path}/rows")
+    # A list without rows leaves no file that tells its columns.
+    rows.where(F.lit(False)).write.parquet(f"{path}/columns")
+    sizes = spark.read.schema(rows.schema).parquet(f"{path}/rows").groupBy("page_part").agg(F.count("*").alias("n"))
+    # One row per part.
+    before = Window.orderBy("page_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes.select(F.col("page_part").cast("long"), "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")).coalesce(1).write.parquet(f"{path}/parts")
+
+
+def read_page(spark: SparkSession, path: str, number: int = 1, size: int = 100) -> DataFrame:
+    """One page of a list written by :func:`write_page_index`, in order, with the total and the page count.
+
+    Only the parts that hold the page are read.
+    """
+    # One row per part of a hundred thousand rows.
+    parts = spark.read.parquet(f"{path}/parts").collect()
+    total = sum(p["n"] for p in parts)
+    first, last = (number - 1) * size, number * size
+    held = {p["page_part"]: p["start"] for p in parts if p["start"] < last and p["start"] + p["n"] > first}
+    rows = spark.read.schema(spark.read.parquet(f"{path}/columns").schema).parquet(f"{path}/rows").where(F.col("page_part").isin(list(held)))
+    start = F.create_map(*[F.lit(x) for kv in held.items() for x in kv])[F.col("page_part")] if held else F.lit(0)
+    return (rows.withColumn("page_place", start + F.col("page_place")).where(F.col("page_place").between(first, last - 1)).orderBy("page_place")
+            .drop("page_part", "page_place").withColumn("total", F.lit(total).cast("long"))
+            .withColumn("pages", F.lit(max(1, -(-total // size))).cast("long")))
+
+
 def page(listing: DataFrame, number: int = 1, size: int = 100, mode: str = "mesa") -> DataFrame:
-    """One page plus the total and the page count, both from a scalar subquery."""
-    total = listing.agg(F.count("*")).scalar()
-    rows = listing.orderBy(*sort_columns(mode)).offset((number - 1) * size).limit(size)
-    return rows.withColumn("total", total).withColumn(
-        "pages", F.greatest(F.lit(1), F.ceil(F.col("total") / size).cast("long")))
+    """One page plus the total and the page count; to read several pages, write the index once."""
+    path = shared_folder(listing.sparkSession, "pages")
+    write_page_index(listing, path, mode)
+    return read_page(listing.sparkSession, path, number, size)
 
 
 def row_badges(listing: DataFrame) -> DataFrame:

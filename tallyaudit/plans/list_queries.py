@@ -1,11 +1,13 @@
 """Sheet list, dashboard and sweep."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.values import score_confidence
 from ..operators import compare, dashboard, history, listing, sums, sweep
 from ..sources import dims, official, sinks, tables as t
 from ..operators.ranking import event_timeline
+from ..session import shared_folder
 from .catalog import query
 
 
@@ -86,6 +88,25 @@ def p05(spark, sf):
     return listing.page(_list(spark, sf), 3, 100).select("sheet_id", "station", "total", "pages")
 
 
+for _mode, _by in _ORDERS.items():
+    @query(f"p05_pages_{_mode}", f"""
+SELECT CASE page WHEN 1 THEN 'first' WHEN pages THEN 'last' ELSE 'middle' END AS page, place, sheet_id, station, total, pages FROM (
+  SELECT sheet_id, station, 1 + (row_number() OVER w - 1) // 30 AS page, 1 + (row_number() OVER w - 1) % 30 AS place, count(*) OVER () AS total,
+    CAST(ceil(count(*) OVER () / 30.0) AS BIGINT) AS pages FROM v_listing WINDOW w AS (ORDER BY {_by}))
+WHERE page IN (1, 1 + pages // 2, pages)""", "v_listing")
+    def p05m(spark, sf, mode=_mode):
+        """The first, a middle and the last page of 30 rows, each read from the parts that hold it."""
+        path = shared_folder(spark, "pages")
+        listing.write_page_index(_list(spark, sf).select("sheet_id", "station", "contest_id", "report_flag", "any_alert", "captured_text"), path, mode, rows_per_part=200)
+        pages = listing.read_page(spark, path, 1, 30).first()["pages"]
+        order = F.row_number().over(Window.partitionBy("page").orderBy("at")).cast("long")
+        out = None
+        for name, number in (("first", 1), ("middle", 1 + pages // 2), ("last", pages)):
+            rows = listing.read_page(spark, path, number, 30).withColumns({"page": F.lit(name), "at": F.monotonically_increasing_id()})
+            out = rows if out is None else out.union(rows)
+        return out.select("page", order.alias("place"), "sheet_id", "station", "total", "pages")
+
+
 @query("p06_row_badges", """
 SELECT sheet_id, CASE WHEN NOT has_reader THEN 'Sin OCR' WHEN scanned THEN 'Escaneado' ELSE 'Digital' END AS document_badge,
   CAST(coalesce(n_alerts, 0) AS INT) AS n_alerts, CASE WHEN NOT has_report THEN '—' WHEN report_flag THEN 'alerta' ELSE 'Normal' END AS report_badge,
