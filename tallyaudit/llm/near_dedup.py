@@ -349,8 +349,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     sig = cut_lineage(first.join(members, "doc_id").select("doc_id", "sig"))
     wanted = cut_lineage(own.join(members, own["row"] == members["doc_id"], "left_semi").select("row", F.col("id").alias("_i"), F.col("h").alias("_h")))
     found = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_x"), F.col(text).cast("binary").alias("t"))
+    # The wanted rows grow with the corpus: a merge join at every size, never a broadcast.
     texts = cut_lineage(
-        found.join(wanted, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_x") == F.col("_h")))
+        found.join(wanted.hint("merge"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_x") == F.col("_h")))
         .select(F.col("row").alias("doc_id"), "t").dropDuplicates(["doc_id"]))
     links, comps, tested = None, None, None
     for turn in range(rounds + 1):
