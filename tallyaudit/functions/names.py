@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import difflib
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from .values import strip
 
@@ -108,17 +105,6 @@ def edit_similarity(a: Column, b: Column, above: float | None = None) -> Column:
     return F.when(F.least(F.length(a), F.length(b)) > longest * above, score).otherwise(0.0)
 
 
-@F.pandas_udf(DoubleType())
-def block_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-block ratio of two names (Ratcliff-Obershelp), Arrow-batched."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
-
-
-def length_bound(a: Column, b: Column) -> Column:
-    """Upper bound of ``block_similarity`` from the lengths alone."""
-    return 2.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
-
-
 def best_edit_match(name: Column, parties: list[tuple[int, str]], min_score: float = 0.55) -> Column:
     """Official name with the highest edit similarity above the threshold."""
     scored = F.transform(ballot_array(parties, 3), lambda p: F.struct(

@@ -136,3 +136,19 @@ def discrepancies_by_party(discrepancies: DataFrame, keywords: list[str], top: i
         hit = F.when(name.contains(k.upper()), k).otherwise(hit)
     return discrepancies.select(hit.alias("keyword")).where("keyword IS NOT NULL").groupBy("keyword").agg(
         F.count("*").alias("n")).orderBy(F.col("n").desc(), "keyword").limit(top)
+
+
+def daily_bitmaps(log: DataFrame, key: str, day: Column) -> DataFrame:
+    """(day, bucket, bits): which values of a whole-number ``key`` a day holds, as bitmaps of 32,768 values each.
+
+    A day is written once; any span of days merges by a bitwise or, exactly, without going back to the log.
+    """
+    rows = log.where(F.col(key).isNotNull() & day.isNotNull())
+    return rows.groupBy(day.alias("day"), F.bitmap_bucket_number(key).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(key)).alias("bits"))
+
+
+def merged_distinct(bitmaps: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``by`` and ``n``: the distinct values of the days in ``bitmaps``, merged; one row if ``by`` is empty."""
+    by = by or []
+    merged = bitmaps.groupBy(*by, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return merged.groupBy(*by).agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("n"))

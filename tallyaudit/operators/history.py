@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 SHEET_RULES = {"api_json": "nonempty", "file_url": "coalesce", "pdf_path": "coalesce"}
 
 
@@ -106,3 +108,44 @@ def reader_family(method: Column) -> Column:
 def latest_by_reader(df: DataFrame, family: str, keys: list[str], ts: str, tie: str,
                      method: str = "method") -> DataFrame:
     return latest_per_key(df.where(reader_family(F.col(method)) == family), keys, ts, tie)
+
+
+def write_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int = 64, path: str | None = None) -> DataFrame:
+    """Save ``df`` as a table bucketed and sorted by its keys, so later upserts and lookups need not move it."""
+    path = path or shared_folder(df.sparkSession, name)
+    df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def upsert_bucketed(base: DataFrame, new: DataFrame, keys: list[str], rules: dict[str, str] | None = None, seq: str | None = None) -> DataFrame:
+    """:func:`upsert` for a large base that :func:`write_bucketed` has saved: only the new rows are moved.
+
+    The new rows become one per key, with the last value of each column as its rule sees it, and meet the base in a
+    merge join on the buckets of the base. The keys of the base are unique.
+    """
+    rules = rules or {}
+    order = F.struct((F.col(seq) if seq else F.lit(0)).alias("p"))
+    values = [c for c in base.columns if c not in keys]
+    aggregates = []
+    for c in values:
+        rule = rules.get(c, "overwrite")
+        aggregates.append(_merged(c, rule, order).alias(f"_new_{c}"))
+        if rule == "nonempty":
+            x = F.col(c)
+            aggregates.append(F.max_by(x, F.when(x.isNotNull() & ~x.isin("", "{}"), order)).alias(f"_full_{c}"))
+    fresh = new.groupBy(*keys).agg(*aggregates).withColumn("_is_new", F.lit(True))
+    both = base.withColumn("_is_old", F.lit(True)).join(fresh, keys, "full")
+
+    def value(c: str) -> Column:
+        old, last = F.col(c), F.col(f"_new_{c}")
+        rule = rules.get(c, "overwrite")
+        if rule == "overwrite":
+            return F.when(F.col("_is_new"), last).otherwise(old)
+        if rule == "keep":
+            return F.when(F.col("_is_old"), old).otherwise(last)
+        if rule == "coalesce":
+            return F.coalesce(last, old)
+        full = F.when(~old.isin("", "{}"), old)
+        return F.coalesce(f"_full_{c}", full, F.when(F.col("_is_new"), last).otherwise(old))
+
+    return both.select(*keys, *[value(c).alias(c) for c in values])

@@ -182,3 +182,45 @@ def curated_status(sheets: DataFrame, curated: DataFrame) -> DataFrame:
     counts = sheets.join(stations, "station", "left_semi").groupBy("station").agg(F.count("*").alias("n_sheets"))
     return curated.join(counts, "station", "left").withColumn(
         "n_sheets", F.coalesce("n_sheets", F.lit(0))).withColumn("has_sheets", F.col("n_sheets") > 0)
+
+
+GRAM = 3
+
+
+def _grams(text: Column) -> Column:
+    """Distinct runs of GRAM characters of the lower-cased text."""
+    low = F.lower(text)
+    return F.when(F.length(low) >= GRAM, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length(low) - GRAM + 1), lambda i: low.substr(i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
+
+
+def write_gram_index(rows: DataFrame, path: str, key: str, cols: list[str], buckets: int = 64) -> None:
+    """Postings of the trigrams of ``cols`` for :func:`search_grams`, laid out by a hash of the trigram.
+
+    Of a trigram that very many rows hold, the postings are spread over its files like any other; a search reads the
+    folders of its own trigrams only.
+    """
+    grams = F.array_distinct(F.flatten(F.array(*[_grams(F.coalesce(F.col(c), F.lit(""))) for c in cols])))
+    postings = rows.select(F.explode(grams).alias("gram"), F.col(key)).distinct().withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
+    # Rows of one folder come from many tasks, so a frequent trigram is not one task's work.
+    postings.sortWithinPartitions("part", "gram").write.partitionBy("part").parquet(path)
+
+
+def search_grams(rows: DataFrame, path: str, key: str, cols: list[str], pattern: str, buckets: int = 64) -> DataFrame:
+    """Rows whose ``cols`` contain ``pattern`` in any case: those that hold all its trigrams, then checked.
+
+    A pattern too short for a trigram is a scan.
+    """
+    text = pattern.strip()
+    holds = F.lit(False)
+    for c in cols:
+        holds = holds | F.coalesce(F.contains(F.lower(F.col(c)), F.lower(F.lit(text))), F.lit(False))
+    spark = rows.sparkSession
+    # The pattern's own trigrams: as many as it has characters, at most.
+    asked = spark.range(1).select(F.explode(_grams(F.lit(text))).alias("gram")).select("gram", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int").alias("part")).collect()
+    if not asked:
+        return rows.where(holds)
+    found = spark.read.schema(f"gram STRING, {key} {rows.schema[key].dataType.simpleString()}, part INT").parquet(path).where(
+        F.col("part").isin([r["part"] for r in asked]) & F.col("gram").isin([r["gram"] for r in asked]))
+    hits = found.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") == len(asked)).select(key)
+    return rows.join(hits, key, "left_semi").where(holds)

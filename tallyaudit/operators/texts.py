@@ -9,11 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import (best_ballot_row, block_similarity, edit_similarity, keyword_hits, length_bound, let,
-                               strip_marks)
+from ..functions.names import best_ballot_row, edit_similarity, keyword_hits, let, strip_marks
 from ..functions.text import is_scanned
 from ..functions.values import strip
-from ..session import cut_lineage
 from ..sources.dims import BALLOT
 
 # Field patterns, primary and alternate, case-insensitive.
@@ -292,31 +290,16 @@ def _party_candidates(text: Column) -> Column:
                     & ~p["line"].rlike("|".join(HEADINGS)))
 
 
-def party_next_line_votes(docs: DataFrame, metric: str = "edit", min_score: float = 0.55) -> DataFrame:
-    """Each ballot party's most similar line, and the number printed below it.
-
-    ``edit`` stays in the JVM. ``blocks`` uses the matching-block ratio: each distinct line is scored
-    once, in Arrow batches, against the parties its length still allows, and only pairs above the
-    threshold return to the documents.
-    """
+def party_next_line_votes(docs: DataFrame, min_score: float = 0.55) -> DataFrame:
+    """Each ballot party's most similar line by edit similarity, and the number printed below it."""
     base = docs.select("doc_id", _party_candidates(F.col("text")).alias("lines"))
-    if metric == "edit":
-        ballot = F.array(*[F.lit(p) for _, p in BALLOT if p])
-        best = let(F.col("lines"), lambda lines: F.transform(ballot, lambda p: F.struct(
-            p.alias("party"), F.array_max(F.transform(lines, lambda x: F.struct(
-                edit_similarity(p, x["line"], min_score).alias("score"), (-x["pos"]).alias("rank"),
-                x["next"].alias("next")))).alias("b"))))
-        rows = base.select("doc_id", F.explode_outer(best).alias("r")).select(
-            "doc_id", "r.party", F.col("r.b.score").alias("score"), F.col("r.b.next").alias("votes"))
-    else:
-        lines = base.select("doc_id", F.explode_outer("lines").alias("x")).where(
-            "x IS NOT NULL").select("doc_id", "x.*")
-        pairs = lines.select("line").distinct().select(
-            "line", F.explode(F.array(*[F.lit(p) for _, p in BALLOT if p])).alias("party")).where(
-            length_bound(F.col("party"), F.col("line")) > min_score).withColumn("score", block_similarity("party", "line"))
-        rows = lines.join(cut_lineage(pairs.where(F.col("score") > min_score)), "line").groupBy("doc_id", "party").agg(
-            F.max_by(F.struct("score", F.col("next").alias("votes")), F.struct("score", (-F.col("pos")).alias("rank"))).alias("b")
-        ).select("doc_id", "party", "b.score", "b.votes")
+    ballot = F.array(*[F.lit(p) for _, p in BALLOT if p])
+    best = let(F.col("lines"), lambda lines: F.transform(ballot, lambda p: F.struct(
+        p.alias("party"), F.array_max(F.transform(lines, lambda x: F.struct(
+            edit_similarity(p, x["line"], min_score).alias("score"), (-x["pos"]).alias("rank"),
+            x["next"].alias("next")))).alias("b"))))
+    rows = base.select("doc_id", F.explode_outer(best).alias("r")).select(
+        "doc_id", "r.party", F.col("r.b.score").alias("score"), F.col("r.b.next").alias("votes"))
     return rows.where((F.col("score") > min_score) & F.col("votes").isNotNull()).select("doc_id", "party", "votes")
 
 

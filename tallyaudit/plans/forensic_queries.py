@@ -106,6 +106,20 @@ def x08(spark, sf):
     return forensics.yellow_dots(t.v_rgb(spark, sf))
 
 
+@query("x08_yellow_dot_clusters", """
+WITH RECURSIVE g AS (SELECT vec_id AS doc_id, i, least(255, greatest(0, CAST(floor((CAST(embedding[i + 1] AS DOUBLE) + 0.5) * 255) AS INT))) AS r0,
+  least(255, greatest(0, CAST(floor((CAST(embedding[(i + 1) % 64 + 1] AS DOUBLE) + 0.5) * 255) AS INT))) AS g0, least(255, greatest(0, CAST(floor((CAST(embedding[(i + 7) % 64 + 1] AS DOUBLE) + 0.5) * 255) AS INT))) AS b0
+  FROM (SELECT *, unnest(range(64)) AS i FROM embeddings)),
+p AS (SELECT doc_id, i // 8 AS y, i % 8 AS x, i FROM g WHERE least(255, r0 + 70) > 180 AND least(255, g0 + 70) > 180 AND greatest(0, b0 - 40) < 80),
+c AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS page_dots FROM p QUALIFY page_dots > 10),
+reach AS (SELECT doc_id, i, i AS label FROM c UNION
+  SELECT b.doc_id, b.i, r.label FROM reach r JOIN c a ON a.doc_id = r.doc_id AND a.i = r.i JOIN c b ON b.doc_id = a.doc_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+l AS (SELECT doc_id, i, min(label) AS label FROM reach GROUP BY 1, 2)
+SELECT doc_id, CAST(1 AS INT) AS page, page_dots, CAST(sum(x) // count(*) AS BIGINT) AS x, CAST(sum(y) // count(*) AS BIGINT) AS y, count(*) AS n FROM c JOIN l USING (doc_id, i) GROUP BY doc_id, page_dots, label""")
+def x08c(spark, sf):
+    return forensics.yellow_dot_clusters(t.v_rgb(spark, sf))
+
+
 _FACTS = "v_class"
 
 

@@ -7,7 +7,7 @@ from ..functions.values import score_confidence
 from ..operators import compare, dashboard, history, listing, sums, sweep
 from ..sources import dims, official, sinks, tables as t
 from ..operators.ranking import event_timeline
-from ..session import shared_folder
+from ..session import cut_lineage, shared_folder
 from .catalog import query
 
 
@@ -50,6 +50,15 @@ def p02b(spark, sf):
     return listing.filter_sheets(t.v_list_sheet(spark, sf), station_like="12", contest="abc").select("sheet_id", "station")
 
 
+for _pattern in ("2", "12", "0012", "00100"):
+    @query(f"p02_search_{_pattern}", f"SELECT sheet_id, station, contest FROM v_list_sheet WHERE contains(lower(station), '{_pattern}') OR contains(lower(contest), '{_pattern}')", "v_list_sheet")
+    def p02s(spark, sf, pattern=_pattern):
+        """Stations and contest names that contain a pattern, by postings of their trigrams."""
+        rows, path = t.v_list_sheet(spark, sf), shared_folder(spark, "grams")
+        listing.write_gram_index(rows, path, "sheet_id", ["station", "contest"], 16)
+        return listing.search_grams(rows, path, "sheet_id", ["station", "contest"], pattern, 16).select("sheet_id", "station", "contest")
+
+
 def _list(spark, sf):
     return listing.sheet_list(t.v_list_sheet(spark, sf), t.v_result_log(spark, sf), _reports(spark, sf),
                               t.v_compare_log(spark, sf), _scores(spark, sf))
@@ -277,6 +286,21 @@ def k07(spark, sf):
     return dashboard.sweep_stats(t.v_sweep(spark, sf))
 
 
+_DAYS = {"readers": ("v_result_log", "sheet_id"), "reports": ("v_report_log", "sheet_id"), "stations": ("v_sweep", "station_no")}
+
+for _name, (_view, _key) in _DAYS.items():
+    @query(f"k01_distinct_{_name}_by_day", f"""
+SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT {_key}) AS n, (SELECT count(DISTINCT {_key}) FROM {_view}) AS total,
+  (SELECT count(DISTINCT {_key}) FROM {_view} WHERE month(ts) = 1 AND day(ts) <= 7) AS first_week FROM {_view} GROUP BY 1""", _view)
+    def k01d(spark, sf, view=_view, key=_key):
+        """Distinct keys per day, and of all days and of a week merged from the bitmaps of the days."""
+        days = cut_lineage(dashboard.daily_bitmaps(getattr(t, view)(spark, sf), key, F.to_date("ts")))
+        week = days.where((F.month("day") == 1) & (F.dayofmonth("day") <= 7))
+        return dashboard.merged_distinct(days, ["day"]).select(
+            F.date_format("day", "yyyy-MM-dd").alias("day"), "n", dashboard.merged_distinct(days).select("n").scalar().alias("total"),
+            dashboard.merged_distinct(week).select("n").scalar().alias("first_week"))
+
+
 @query("k07_latest_jobs", """
 SELECT CAST(l_suppkey AS VARCHAR) AS job_id, strftime(max(l_shipdate), '%Y-%m-%d') AS started_at, count(*) AS done FROM lineitem GROUP BY l_suppkey
 ORDER BY started_at DESC, job_id LIMIT 5""")

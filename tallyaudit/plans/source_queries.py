@@ -85,6 +85,21 @@ def s06(spark, sf):
     return history.upsert_partial(_order_base(spark, sf), _order_new(spark, sf), ["k"], ["status"], "seq").drop("seq")
 
 
+_BUCKETED = {
+    "overwrite": ({}, "SELECT k, status, note, url, doc FROM last_row"),
+    "coalesce": ({"url": "coalesce", "doc": "nonempty"},
+                 "SELECT k, l.status, l.note, u.url, coalesce(d.doc, l.doc) AS doc FROM last_row l LEFT JOIN last_url u USING (k) LEFT JOIN last_doc d USING (k)"),
+    "partial": ({c: "keep" for c in ("note", "url", "doc")}, "SELECT k, l.status, f.note, f.url, f.doc FROM last_row l JOIN first_row f USING (k)"),
+}
+
+for (_kind, (_rules, _sql)), _no in zip(_BUCKETED.items(), ("s04", "s05", "s06")):
+    @query(f"{_no}_upsert_{_kind}_bucketed", _UPSERT + _sql)
+    def bucketed(spark, sf, kind=_kind, rules=_rules):
+        """The base lies in buckets of its key and is not moved."""
+        base = history.write_bucketed(_order_base(spark, sf).drop("seq"), f"orders_for_{kind}", ["k"], 8)
+        return history.upsert_bucketed(base, _order_new(spark, sf), ["k"], rules, "seq")
+
+
 @query("s07_upsert_sweep_results", """
 WITH base AS (SELECT 'job_1' AS job_id, lpad(CAST(station_no AS VARCHAR), 6, '0') AS station, status, 0 AS sheet_count, FALSE AS has_pdf,
     status = 'PARA_JEE' AS is_jee, 0 AS src, ts FROM v_sweep),

@@ -117,11 +117,6 @@ def t10(spark, sf):
     return texts.party_next_line_votes(t.v_texts(spark, sf))
 
 
-@query("t10_party_next_line_votes_blocks")
-def t10b(spark, sf):
-    return texts.party_next_line_votes(t.v_texts(spark, sf), metric="blocks")
-
-
 @query("t11_merge_votes")
 def t11(spark, sf):
     return texts.merge_votes(t.v_texts(spark, sf))

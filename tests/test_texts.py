@@ -1,6 +1,5 @@
 """Sequential text rules against a plain-Python statement of the same rules."""
 
-import difflib
 import re
 import unicodedata
 
@@ -138,23 +137,3 @@ def test_sections(docs):
     for r in texts.text_sections(docs).orderBy("doc_id", "idx").collect():
         got[r.doc_id][r.label] = r.body
     assert got == {i: zones(s) for i, s in enumerate(SAMPLES)}
-
-
-def test_matching_blocks(spark):
-    text = "FUERZA POPULARR\n12\nPARTID0 M0RADO\n3\nALGO DISTINTO\n9\nAVANZA PAÍS\nnada\n"
-    got = {r.party: r.votes for r in texts.party_next_line_votes(
-        spark.createDataFrame([(0, text)], "doc_id LONG, text STRING"), "blocks").collect()}
-    lines = text.split("\n")
-    plain = [unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode().upper() for x in lines]
-    want = {}
-    for _, p in PARTIES:
-        ratio, at = 0.0, -1
-        for i, line in enumerate(plain):
-            if len(line) < 4 or line.isdigit():
-                continue
-            r = difflib.SequenceMatcher(None, p, line).ratio()
-            if r > ratio:
-                ratio, at = r, i
-        if ratio > 0.55 and at + 1 < len(lines) and re.fullmatch(r"\d{1,4}", lines[at + 1]):
-            want[p] = int(lines[at + 1])
-    assert got == want
