@@ -320,9 +320,7 @@ def test_language(spark, odd, none):
     assert not got(langid.identify(none))
 
 
-@pytest.mark.parametrize("one_file", [4096, 100])
-def test_nearest(spark, monkeypatch, one_file):
-    monkeypatch.setattr(ann, "ONE_FILE", one_file)
+def test_nearest(spark):
     rng = np.random.default_rng(6)
     v = rng.normal(size=(800, 16)) + 2 * rng.normal(size=(8, 16))[rng.integers(0, 8, 800)]
     v[50:90] = v[50]  # ties
@@ -336,11 +334,44 @@ def test_nearest(spark, monkeypatch, one_file):
         g = out[out.query_id == q].sort_values("rank")
         assert list(g["rank"]) == list(range(1, 11)) and np.array_equal(g.score, d[g.vec_id])
         hits += len(set(g.vec_id) & set(want))
-    assert hits >= (80 if one_file > 800 else 72) and set(out.query_id) == set(range(0, 800, 100))
+    assert hits >= 72 and set(out.query_id) == set(range(0, 800, 100))
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>, score int")
     assert ann.nearest(few, F.col("vec_id") == 0).count() == 2 and ann.nearest(few.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_nearest_with_repeated_ids_and_dimensions(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(600, 4)).astype(np.float32)
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+    extra = [(7, [9.0] * 4), (8, [-9.0] * 4), (None, [0.5] * 4), (601, [1.0] * 3), (602, [1.0] * 3)]
+    table = spark.createDataFrame(rows + extra + rows[:5], "vec_id long, embedding array<float>")
+    v[8] = -9.0
+    if tuple(v[7]) > (9.0,) * 4:
+        v[7] = 9.0
+    out = ann.nearest(table, F.col("vec_id") % 50 == 0).toPandas()
+    again = ann.nearest(table.repartition(5), F.col("vec_id") % 50 == 0).toPandas()
+    assert sorted(map(tuple, out.to_numpy())) == sorted(map(tuple, again.to_numpy()))
+    w = v.astype(np.float64)
+    for q, g in out.groupby("query_id"):
+        d = np.sqrt(((w - w[q]) ** 2).sum(axis=1))
+        assert len(g) == len(set(g.vec_id)) == 10 and g.vec_id.max() < 600 and q not in set(g.vec_id) and np.array_equal(g.score, d[g.vec_id])
+    assert set(out.query_id) == set(range(0, 600, 50))
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_tables(spark, sf):
+    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    out = ann.nearest(table, F.col("vec_id") % 100 == 0).toPandas()
+    rows = table.where(ann.usable(F.col("embedding"))).select("vec_id", "embedding").toPandas()
+    ids, v = rows.vec_id.to_numpy(), np.stack(rows.embedding).astype(np.float64)
+    hits = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((v - v[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hits += len(set(ids[np.lexsort((ids, d))[:10]]) & set(out[out.query_id == ids[q]].vec_id))
+    assert hits >= 0.9 * len(out)
+
+
 def test_small_tables_use_the_index(spark, monkeypatch):
     asked = []
     post = ann._post
