@@ -2,17 +2,22 @@
 
 A text's character 1- to 3-grams (lower case, letters only, with word ends) are hashed to buckets; the text is the
 average of its buckets' embeddings, and a linear softmax names the language. Embeddings and softmax are trained by
-stochastic gradient descent in numpy on a bounded sample of labelled rows (``per_lang`` of each language, those of
-smallest hash). A tenth of the sample, kept out of training, sets the temperature that calibrates the probabilities
-and the limit below which a prediction is marked as rejected. Since the model is linear, it is applied as one small
-table of bucket scores (buckets x languages), whatever the size of the corpus.
+stochastic gradient descent in numpy on a bounded sample of labelled rows (at most ``per_lang`` documents of each
+language, those of smallest hash). Each text of the sample appears a second time with its vowels and its consonants
+permuted, as an example of no learned language: that class takes probability from the languages, is never predicted,
+and its being the likeliest, or a score below a limit, marks a prediction as rejected. Temperature and limit come from
+predictions of parts of the sample by models fitted on the other parts. Since the model is linear, it is applied as one
+small table of bucket scores (buckets x languages), whatever the size of the corpus.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; without labelled rows every text is ``und``;
-repeated rows are predicted alike; an empty table gives no rows; other columns are not read.
+repeated rows are predicted alike; rows without an id are predicted, never learned from, and their held_out is null; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,6 +29,8 @@ from .common import per_text
 BUCKETS = 4096
 DIM = 16
 PER_LANG = 600
+FOLDS = 3
+VOWELS = "aeiouyäöüàâéèêëîïôùûáíóúœæ"
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None
@@ -56,6 +63,17 @@ def bucket_counts(text: str | None) -> np.ndarray | None:
     return out + np.bincount(three[inside[1:-1]] >> shift, minlength=BUCKETS)
 
 
+def disguised(text: str) -> str:
+    """The text with its vowels and its other letters permuted, by a permutation that follows from the text."""
+    rng = np.random.default_rng(zlib.crc32(text.encode()))
+    low = text.lower()
+    used = sorted({c for c in low if c.isalpha()})
+    swap = {}
+    for group in ([c for c in used if c in VOWELS], [c for c in used if c not in VOWELS]):
+        swap.update(zip(map(ord, group), [group[i] for i in rng.permutation(len(group))]))
+    return low.translate(swap)
+
+
 def is_training(id_col: Column) -> Column:
     """Documents outside the held-out quarter."""
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(4)) != 2
@@ -87,39 +105,51 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str = "lang", per_lang: int = PER_LANG) -> dict:
     """Model from labelled training rows: languages, bucket scores, biases, temperature and rejection limit."""
     ids = docs.where(F.col(lang).isNotNull() & is_training(F.col(id_col))).select(F.col(id_col).alias("_id"), F.col(lang).alias("_lang"))
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    chosen = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_lang).select("_id").distinct()
+    ids = ids.withColumn("_h", F.xxhash64("_id") / float(2**64) + 0.5)
+    # Few rows of each language, however many there are, lie below its limit; the smallest hashes are among them.
+    sizes = ids.groupBy("_lang").agg(F.count("*").alias("_c")).withColumnRenamed("_lang", "_of")
+    near = ids.join(sizes, F.col("_lang") == F.col("_of")).where(F.col("_h") * F.col("_c") <= 8.0 * per_lang).select("_lang", "_h", "_id").distinct()
+    order = Window.partitionBy("_lang").orderBy("_h", "_id")
+    chosen = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_lang).select("_id").distinct()
     rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"], "left_semi").where(F.col(lang).isNotNull())
 
     def run(texts: list) -> tuple[list, list[list]]:
-        kept = [(i, c) for i, t in enumerate(texts) if (c := bucket_counts(t)) is not None]
-        at = [np.flatnonzero(c) for _, c in kept]
-        return [i for i, _ in kept], [[a.tolist() for a in at], [c[a].tolist() for a, (_, c) in zip(at, kept)]]
+        both = [(i, own, bucket_counts(t if own else disguised(t))) for i, t in enumerate(texts) if t for own in (True, False)]
+        kept = [(i, own, c, np.flatnonzero(c)) for i, own, c in both if c is not None]
+        return [k[0] for k in kept], [[k[1] for k in kept], [k[3].tolist() for k in kept], [k[2][k[3]].tolist() for k in kept]]
 
-    found = per_text(rows, [F.col(id_col).alias("i"), F.col(lang).alias("k")], F.col(text), run, {"at": pa.list_(pa.int64()), "n": pa.list_(pa.int64())})
-    sample = found.dropDuplicates(["i", "k"]).toPandas().sort_values(["i", "k"], ignore_index=True)
+    found = per_text(rows, [F.col(id_col).alias("i"), F.col(lang).alias("k")], F.col(text), run,
+                     {"own": pa.bool_(), "at": pa.list_(pa.int64()), "n": pa.list_(pa.int64())})
+    sample = found.groupBy("i", "k", "own").agg(F.min(F.struct("at", "n")).alias("c")).toPandas().sort_values(["i", "k", "own"], ignore_index=True)
     langs = sorted(set(sample["k"]))
+    if not langs:
+        return {"langs": langs, "table": np.zeros((BUCKETS, 0)), "bias": np.zeros(0), "temperature": 1.0, "limit": 0.0}
     x = np.zeros((len(sample), BUCKETS), np.float32)
-    for r, (at, n) in enumerate(zip(sample["at"], sample["n"])):
-        x[r, at] = np.asarray(n, np.float32) / np.sum(n)
-    y = np.array([langs.index(k) for k in sample["k"]], np.int64)
-    if len(langs) < 2:
-        return {"langs": langs, "table": np.zeros((BUCKETS, len(langs))), "bias": np.zeros(len(langs)), "temperature": 1.0, "limit": 0.0}
-    test = np.arange(len(x)) % 10 == 9 if len(x) >= 50 else np.ones(len(x), bool)
-    learn = ~test if len(x) >= 50 else test
-    table, bias = train(x[learn], y[learn], len(langs))
-    z = x[test] @ table + bias
-    grid = np.geomspace(0.25, 8, 41)
-    loss = [-np.log(softmax(z / t)[np.arange(len(z)), y[test]] + 1e-12).mean() for t in grid]
-    temperature = float(grid[int(np.argmin(loss))])
-    p = softmax(z / temperature)
-    right = p.max(axis=1)[p.argmax(axis=1) == y[test]]
+    for r, c in enumerate(sample["c"]):
+        x[r, c["at"]] = np.asarray(c["n"], np.float32) / np.sum(c["n"])
+    y = np.array([langs.index(k) if own else len(langs) for k, own in zip(sample["k"], sample["own"])], np.int64)
+    classes = len(langs) + 1
+    # Both forms of a text fall into the same fold.
+    fold = np.unique(sample["i"].to_numpy(), return_inverse=True)[1] % FOLDS
+    z = np.zeros((len(x), classes))
+    for k in range(FOLDS):
+        if (fold == k).any() and (fold != k).any():
+            table, bias = train(x[fold != k], y[fold != k], classes)
+            z[fold == k] = x[fold == k] @ table + bias
+    # Smoothed targets: certainty is not claimed beyond what a sample of this size can show.
+    goal = np.full((len(x), classes), 1 / (len(x) + classes))
+    goal[np.arange(len(x)), y] += len(x) / (len(x) + classes)
+    grid = np.geomspace(0.05, 20, 121)
+    temperature = float(grid[int(np.argmin([-(goal * np.log(softmax(z / t) + 1e-300)).sum(axis=1).mean() for t in grid]))])
+    p = softmax(z / temperature)[y < len(langs), :-1]
+    right = p.max(axis=1)[p.argmax(axis=1) == y[y < len(langs)]]
     limit = float(np.quantile(right, 0.005)) if len(right) else 0.0
+    table, bias = train(x, y, classes)
     return {"langs": langs, "table": table, "bias": bias, "temperature": temperature, "limit": limit}
 
 
 def predict(docs: DataFrame, model: dict, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, lang_pred, score (calibrated probability) and rejected (score below the model's limit)."""
+    """doc_id, lang_pred, score (calibrated probability of it) and rejected (no learned language, or a score below the limit)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers
 
     def run(texts: list) -> tuple[None, list[list]]:
@@ -131,8 +161,8 @@ def predict(docs: DataFrame, model: dict, text: str = "text", id_col: str = "doc
                 continue
             z = (c @ m["table"]) / c.sum() + m["bias"]
             p = softmax(z[None] / m["temperature"])[0]
-            best = int(p.argmax())
-            rows.append((m["langs"][best], float(p[best]), bool(p[best] < m["limit"])))
+            best = int(p[:-1].argmax())
+            rows.append((m["langs"][best], float(p[best]), bool(p[best] < max(m["limit"], p[-1]))))
         return None, [[r[c] for r in rows] for c in range(3)]
 
     return per_text(docs, [F.col(id_col).alias("doc_id")], F.col(text), run, {"lang_pred": pa.string(), "score": pa.float64(), "rejected": pa.bool_()})

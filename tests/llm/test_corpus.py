@@ -312,14 +312,37 @@ def test_latest_assignment_before_the_use():
 
 def test_language(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    out = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL")
-    assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] >= 0.97
+    model = langid.fit(docs)
+    out = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where(~langid.is_training(F.col("doc_id")) & F.col("lang").isNotNull())
+    out = out.toPandas()
+    right = out.lang == out.lang_pred
+    assert right.mean() >= 0.97 and out.rejected[right].mean() < 0.03
+    assert 0.051 < model["temperature"] < 19.9  # inside the grid
+    tenth = np.minimum((out.score * 10).astype(int), 9)
+    assert sum(abs(right[tenth == i].mean() - out.score[tenth == i].mean()) * (tenth == i).mean() for i in set(tenth)) < 0.03
+    unlearned = [
+        "Suomen kesä on lyhyt mutta valoisa, ja monet ihmiset viettävät lomansa mökillä järven rannalla saunoen ja uiden.",
+        "Bugün hava çok güzel olduğu için arkadaşlarımla birlikte parkta yürüyüş yapmaya karar verdik ve sonra eve döndük.",
+        "Wczoraj wieczorem poszliśmy do kina, żeby zobaczyć nowy film, który bardzo podobał się wszystkim moim przyjaciołom.",
+    ]
+    odd_ones = langid.predict(spark.createDataFrame(list(enumerate(unlearned)), "doc_id long, text string"), model).collect()
+    assert all(r["rejected"] and r["score"] < 0.5 and r["lang_pred"] in model["langs"] for r in odd_ones)
     rows = got(langid.identify(odd))
     assert len(rows) == len(ROWS) and {r["lang_pred"] for r in rows if r["doc_id"] in (3, 4, 5)} == {"und"}
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for r in rows)
     assert not got(langid.identify(none))
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """Repeated ids and one frequent language leave a sample of at most ``per_lang`` documents of each."""
+    seen = []
+    train = langid.train
+    monkeypatch.setattr(langid, "train", lambda x, y, classes: seen.append(np.bincount(y)) or train(x, y, classes, epochs=1))
+    rows = [(i // 3, f"some words of text number {i} here", "en") for i in range(900)] + [(1000 + i, f"ein paar Wörter {i}", "de") for i in range(20)]
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=30)
+    assert max(seen[-1]) <= 50 and seen[-1][1] == 30 and 10 <= seen[-1][0] <= 20
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(6)
     v = rng.normal(size=(800, 16)) + 2 * rng.normal(size=(8, 16))[rng.integers(0, 8, 800)]
