@@ -108,7 +108,8 @@ def fit(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lang: str =
     ids = ids.withColumn("_h", F.xxhash64("_id") / float(2**64) + 0.5)
     # Few rows of each language, however many there are, lie below its limit; the smallest hashes are among them.
     sizes = ids.groupBy("_lang").agg(F.count("*").alias("_c")).withColumnRenamed("_lang", "_of")
-    near = ids.join(sizes, F.col("_lang") == F.col("_of")).where(F.col("_h") * F.col("_c") <= 8.0 * per_lang).select("_lang", "_h", "_id").distinct()
+    # One row per language, of which the model keeps a column each; joined by shuffle, a frequent one would be one task.
+    near = ids.join(F.broadcast(sizes), F.col("_lang") == F.col("_of")).where(F.col("_h") * F.col("_c") <= 8.0 * per_lang).select("_lang", "_h", "_id").distinct()
     order = Window.partitionBy("_lang").orderBy("_h", "_id")
     chosen = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_lang).select("_id").distinct()
     rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"], "left_semi").where(F.col(lang).isNotNull())
