@@ -1,5 +1,6 @@
 """Document facts and the anomaly model."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import forensics, model
@@ -138,18 +139,21 @@ def x09(spark, sf):
 _TEXTS = "CASE classification " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in forensics.CLASS_TEXT.items()) + " END"
 
 
-@query("x10_forensic_alerts", f"""
+_ALERTS = f"""
 SELECT doc_id, CAST(n AS INT) AS n_alerts, CAST(n + has_signature::INT + (yellow_pixels > 50)::INT + (classification IN ('A', 'B'))::INT AS INT) AS n_all,
   CASE WHEN n >= 3 THEN '⚠️ ANÁLISIS FORENSE: ' || CAST(n AS VARCHAR) || ' indicadores de riesgo detectados. Clasificación: Tipo ' || classification || ' — ' || {_TEXTS} || '. Confianza: ' || confidence || '.'
        WHEN n >= 1 THEN '⚠️ ANÁLISIS FORENSE: ' || CAST(n AS VARCHAR) || ' indicador(es) que requieren revisión. Clasificación: Tipo ' || classification || '. Confianza: ' || confidence || '.'
        ELSE 'ℹ️ ANÁLISIS FORENSE: Sin alertas críticas. Clasificación: Tipo ' || classification || '. Confianza: ' || confidence || '.' END AS summary
-FROM (SELECT *, (NOT has_signature)::INT + has_updates::INT + has_javascript::INT + has_attachments::INT + has_gaps::INT + (classification IN ('C', 'D'))::INT AS n FROM v_class)""", _FACTS)
+FROM (SELECT *, (NOT has_signature)::INT + has_updates::INT + has_javascript::INT + has_attachments::INT + has_gaps::INT + (classification IN ('C', 'D'))::INT AS n FROM v_class)"""
+
+
+@query("x10_forensic_alerts", _ALERTS, _FACTS)
 def x10(spark, sf):
     return forensics.forensic_alerts(forensics.classify_origin(t.v_facts(spark, sf))).select(
         "doc_id", "n_alerts", F.size("alerts").alias("n_all"), "summary")
 
 
-@query("x11_forensic_conclusion", """
+_CONCLUSION = """
 SELECT doc_id, CAST(n_risk AS INT) AS n_risk_flags, CASE classification
   WHEN 'A' THEN 'El documento presenta características técnicas consistentes con un PDF nativo digital. El software productor reportado es ''' || p || '''. Se detecta texto seleccionable real y fuentes embebidas. '
     || CASE WHEN has_signature THEN 'Se detecta firma digital embebida.' ELSE 'No se detecta firma digital embebida.' END
@@ -161,14 +165,63 @@ SELECT doc_id, CAST(n_risk AS INT) AS n_risk_flags, CASE classification
   ELSE 'La evidencia técnica disponible no es suficiente para clasificar con certeza el origen del documento. Productor: ''' || p || '''. Se recomienda análisis adicional con herramientas especializadas.' END
   || ' Nivel de confianza: ' || confidence || '. ' || CASE WHEN n_risk = 0 THEN 'Sin indicadores de riesgo detectados' WHEN n_risk <= 2 THEN CAST(n_risk AS VARCHAR) || ' indicador(es) de riesgo que requieren revisión'
     ELSE CAST(n_risk AS VARCHAR) || ' indicadores de riesgo que requieren atención prioritaria' END || '.' AS conclusion
-FROM (SELECT *, coalesce(producer, 'no identificado') AS p FROM v_class)""", _FACTS)
+FROM (SELECT *, coalesce(producer, 'no identificado') AS p FROM v_class)"""
+
+
+@query("x11_forensic_conclusion", _CONCLUSION, _FACTS)
 def x11(spark, sf):
     return forensics.forensic_conclusion(forensics.classify_origin(t.v_facts(spark, sf))).select("doc_id", "n_risk_flags", "conclusion")
 
 
-@query("x12_canonical_record")
+_SHOWN = "CASE comp WHEN 0 THEN 'JPEG' WHEN 1 THEN 'CCITT, Flate/ZIP' ELSE 'Flate/ZIP' END"
+_LISTS = ("indicators_for", "indicators_against", "risk_flags", "proof_needed", "cannot_determine")
+
+
+@query("x12_canonical_record", f"""
+SELECT doc_id, producer, producer_category, creation_date, mod_date, metadata_stream, xmp_present, has_signature, has_javascript, has_attachments, has_updates, update_count, eof_count,
+  has_text, has_fonts, has_vectors, has_hidden_text, 'mixed' AS document_model, {_SHOWN} AS compressions, dpi_avg, total_pages, pages_single, scan_score, artificial_score, noise_level,
+  CASE WHEN has_gaps THEN '12, 40' ELSE '' END AS histogram_gaps, yellow_pixels, yellow_pixels > 50 AS yellow_detected, classification, {_TEXTS} AS classification_text, confidence,
+  concat_ws(' | ', CASE WHEN has_text THEN 'Texto seleccionable real presente.' END, CASE WHEN has_fonts THEN 'Fuentes embebidas en el documento.' END,
+    CASE WHEN has_vectors THEN 'Objetos vectoriales/drawings detectados.' END, CASE WHEN generated THEN 'Producer ''' || p || ''' es una librería de generación PDF.' END,
+    CASE WHEN has_signature AND NOT has_updates THEN 'Firma digital presente y sin actualizaciones incrementales.' END,
+    CASE WHEN single AND NOT has_text THEN 'Todas las páginas son imagen única (' || pages_single || '/' || total_pages || ') sin texto.' END,
+    CASE WHEN has_hidden_text AND NOT has_text THEN 'OCR invisible superpuesto sobre imagen (escáner + OCR automático).' END,
+    CASE WHEN producer_category = 'scanner' THEN 'Producer ''' || p || ''' es compatible con escáner/MFP.' END,
+    CASE WHEN scan_score >= 40 THEN 'Análisis de imagen: score de escaneo real = ' || scan_score || '/100.' END,
+    CASE WHEN dpi_avg BETWEEN 150 AND 400 THEN 'DPI estimado (' || dpi_avg || ') en rango típico de escáner (150–400).' END,
+    CASE WHEN comp < 2 THEN 'Compresión [''' || replace({_SHOWN}, ', ', ''', ''') || '''] compatible con escáner.' END) AS indicators_for,
+  concat_ws(' | ', CASE WHEN NOT has_signature THEN 'Sin firma digital embebida.' END, CASE WHEN NOT metadata_stream THEN 'Sin stream de metadatos extendido.' END,
+    CASE WHEN has_updates THEN 'Actualizaciones incrementales (' || update_count || ') reducen la certeza del estado original.' END,
+    CASE WHEN producer_category = 'desconocido' THEN 'Producer no identificado o ausente.' END,
+    CASE WHEN scan_score < 20 AND score_b > 0 THEN 'La imagen no presenta características claras de escaneo físico real.' END) AS indicators_against,
+  concat_ws(' | ', CASE WHEN generated THEN 'Producer ''' || p || ''' es una librería de generación PDF, no un escáner ni software de ofimática estándar.' END,
+    CASE WHEN generated AND single THEN 'Combinación crítica: imagen única por página + producer es librería de generación PDF. Compatible con imagen insertada artificialmente en contenedor PDF.' END,
+    CASE WHEN artificial_score >= 40 THEN 'Score de fabricación artificial = ' || artificial_score || '/100.' END,
+    CASE WHEN noise_level < 1.5 AND pages_single > 0 THEN 'Imagen con ruido extremadamente bajo: inusual en escaneos físicos reales.'
+      WHEN generated AND noise_level > 0 THEN 'Nota: el ruido detectado puede ser artefacto de compresión JPEG, no necesariamente grano de escáner físico.' END,
+    CASE WHEN NOT metadata_stream AND NOT xmp_present THEN 'Sin stream de metadatos XMP (atípico para escáneres modernos).' END,
+    CASE WHEN has_updates THEN 'Actualizaciones incrementales detectadas (' || update_count || '). Indica modificación posterior a la creación original.' END,
+    CASE WHEN score_b >= 30 AND (has_text OR has_fonts OR has_vectors) THEN 'Base escaneada con elementos digitales superpuestos (fuentes/texto/vectores).' END,
+    CASE WHEN NOT has_signature THEN 'Sin firma digital embebida (no verificable criptográficamente).' END,
+    CASE WHEN dpi_avg <> 0 AND (dpi_avg < 72 OR dpi_avg > 1200) THEN 'DPI estimado (' || dpi_avg || ') fuera de rango habitual.' END,
+    CASE WHEN mod_date <> creation_date THEN 'Fecha de modificación (' || mod_date || ') difiere de la creación (' || creation_date || ').' END) AS risk_flags,
+  concat_ws(' | ', CASE WHEN NOT has_signature THEN 'Firma digital criptográfica verificable que certifique la integridad del documento.' END,
+    CASE WHEN has_updates THEN 'Revisión de cada versión incremental del PDF para identificar qué se modificó.' END,
+    CASE WHEN classification = 'D' OR artificial_score > 30 THEN 'Análisis ELA (Error Level Analysis) sobre la imagen embebida para detectar recompresión diferencial. | Verificación de la cadena de custodia digital del archivo.' END,
+    CASE WHEN classification = 'B' THEN 'Análisis de puntos MIC (Machine Identification Code) con herramienta ''deda'' a 600 DPI para identificar el dispositivo físico de impresión/escaneo.' END) AS proof_needed,
+  concat_ws(' | ', 'Sin firma digital criptográfica verificable, no es posible afirmar con certeza que el documento no fue alterado.',
+    CASE WHEN classification <> 'A' THEN 'No se puede determinar la autenticidad del contenido visual sin comparación contra el acta física original.' END) AS cannot_determine,
+  n_alerts, alert_levels, summary, conclusion, '{forensics.LEGAL_NOTICE}' AS legal_notice
+FROM (SELECT *, coalesce(producer, 'None') AS p, concat_ws(' ', CASE WHEN has_signature THEN 'ok' ELSE 'alerta' END, CASE WHEN has_updates THEN 'alerta' END, CASE WHEN has_javascript THEN 'alerta' END,
+    CASE WHEN has_attachments THEN 'alerta' END, CASE WHEN has_gaps THEN 'alerta' END, CASE WHEN yellow_pixels > 50 THEN 'info' END,
+    CASE WHEN classification IN ('C', 'D') THEN 'alerta' WHEN classification IN ('A', 'B') THEN 'info' END) AS alert_levels FROM v_class)
+JOIN ({_ALERTS}) USING (doc_id) JOIN ({_CONCLUSION}) USING (doc_id)""", _FACTS)
 def x12(spark, sf):
-    return forensics.canonical_record(t.v_facts(spark, sf))
+    """The record with its lists as text; of the alerts the levels."""
+    r = forensics.canonical_record(t.v_facts(spark, sf))
+    return r.withColumns({c: F.array_join(c, " | ") for c in _LISTS} | {
+        "compressions": F.array_join("compressions", ", "), "histogram_gaps": F.array_join(F.col("histogram_gaps").cast("array<string>"), ", "),
+        "alert_levels": F.array_join(F.transform("alerts", lambda a: a["nivel"]), " ")}).drop("alerts")
 
 
 # ---- anomaly model ------------------------------------------------------------------------------
@@ -185,17 +238,23 @@ def _features(spark, sf, compat=False):
     return model.features(t.v_sheet(spark, sf), t.v_line(spark, sf), t.v_compare_log(spark, sf), _reports(spark, sf), compat)
 
 
-for _compat in (False, True):
-    @query("m01_features" + ("_compat" if _compat else ""), f"""
-    SELECT s.sheet_id, s.station, s.contest_id, {'0.0, 0.0, 0.0, 0.0' if _compat else 'v.sum_valid::DOUBLE, v.blanks::DOUBLE, v.nulls::DOUBLE, v.challenged::DOUBLE'}, s.emitted::DOUBLE AS emitted,
-      {'300.0' if _compat else 's.eligible::DOUBLE'} AS electors, round({'0.0' if _compat else 's.emitted * 1.0 / s.eligible'}, 6) AS turnout, round({'0.0' if _compat else 'v.nulls * 1.0 / s.emitted'}, 6) AS null_ratio,
-      round({'0.0' if _compat else 'v.blanks * 1.0 / s.emitted'}, 6) AS blank_ratio, CASE WHEN c.sheet_id IS NULL THEN 0.5 WHEN c.status = 'alerta' THEN 1.0 ELSE 0.0 END AS discrepancy,
+def _features_sql(compat: bool, show=lambda x: f"round({x}, 6)") -> str:
+    return f"""
+    SELECT s.sheet_id, s.station, s.contest_id, {'0.0, 0.0, 0.0, 0.0' if compat else 'v.sum_valid::DOUBLE, v.blanks::DOUBLE, v.nulls::DOUBLE, v.challenged::DOUBLE'}, s.emitted::DOUBLE AS emitted,
+      {'300.0' if compat else 's.eligible::DOUBLE'} AS electors, {show('0.0' if compat else 's.emitted * 1.0 / s.eligible')} AS turnout, {show('0.0' if compat else 'v.nulls * 1.0 / s.emitted')} AS null_ratio,
+      {show('0.0' if compat else 'v.blanks * 1.0 / s.emitted')} AS blank_ratio, CASE WHEN c.sheet_id IS NULL THEN 0.5 WHEN c.status = 'alerta' THEN 1.0 ELSE 0.0 END AS discrepancy,
       CASE WHEN r.report_id % 5 = 0 THEN 1.0 ELSE 0.0 END AS type_d, coalesce(r.report_id % 100, 50)::DOUBLE AS scan_score, coalesce(r.report_id % 90, 0)::DOUBLE AS artificial_score, coalesce(r.n_alerts, 0)::DOUBLE AS alerts
     FROM v_sheet s JOIN v_sums v USING (sheet_id) LEFT JOIN (SELECT * FROM v_compare_log QUALIFY row_number() OVER (PARTITION BY sheet_id ORDER BY ts DESC, compare_id DESC) = 1) c USING (sheet_id)
     LEFT JOIN (SELECT * FROM v_report_log QUALIFY row_number() OVER (PARTITION BY sheet_id ORDER BY ts DESC, report_id DESC) = 1) r USING (sheet_id)""".replace(
         "0.0, 0.0, 0.0, 0.0", "0.0::DOUBLE AS party_votes, 0.0::DOUBLE AS blank, 0.0::DOUBLE AS null, 0.0::DOUBLE AS challenged").replace(
         "v.sum_valid::DOUBLE, v.blanks::DOUBLE, v.nulls::DOUBLE, v.challenged::DOUBLE",
-        "v.sum_valid::DOUBLE AS party_votes, v.blanks::DOUBLE AS blank, v.nulls::DOUBLE AS null, v.challenged::DOUBLE AS challenged"), "v_sheet v_sums v_compare_log v_report_log")
+        "v.sum_valid::DOUBLE AS party_votes, v.blanks::DOUBLE AS blank, v.nulls::DOUBLE AS null, v.challenged::DOUBLE AS challenged")
+
+
+_FEATURE_VIEWS = "v_sheet v_sums v_compare_log v_report_log"
+
+for _compat in (False, True):
+    @query("m01_features" + ("_compat" if _compat else ""), _features_sql(_compat), _FEATURE_VIEWS)
     def m01(spark, sf, compat=_compat):
         f = _features(spark, sf, compat)
         return f.withColumns({c: F.round(c, 6) for c in ("turnout", "null_ratio", "blank_ratio")})
@@ -233,3 +292,65 @@ def m05(spark, sf):
 @query("m06_bulk_report")
 def m06(spark, sf):
     return model.bulk_report(_scored(spark, sf))
+
+
+# A model given as numbers instead of fitted ones, so that SQL can state its scores.
+_SCALE = [100.0, 10.0, 10.0, 10.0, 100.0, 100.0, 1.0, 1.0, 1.0, 1.0, 1.0, 50.0, 50.0, 2.0]
+_GIVEN_VIEWS = _FEATURE_VIEWS
+_GIVEN = f"""
+WITH f AS ({_features_sql(False, show=lambda x: x)}), lifted AS (
+  SELECT *, list_transform(range(4), lambda j: sqrt(0.5) * cos(j / 2.0 + list_sum(list_transform(range(14), lambda i: x[i + 1] * ((7 * i + 3 * j) % 11 - 5) / 10.0)))) AS l
+  FROM (SELECT *, [{', '.join(f'{c if c != "null" else chr(34) + c + chr(34)} / {w}' for c, w in zip(model.FEATURES, _SCALE))}] AS x FROM f)
+), judged AS (
+  SELECT *, (l[1] * 0.1 + l[2] * 0.2 + l[3] * 0.3 + l[4] * 0.4 - 0.05) * 5.0 AS s FROM lifted
+), given AS (
+  SELECT sheet_id, station, contest_id, round(s, 6) AS score, s < 0 AS is_anomaly, round(tanh(s), 6) AS score_normalized,
+    CASE WHEN abs(s) > 0.5 THEN 'alta' WHEN abs(s) > 0.2 THEN 'media' ELSE 'baja' END AS confidence,
+    coalesce(nullif(concat_ws(' | ',
+      CASE WHEN turnout > 0.97 THEN 'Participación muy alta (' || printf('%.1f', round(turnout * 100, 1)) || '%): inusual en elecciones peruanas.'
+           WHEN turnout < 0.30 THEN 'Participación muy baja (' || printf('%.1f', round(turnout * 100, 1)) || '%): inusual.' END,
+      CASE WHEN null_ratio > 0.2 THEN 'Tasa de nulos alta (' || printf('%.1f', round(null_ratio * 100, 1)) || '%): supera el 20%.' END,
+      CASE WHEN type_d = 1 THEN 'Acta clasificada como PDF generado artificialmente (Tipo D). Riesgo de adulteración.' END,
+      CASE WHEN artificial_score > 60 THEN 'Score artificial alto (' || printf('%.0f', artificial_score) || '/100): posible imagen fabricada.' END,
+      CASE WHEN discrepancy = 1 THEN 'Discrepancia detectada entre datos de la API y el OCR del acta física.' END,
+      CASE WHEN alerts >= 3 THEN 'Múltiples alertas forenses (' || printf('%.0f', alerts) || '): revisión recomendada.' END), ''),
+      CASE WHEN s < 0 THEN 'Combinación estadística inusual (score=' || printf('%.3f', round(s, 3)) || '). Sin factor individual dominante.'
+           ELSE 'Acta dentro de los parámetros estadísticos normales.' END) AS explanation
+  FROM judged
+)
+"""
+
+
+def _given() -> model.OneClassModel:
+    return model.OneClassModel(
+        mean=np.zeros(14), scale=np.array(_SCALE), directions=np.array([[((7 * i + 3 * j) % 11 - 5) / 10 for j in range(4)] for i in range(14)]),
+        offsets=np.arange(4) / 2, weights=np.array([0.1, 0.2, 0.3, 0.4]), rho=0.05, nu=0.05, n=100)
+
+
+@query("m03_score_given", _GIVEN + "SELECT * FROM given", _GIVEN_VIEWS)
+def m03_given(spark, sf):
+    """All sheets scored by a given model."""
+    return model.score(_features(spark, sf), _given()).select(
+        "sheet_id", "station", "contest_id", F.round("score", 6).alias("score"), "is_anomaly", F.round("score_normalized", 6).alias("score_normalized"),
+        "confidence", F.array_join("explanation", " | ").alias("explanation"))
+
+
+@query("m04_fit_summary_given", _GIVEN + """
+SELECT count(*) AS n_samples, count(*) FILTER (is_anomaly) AS n_anomalies, round(count(*) FILTER (is_anomaly) * 100.0 / count(*), 1) AS pct_anomalies FROM given""", _GIVEN_VIEWS)
+def m04_given(spark, sf):
+    return model.fit_summary(model.score(_features(spark, sf), _given()))
+
+
+@query("m05_save_load_given", _GIVEN + "SELECT sheet_id, score, is_anomaly FROM given", _GIVEN_VIEWS)
+def m05_given(spark, sf):
+    """Scores of the given model after it was written and read back."""
+    path = shared_folder(spark, "model")
+    model.save_model(spark, _given(), path)
+    return model.score(_features(spark, sf), model.load_model(spark, path)).select("sheet_id", F.round("score", 6).alias("score"), "is_anomaly")
+
+
+@query("m06_bulk_report_given", _GIVEN + """
+SELECT sheet_id, station, contest_id, score, confidence, explanation, (SELECT count(*) FROM given) AS analysed FROM given WHERE is_anomaly""", _GIVEN_VIEWS)
+def m06_given(spark, sf):
+    r = model.bulk_report(model.score(_features(spark, sf), _given()))
+    return r.withColumn("score", F.round("score", 6))

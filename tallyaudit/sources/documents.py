@@ -12,6 +12,7 @@ MIN_CACHED_BYTES = 1024
 
 
 def read_documents(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
+    """Stored files below ``path`` with their bytes; Spark lists no files without a byte."""
     return (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
             .option("pathGlobFilter", glob).load(path))
 
