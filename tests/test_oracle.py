@@ -7,8 +7,8 @@ from check_oracle import canonical
 
 from .conftest import SF
 
-# Streams and model fits have tests of their own.
-SLOW = ("b05", "b06", "b07", "b08_stream", "m0", "c09", "t10", "t11", "t12", "t05")
+# Streams have tests of their own.
+SLOW = ("b05", "b06", "b07", "b08_stream", "c09", "t10", "t11", "t12", "t05")
 NAMES = sorted(n for n in entry.oracle_sql() if not n.startswith(SLOW))
 
 
