@@ -20,13 +20,24 @@ from pyspark.sql import functions as F
 from .common import SPACES, WORD, cut_lineage, let, words
 
 SYMBOLS = r"[#*$%&|<>]"
-#: Frequent function words of the four languages of the corpus.
-FUNCTION_WORDS = (
+#: Frequent function words of languages in Latin letters.
+FUNCTION_WORDS = list(dict.fromkeys((
     "the of and to in is that for it with as was on are by "
     "de la le et les des en un une du que qui dans pour "
     "der die und das von zu mit den nicht ist im auf "
-    "el los las y por con para una es se del al"
-).split()
+    "el los las y por con para una es se del al "
+    "il che di non per sono della nel anche "
+    "o os as um uma em com mais "
+    "het een van niet dat voor zijn ook "
+    "och att det som av inte till med er ikke og "
+    "i w na z do nie to jest "
+    "ve bir bu da ile için "
+    "ja ei se on oli että "
+    "a az és hogy nem si cu pe este "
+    "yang dan di ini dengan"
+).split()))
+#: Scripts in which those words are written; a text mostly in others gets no vote on function words.
+SCRIPT = r"\p{IsLatin}"
 
 MIN_WORDS = 50
 #: (rule, measure, good up to / from, bad from / up to); between the two limits the rule abstains.
@@ -96,6 +107,7 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
         "_ends": F.size(F.filter("_lines", lambda x: x.rlike(r"[.!?:;…。！？][\"'”»)\]]*\s*$"))),
         "_letters": F.length(F.regexp_replace(t, r"[^\p{L}]+", "")),
         "_capitals": F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")),
+        "_latin": F.length(F.regexp_replace(t, f"[^{SCRIPT}]+", "")),
         "_function": F.size(F.array_intersect(w, F.array(*map(F.lit, FUNCTION_WORDS)))),
     })
     return out.drop("_w", "_lines")
@@ -112,7 +124,7 @@ def votes() -> list[Column]:
         "dup_lines": F.col("n_dup_lines") / n_lines,
         "repeats": F.col("n_repeat_words") / n,
         "capitals": F.col("_capitals") / at_least_one("_letters"),
-        "function_words": F.col("_function").cast("double"),
+        "function_words": F.when(2 * F.col("_latin") >= F.col("_letters"), F.col("_function").cast("double")),
         "letters": F.col("_letters") / chars,
         "sentence_ends": F.when(F.col("_n_lines") >= 3, F.col("_ends") / n_lines),
     }
