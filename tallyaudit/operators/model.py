@@ -1,8 +1,8 @@
 """One-class anomaly model over 14 features per sheet.
 
-The RBF boundary is approximated with random Fourier features. Training is a sequence of distributed
-passes: each ships a few hundred model numbers to the tasks and brings back one vector of the same
-size, so neither the driver nor any task ever holds the data.
+The RBF boundary lives in the span of landmark rows (Nystroem features). Training is a sequence of distributed
+passes: each ships a few hundred model numbers to the tasks and brings back one vector of the same size, so neither
+the driver nor any task ever holds the data. The passes end when the duality gap is small.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ FEATURES = ["party_votes", "blank", "null", "challenged", "emitted", "electors",
 # Defaults of missing inputs.
 DEFAULT_ELECTORS, DEFAULT_TURNOUT, NO_COMPARISON, DEFAULT_SCAN = 300.0, 0.5, 0.5, 50.0
 MIN_ROWS = 5
+#: Raw scores are compared at this many digits: their last bits depend on the batch.
+DIGITS = 12
 
 
 def _clean(c: Column) -> Column:
@@ -90,88 +92,165 @@ def features(sheets: DataFrame, lines: DataFrame, compares: DataFrame | None = N
 
 
 @dataclass
-class OneClassModel:
-    """Scaler, random features and boundary; a few thousand numbers at most."""
+class Boundary:
+    """Scaler and boundary over the numbers that ``lift`` makes of a row; a few thousand numbers at most."""
 
     mean: np.ndarray
     scale: np.ndarray
-    directions: np.ndarray
-    offsets: np.ndarray
     weights: np.ndarray
     rho: float
     nu: float
     n: int
 
     def lift(self, x: np.ndarray) -> np.ndarray:
-        z = ((x - self.mean) / self.scale) @ self.directions + self.offsets
-        return np.sqrt(2.0 / len(self.offsets)) * np.cos(z)
+        raise NotImplementedError
+
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return self.lift(x) @ self.weights
 
     def decision(self, x: np.ndarray) -> np.ndarray:
         """Signed distance on the scale of the dual solution, negative = anomalous."""
-        return (self.lift(x) @ self.weights - self.rho) * (self.nu * self.n)
+        return (self.raw(x) - self.rho) * (self.nu * self.n)
+
+
+@dataclass
+class OneClassModel(Boundary):
+    """Random Fourier features."""
+
+    directions: np.ndarray
+    offsets: np.ndarray
+
+    def lift(self, x: np.ndarray) -> np.ndarray:
+        z = ((x - self.mean) / self.scale) @ self.directions + self.offsets
+        return np.sqrt(2.0 / len(self.offsets)) * np.cos(z)
+
+
+@dataclass
+class LandmarkModel(Boundary):
+    """RBF kernel values to the landmarks (scaled rows); ``gap`` is the relative duality gap that training ended with."""
+
+    landmarks: np.ndarray
+    gamma: float
+    gap: float = np.inf
+
+    def lift(self, x: np.ndarray) -> np.ndarray:
+        return rbf((x - self.mean) / self.scale, self.landmarks, self.gamma)
+
+
+def rbf(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
+    d = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2.0 * (x @ y.T)
+    return np.exp(-gamma * np.maximum(d, 0.0))
 
 
 def _matrix(pdf: pd.DataFrame) -> np.ndarray:
     return pdf[FEATURES].to_numpy(dtype="float64")
 
 
-def fit_one_class(feats: DataFrame, nu: float = 0.05, dims: int = 256, epochs: int = 20,
-                  seed: int = 7) -> OneClassModel:
-    """Conditional-gradient training: every epoch moves the weights towards the mean of the ``nu``
-    share of rows that score lowest. Features are written once to the checkpoint folder first."""
+def fit_one_class(feats: DataFrame, nu: float = 0.05, landmarks: int = 256, epochs: int = 60,
+                  tol: float = 1e-3) -> LandmarkModel:
+    """The boundary with a share ``nu`` of the rows outside, in the span of ``landmarks`` rows.
+
+    Every pass finds the mean of the ``nu`` share of rows that score lowest (an extreme point of the dual's feasible
+    set); the weights become the point of least norm in the hull of the means found so far. That pass also gives the
+    duality gap of the weights before it. Training ends at a gap of ``tol`` times the squared norm, or after ``epochs``
+    passes. The features are written once to the checkpoint folder first.
+    """
     data = cut_lineage(feats.select("sheet_id", *FEATURES))
     row = data.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in FEATURES],
                    *[F.stddev_pop(c).alias(f"s_{c}") for c in FEATURES]).first()
     if row["n"] < MIN_ROWS:
         raise ValueError(f"at least {MIN_ROWS} sheets are needed, got {row['n']}")
     std = np.array([row[f"s_{c}"] for c in FEATURES])
-    varying = int((std > 0).sum())
-    rng = np.random.default_rng(seed)
-    gamma = 1.0 / max(varying, 1)
-    model = OneClassModel(
-        mean=np.array([row[f"m_{c}"] for c in FEATURES]), scale=np.where(std > 0, std, 1.0),
-        directions=rng.normal(0.0, np.sqrt(2.0 * gamma), (len(FEATURES), dims)),
-        offsets=rng.uniform(0.0, 2.0 * np.pi, dims), weights=np.zeros(dims), rho=np.inf, nu=nu, n=row["n"])
-    for t in range(epochs):
-        violators = _violator_mean(data, model)
-        step = 1.0 if t == 0 else 2.0 / (t + 2.0)
-        model.weights = (1.0 - step) * model.weights + step * violators
+    model = LandmarkModel(
+        mean=np.array([row[f"m_{c}"] for c in FEATURES]), scale=np.where(std > 0, std, 1.0), weights=np.zeros(0),
+        rho=0.0, nu=nu, n=row["n"], landmarks=np.zeros((0, len(FEATURES))), gamma=1.0 / max(int((std > 0).sum()), 1))
+    model.landmarks = _landmarks(data, model, landmarks)
+    model.weights = np.zeros(len(model.landmarks))
+    inverse = np.linalg.pinv(rbf(model.landmarks, model.landmarks, model.gamma), rcond=1e-10, hermitian=True)
+    atoms, point = np.zeros((0, len(model.landmarks))), np.zeros(len(model.landmarks))
+    for _ in range(epochs):
+        lowest = _lowest_mean(data, model)
+        norm = point @ model.weights
+        model.gap = float((norm - lowest @ model.weights) / norm) if len(atoms) else np.inf
+        if model.gap <= tol:
+            break
+        atoms = np.vstack([atoms, lowest])
+        point = _least_norm(atoms @ inverse @ atoms.T) @ atoms
+        model.weights = inverse @ point
         model.rho = _quantile(data, model)
     return model
 
 
-def _violator_mean(data: DataFrame, model: OneClassModel) -> np.ndarray:
-    """Mean lifted vector of the rows at or below the boundary, summed per task first."""
+def _landmarks(data: DataFrame, model: LandmarkModel, k: int) -> np.ndarray:
+    """Up to ``k`` scaled rows of a sample of 4 k rows by hash of the key, each the one that those before it explain
+    least (pivoted Cholesky); every different row if there are few."""
+    sample = data.orderBy(F.xxhash64(F.col("sheet_id")), "sheet_id").limit(4 * k).toPandas()
+    x = np.unique((_matrix(sample) - model.mean) / model.scale, axis=0)
+    left, basis, chosen = np.ones(len(x)), np.zeros((len(x), 0)), []
+    while len(chosen) < k and left.max() > 1e-8:
+        i = int(left.argmax())
+        column = (rbf(x, x[i : i + 1], model.gamma)[:, 0] - basis @ basis[i]) / np.sqrt(left[i])
+        basis = np.column_stack([basis, column])
+        left = np.maximum(left - column ** 2, 0.0)
+        left[i] = 0.0
+        chosen.append(i)
+    return x[chosen]
+
+
+def _least_norm(gram: np.ndarray, rounds: int = 20_000, tol: float = 1e-10) -> np.ndarray:
+    """Convex weights of the points with products ``gram`` whose mix has the least norm, by pairwise steps."""
+    c = np.zeros(len(gram))
+    c[int(gram.diagonal().argmin())] = 1.0
+    for _ in range(rounds):
+        slope = gram @ c
+        to, frm = int(slope.argmin()), int(np.where(c > 0, slope, -np.inf).argmax())
+        fall = slope[frm] - slope[to]
+        if fall <= tol * max(c @ slope, 1e-300):
+            break
+        bend = gram[to, to] + gram[frm, frm] - 2.0 * gram[to, frm]
+        step = c[frm] if bend <= 0 else min(c[frm], fall / bend)
+        c[to] += step
+        c[frm] = c[frm] - step if step < c[frm] else 0.0
+    return c
+
+
+def _lowest_mean(data: DataFrame, model: Boundary) -> np.ndarray:
+    """Mean lifted vector of the ``nu`` share of rows that score lowest, summed per task first.
+
+    Rows at the boundary share what the rows below it leave of the share, so no row weighs more than the dual allows.
+    """
     dims = len(model.weights)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, count = np.zeros(dims), 0
+        total = np.zeros((2, dims + 1))
         for pdf in batches:
             z = model.lift(_matrix(pdf))
-            z = z[(z @ model.weights) <= model.rho]
-            total += z.sum(axis=0)
-            count += len(z)
-        yield pd.DataFrame({"j": np.arange(dims + 1), "v": np.append(total, count)})
+            raw = np.round(z @ model.weights, DIGITS)
+            for i, part in enumerate((z[raw < model.rho], z[raw == model.rho])):
+                total[i] += np.append(part.sum(axis=0), len(part))
+        yield pd.DataFrame({"j": np.arange(2 * dims + 2), "v": total.ravel()})
 
     sums = data.mapInPandas(partial, "j int, v double").groupBy("j").agg(F.sum("v").alias("v")).orderBy("j").collect()
-    v = np.array([r["v"] for r in sums])
-    return v[:-1] / max(v[-1], 1.0)
+    below, at = np.array([r["v"] for r in sums]).reshape(2, dims + 1)
+    part = min(1.0, max(0.0, (model.nu * model.n - below[-1]) / at[-1])) if at[-1] else 0.0
+    mixed = below + part * at
+    return mixed[:-1] / mixed[-1]
 
 
-def _quantile(data: DataFrame, model: OneClassModel) -> float:
+def _quantile(data: DataFrame, model: Boundary) -> float:
     scored = with_raw_score(data, model)
     return float(scored.agg(F.percentile_approx("raw", model.nu, 10000).alias("q")).first()["q"])
 
 
-def with_raw_score(data: DataFrame, model: OneClassModel) -> DataFrame:
+def with_raw_score(data: DataFrame, model: Boundary) -> DataFrame:
     @F.pandas_udf("double")
     def raw(*cols: pd.Series) -> pd.Series:
-        return pd.Series(model.lift(np.column_stack(cols)) @ model.weights)
+        return pd.Series(np.round(model.raw(np.column_stack(cols)), DIGITS))
 
     return data.withColumn("raw", raw(*FEATURES))
 
 
-def score(feats: DataFrame, model: OneClassModel) -> DataFrame:
+def score(feats: DataFrame, model: Boundary) -> DataFrame:
     """Decision value, flag, normalised score, confidence and reasons per sheet."""
     @F.pandas_udf("double")
     def decide(*cols: pd.Series) -> pd.Series:
@@ -198,18 +277,22 @@ def bulk_report(scored: DataFrame) -> DataFrame:
         F.array_join("explanation", " | ").alias("explanation")).withColumn("analysed", n).orderBy("score", "sheet_id")
 
 
-_PARTS = ("mean", "scale", "directions", "offsets", "weights")
+_ARRAYS = ("mean", "scale", "weights", "directions", "offsets", "landmarks")
+_NUMBERS = ("rho", "nu", "n", "gamma", "gap")
 
 
-def save_model(spark: SparkSession, model: OneClassModel, path: str) -> None:
+def save_model(spark: SparkSession, model: Boundary, path: str) -> None:
     """Weights and parameters as one small parquet table."""
-    rows = [(name, [float(x) for x in np.ravel(getattr(model, name))]) for name in _PARTS]
-    rows.append(("params", [model.rho, model.nu, float(model.n)]))
+    rows = [(name, [float(x) for x in np.ravel(getattr(model, name))]) for name in _ARRAYS + _NUMBERS if hasattr(model, name)]
     spark.createDataFrame(rows, "name STRING, v ARRAY<DOUBLE>").coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def load_model(spark: SparkSession, path: str) -> OneClassModel:
+def load_model(spark: SparkSession, path: str) -> Boundary:
     parts = {r["name"]: np.array(r["v"]) for r in spark.read.parquet(path).collect()}
-    rho, nu, n = parts.pop("params")
+    parts |= {name: float(parts[name][0]) for name in _NUMBERS if name in parts}
+    parts["n"] = int(parts["n"])
+    if "landmarks" in parts:
+        parts["landmarks"] = parts["landmarks"].reshape(-1, len(FEATURES))
+        return LandmarkModel(**parts)
     parts["directions"] = parts["directions"].reshape(len(FEATURES), -1)
-    return OneClassModel(rho=float(rho), nu=float(nu), n=int(n), **parts)
+    return OneClassModel(**parts)

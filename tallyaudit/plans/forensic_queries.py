@@ -268,7 +268,7 @@ def _scored(spark, sf):
 @query("m02_fit_one_class")
 def m02(spark, sf):
     m = model.fit_one_class(_features(spark, sf))
-    return spark.createDataFrame([(i, float(w)) for i, w in enumerate(m.weights)], "j INT, weight DOUBLE").withColumn("rho", F.lit(m.rho))
+    return spark.createDataFrame([(i, float(w)) for i, w in enumerate(m.weights)], "j INT, weight DOUBLE").withColumns({"rho": F.lit(m.rho), "gap": F.lit(m.gap)})
 
 
 @query("m03_score")
