@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import per_text
 
-PAGES = 240
+PAGES = 480
 FEATURES = 1 << 12
 #: Inline tags do not end a block; void tags have no content; raw and left-out ones hold no text of the page.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr "
@@ -231,9 +231,13 @@ def marginals(unary: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return p, pairs
 
 
-def train(pages: list[tuple[list[Block], list[int]]], epochs: int = 12, rate: float = 0.5, decay: float = 1e-4, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(weights by feature and label, weights of neighbouring labels) by stochastic gradient ascent."""
+def train(pages: list[tuple[list[Block], list[int]]], epochs: int = 8, rate: float = 0.2, decay: float = 1e-4, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(weights by feature and label, weights of neighbouring labels) by stochastic gradient ascent.
+
+    Steps shrink per feature with the gradients it has had, so names that few pages use are learned as well.
+    """
     rng, w, pair = np.random.default_rng(seed), np.zeros((FEATURES, 2)), np.zeros((2, 2))
+    had = np.full((FEATURES, 2), 1e-2)
     data = [([features(b) for b in bs], np.array(ys)) for bs, ys in pages if bs]
     for epoch in range(epochs):
         step = rate / (1 + epoch)
@@ -243,7 +247,8 @@ def train(pages: list[tuple[list[Block], list[int]]], epochs: int = 12, rate: fl
             g = -p
             g[np.arange(len(y)), y] += 1
             for f, d in zip(feats, g):
-                w[f] += step * d / len(f)
+                had[f] += d * d
+                w[f] += rate * d / np.sqrt(had[f])
             seen = np.zeros((2, 2))
             np.add.at(seen, (y[:-1], y[1:]), 1)
             pair += step * (seen - q) / len(y)
@@ -277,26 +282,34 @@ def labelled_pages(n: int = PAGES, seed: int = 11) -> list[tuple[list[Block], li
 
     def other(tag: str | None = None) -> str:
         tag = tag or str(rng.choice(["div", "div", "div", "section", "aside", "ul", "p", "form"]))
+        head = str(rng.choice(["h2", "h3", "h4"]))
         body = {0: lambda: "".join(f"<li>{link()}</li>" for _ in range(rng.integers(2, 8))),
                 1: lambda: f"<p>{words(3, 60)}</p>", 2: lambda: f"{words(2, 30)} {link()}",
-                3: lambda: f"<h3>{words(1, 4)}</h3>" + "".join(f"<p>{words(4, 40)}</p>" for _ in range(rng.integers(1, 4))),
+                3: lambda: f"<{head}>{words(1, 4)}</{head}>" + "".join(f"<p>{words(4, 40)}</p>" for _ in range(rng.integers(1, 4))),
                 4: lambda: f'<label>{words(1, 3)}</label><input type="text">'}[int(rng.integers(5))]()
         name = "" if tag in ("nav", "header", "footer", "aside", "form") and rng.random() < 0.5 else " " + attrs(OTHER_NAMES)
         return f"<{tag}{name}>{body}</{tag}>"
 
     def main() -> str:
-        out = [f"<h1>{words(2, 12, '\x02')}</h1>"]
+        out = [f"<h1>{words(2, 12, '\x02')}</h1>"] if rng.random() < 0.8 else []
+        divs = rng.random() < 0.15  # paragraphs are plain divs
+        part = str(rng.choice(["", "", "section", "div"]))  # parts of the text in elements of their own
         for _ in range(rng.integers(2, 12)):
             kind = rng.random()
+            if part:
+                out.append(f"<{part}>")
             if kind < 0.7:
-                out.append(f"<p>{words(*((1, 7) if rng.random() < 0.4 else (5, 90)), '\x02')}" + (f" <b>{words(1, 3)}</b> {link()}" if rng.random() < 0.2 else "") + ("</p>" if rng.random() < 0.9 else ""))
+                p = "div" if divs else "p"
+                out.append(f"<{p}>{words(*((1, 7) if rng.random() < 0.4 else (5, 90)), '\x02')}" + (f" <b>{words(1, 3)}</b> {link()}" if rng.random() < 0.2 else "") + ("</p>" if not divs and rng.random() < 0.9 else "</div>" * divs))
             elif kind < 0.8:
                 out.append(f"<h2>{words(1, 8, '\x02')}</h2>")
             elif kind < 0.9:
                 out.append("<ul>" + "".join(f"<li>{words(2, 20, '\x02')}</li>" for _ in range(3)) + "</ul>")
             else:
                 out.append(str(rng.choice([f"<blockquote>{words(5, 30, '\x02')}</blockquote>", f"<table><tr><td>{words(1, 5, '\x02')}</td></tr></table>", f"<pre>{words(3, 9, '\x02')}</pre>", f"<figure><figcaption>{words(3, 12, '\x02')}</figcaption></figure>"])))
-            if rng.random() < 0.15:
+            if part:
+                out.append(f"</{part}>")
+            if rng.random() < 0.25:
                 out.append(other())
         if rng.random() < 0.3:
             out.append(other(str(rng.choice(["footer", "aside", "form", "div"]))))
@@ -304,13 +317,17 @@ def labelled_pages(n: int = PAGES, seed: int = 11) -> list[tuple[list[Block], li
 
     pages = []
     for _ in range(n):
-        tag = str(rng.choice(["article", "article", "main", "div", "div"]))
-        body = f"<{tag}{'' if tag != 'div' and rng.random() < 0.6 else ' ' + attrs(MAIN_NAMES)}>{main()}</{tag}>"
-        if rng.random() < 0.3:
-            body = f'<main{"" if rng.random() < 0.5 else " " + attrs(MAIN_NAMES)}>{body}</main>'
+        tag = str(rng.choice(["article", "article", "main", "div", "div", "section"]))
+        body = f"<{tag}{'' if rng.random() < (0.3 if tag == 'div' else 0.6) else ' ' + attrs(MAIN_NAMES)}>{main()}</{tag}>"
+        if rng.random() < 0.4:
+            tag = str(rng.choice(["main", "section", "div"]))
+            body = f'<{tag}{"" if rng.random() < 0.5 else " " + attrs(MAIN_NAMES)}>{body}</{tag}>'
         before = [other(t) for t in rng.choice(["nav", "header", "div", "aside", "section"], rng.integers(1, 5))]
         after = [other(t) for t in rng.choice(["footer", "aside", "div", "section", "form", "p"], rng.integers(1, 5))]
-        bs = blocks("<html><body>" + "".join(before) + body + "".join(after) + "</body></html>")
+        page = "".join(before) + body + "".join(after)
+        for _ in range(rng.integers(0, 3)):
+            page = f"<div>{page}</div>"
+        bs = blocks(f"<html><body>{page}</body></html>")
         pages.append(([(t.replace("\x02", ""), m, s) for t, m, s in bs], [int("\x02" in t) for t, _, _ in bs]))
     return pages
 
