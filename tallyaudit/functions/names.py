@@ -105,6 +105,22 @@ def edit_similarity(a: Column, b: Column, above: float | None = None) -> Column:
     return F.when(F.least(F.length(a), F.length(b)) > longest * above, score).otherwise(0.0)
 
 
+def similarity_table(names: list[str]) -> Column:
+    """Literal map from every name to its edit similarities with all of ``names``, in their order."""
+    def distance(a: str, b: str) -> int:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            left, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+        return row[-1]
+
+    def scores(a: str) -> Column:
+        return F.array(*[F.lit(1.0 - distance(a, b) / max(len(a), len(b))) for b in names])
+
+    return F.create_map(*[c for a in dict.fromkeys(names) for c in (F.lit(a), scores(a))])
+
+
 def best_edit_match(name: Column, parties: list[tuple[int, str]], min_score: float = 0.55) -> Column:
     """Official name with the highest edit similarity above the threshold."""
     scored = F.transform(ballot_array(parties, 3), lambda p: F.struct(

@@ -56,6 +56,11 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def number(c: Column, kind: str = "int") -> Column:
+    """Number of a text of digits. An empty text is no number; it is set aside first, since a failed cast is costly."""
+    return F.nullif(c, F.lit("")).try_cast(kind)
+
+
 def pad_station(c: Column) -> Column:
     """Six-digit station id; longer input is invalid, never truncated."""
     s = strip(c.cast("string"))
@@ -89,7 +94,7 @@ def repair_digits(c: Column) -> Column:
     """Number read from a noisy cell: look-alike letters become digits, >999 is unreadable."""
     s = F.translate(strip(c), "ΟОOIl", "00011")
     digits = F.regexp_replace(s, "[^0-9]", "")
-    n = digits.try_cast("decimal(38,0)")
+    n = number(digits, "decimal(38,0)")
     return (
         F.when(c.isNull() | (c == ""), F.lit(None).cast("int"))
         .when(digits == "", F.lit(0))
@@ -99,7 +104,7 @@ def repair_digits(c: Column) -> Column:
 
 def first_number(c: Column) -> Column:
     """First stand-alone number of one to three digits."""
-    return F.regexp_extract(c, r"(?:^|[^\p{L}\p{N}_])([0-9]{1,3})(?:[^\p{L}\p{N}_]|$)", 1).try_cast("int")
+    return number(F.regexp_extract(c, r"(?:^|[^\p{L}\p{N}_])([0-9]{1,3})(?:[^\p{L}\p{N}_]|$)", 1))
 
 
 def progress_pct(done: Column, total: Column) -> Column:

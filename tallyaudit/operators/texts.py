@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import best_ballot_row, edit_similarity, keyword_hits, let, strip_marks
+from ..functions.names import best_ballot_row, edit_similarity, keyword_hits, let, similarity_table, strip_marks
 from ..functions.text import is_scanned
-from ..functions.values import strip
+from ..functions.values import number, strip
 from ..sources.dims import BALLOT
 
 # Field patterns, primary and alternate, case-insensitive.
@@ -108,9 +108,9 @@ def _put(votes: Column, name: Column, value: Column) -> Column:
 def _row_entry(line: Column, pattern: str) -> Column:
     """(name, votes) of a ``row name votes`` line; the name is NULL when the line is no such row."""
     parts = F.struct(
-        F.regexp_extract(line, pattern, 1).try_cast("int").alias("row"),
+        number(F.regexp_extract(line, pattern, 1)).alias("row"),
         strip(F.regexp_extract(line, pattern, 2)).alias("name"),
-        F.regexp_extract(line, pattern, 3).try_cast("int").alias("votes"))
+        number(F.regexp_extract(line, pattern, 3)).alias("votes"))
     return let(parts, lambda p: F.struct(
         F.when(p["row"].between(1, MAX_ROW) & (p["votes"] <= MAX_VOTES), best_ballot_row(p["name"], p["row"], BALLOT))
         .alias("name"), p["votes"].alias("votes")))
@@ -140,7 +140,7 @@ def fold_fulltext(body: Column, start: Column) -> Column:
     def facts(line: Column) -> Column:
         row = _row_entry(line, FULLTEXT_ROW)
         return F.struct(row["name"].alias("name"), row["votes"].alias("votes"),
-                        F.regexp_extract(line, r"(\d{1,3})\s*$", 1).try_cast("int").alias("tail"),
+                        number(F.regexp_extract(line, r"(\d{1,3})\s*$", 1)).alias("tail"),
                         let(F.upper(line), lambda u: keyword_hits(BALLOT, u)).alias("hits"))
 
     def step(acc: Column, e: Column) -> Column:
@@ -158,7 +158,7 @@ def fold_totals(text: Column, start: Column) -> Column:
     """Totals rows anywhere in the text; the first of each label wins."""
     def step(acc: Column, line: Column) -> Column:
         upper = F.upper(line)
-        tail = F.regexp_extract(line, r"(\d{1,4})\s*$", 1).try_cast("int")
+        tail = number(F.regexp_extract(line, r"(\d{1,4})\s*$", 1))
 
         def open_label(label: str, cond: Column) -> Column:
             return cond & ~F.map_contains_key(acc, F.lit(label))
@@ -179,9 +179,8 @@ def fold_totals(text: Column, start: Column) -> Column:
 def digit_values(body: Column) -> Column:
     """Value per line of the digit column; empty, unreadable and too large lines keep their place."""
     def value(line: Column) -> Column:
-        digits = F.regexp_replace(line, "[^0-9]", "")
-        n = digits.try_cast("decimal(38,0)")
-        return F.when(n <= MAX_CELL, n.cast("int"))
+        n = number(F.regexp_replace(line, "[^0-9]", ""), "decimal(38,0)")
+        return let(n, lambda v: F.when(v <= MAX_CELL, v.cast("int")))
 
     return F.transform(lines_of(body), value)
 
@@ -189,7 +188,7 @@ def digit_values(body: Column) -> Column:
 def party_rows(body: Column) -> Column:
     """(row, name) of the numbered lines of the name column."""
     rows = F.transform(_matching(lines_of(body), PARTY_ROW), lambda x: F.struct(
-        F.regexp_extract(x, PARTY_ROW, 1).try_cast("int").alias("row"),
+        number(F.regexp_extract(x, PARTY_ROW, 1)).alias("row"),
         strip(F.regexp_extract(x, PARTY_ROW, 2)).alias("name")))
     return F.filter(rows, lambda r: r["row"].between(1, MAX_ROW))
 
@@ -291,13 +290,29 @@ def _party_candidates(text: Column) -> Column:
 
 
 def party_next_line_votes(docs: DataFrame, min_score: float = 0.55) -> DataFrame:
-    """Each ballot party's most similar line by edit similarity, and the number printed below it."""
-    base = docs.select("doc_id", _party_candidates(F.col("text")).alias("lines"))
-    ballot = F.array(*[F.lit(p) for _, p in BALLOT if p])
-    best = let(F.col("lines"), lambda lines: F.transform(ballot, lambda p: F.struct(
-        p.alias("party"), F.array_max(F.transform(lines, lambda x: F.struct(
-            edit_similarity(p, x["line"], min_score).alias("score"), (-x["pos"]).alias("rank"),
-            x["next"].alias("next")))).alias("b"))))
+    """Each ballot party's most similar line by edit similarity, and the number printed below it.
+
+    Lines without a number below matter only where one with a number is similar enough, since they may still be more
+    similar. A line that reads as a ballot name has the similarities of that name, which are known beforehand.
+    """
+    parties = [p for _, p in BALLOT if p]
+    known = similarity_table(parties)
+    base = docs.select("doc_id", F.transform(_party_candidates(F.col("text")), lambda x: F.struct(
+        x["pos"].alias("pos"), x["line"].alias("line"), x["next"].alias("next"),
+        F.try_element_at(known, x["line"]).alias("known"))).alias("lines"))
+
+    def measured(lines: Column, p: Column, i: Column) -> Column:
+        return F.transform(lines, lambda x: F.struct(
+            F.coalesce(F.get(x["known"], i), edit_similarity(p, x["line"], min_score)).alias("score"),
+            (-x["pos"]).alias("rank"), x["next"].alias("next")))
+
+    def best_of(numbered: Column, bare: Column) -> Column:
+        return F.transform(F.array(*[F.lit(p) for p in parties]), lambda p, i: F.struct(p.alias("party"), let(
+            F.array_max(measured(numbered, p, i)), lambda b: F.when(
+                b["score"] > min_score, F.array_max(F.concat(F.array(b), measured(bare, p, i))))).alias("b")))
+
+    best = let(F.col("lines"), lambda lines: let(F.filter(lines, lambda x: x["next"].isNotNull()), lambda numbered: F.when(
+        F.size(numbered) > 0, best_of(numbered, F.filter(lines, lambda x: x["next"].isNull())))))
     rows = base.select("doc_id", F.explode_outer(best).alias("r")).select(
         "doc_id", "r.party", F.col("r.b.score").alias("score"), F.col("r.b.next").alias("votes"))
     return rows.where((F.col("score") > min_score) & F.col("votes").isNotNull()).select("doc_id", "party", "votes")
