@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -85,7 +86,10 @@ def keyword_hits(parties: list[tuple[int, str]], line: Column) -> Column:
         found = sum((line.contains(w).cast("int") for w in ws), F.lit(0))
         return F.when(found >= max(1, len(ws) // 2), party)
 
-    return F.array_compact(F.array(*[hit(p) for _, p in parties if any(len(w) >= 4 for w in p.split())]))
+    long_words = dict.fromkeys(w for _, p in parties for w in p.split() if len(w) >= 4)
+    hits = F.array_compact(F.array(*[hit(p) for _, p in parties if any(len(w) >= 4 for w in p.split())]))
+    # Most lines hold no such word at all.
+    return F.when(line.rlike("|".join(re.escape(w) for w in long_words)), hits).otherwise(F.array().cast("array<string>"))
 
 
 def keyword_match(party: Column, line: Column) -> Column:

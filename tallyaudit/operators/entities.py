@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..functions.names import let
 from ..functions.values import first_number, repair_digits, strip
 
 # Entity type to field, numeric fields, names that are not parties.
@@ -40,8 +41,6 @@ NOT_PARTIES = ["TOTAL EMITIDOS", "TOTAL DE VOTOS EMITIDOS", "VOTOS EN BLANCO", "
 PARTY_TYPES = ["voto", "organizacion_politica"]
 PEOPLE_TYPES = ["miembro_mesa", "miembro_de_mesa", "personero"]
 
-FIELDS_TYPE = "map<string,string>"
-
 
 def parse_entities(docs: DataFrame) -> DataFrame:
     """``entities_json`` to an array column ``ents``."""
@@ -69,25 +68,27 @@ def entities_to_fields(docs: DataFrame) -> DataFrame:
             False, strip(F.coalesce(s["texto"], F.lit(""))) != ""))
 
     def items(e: Column) -> Column:
-        kind, text = strip(F.coalesce(e["tipo"], F.lit(""))), _text(e)
-        std = F.coalesce(F.try_element_at(alias, kind), kind)
+        kind, text, std = e["kind"], e["text"], e["std"]
         value = F.when(std.isin(NUMERIC), repair_digits(text).cast("string")).otherwise(text)
         simple = F.concat(F.array(item(std, value, False, text != ""),
-                                  item(kind, text, False, (text != "") & (kind != std))), subs(kind, e))
-        people = F.concat(subs(kind, e), F.array(item(kind, text, True, text != "")))
-        none = F.filter(simple, lambda _: F.lit(False))
-        return (F.when(kind.isin(PARTY_TYPES) | kind.isin(IGNORED), none)
-                .when(kind.isin(PEOPLE_TYPES), people).otherwise(simple))
-
-    def step(acc: Column, it: Column) -> Column:
-        known = F.map_contains_key(acc, it["k"])
-        rest = F.map_filter(acc, lambda k, _: k != it["k"])
-        return F.when(known & ~it["replace"], acc).otherwise(
-            F.map_concat(rest, F.create_map(it["k"], it["v"])).cast(FIELDS_TYPE))
-
-    flat = F.array_compact(F.flatten(F.transform("ents", items)))
-    fields = F.aggregate(flat, F.create_map().cast(FIELDS_TYPE), step)
-    return docs.select("doc_id", F.explode_outer(fields).alias("field", "value")).where("field IS NOT NULL")
+                                  item(kind, text, False, (text != "") & (kind != std))), subs(kind, e["e"]))
+        people = F.concat(subs(kind, e["e"]), F.array(item(kind, text, True, text != "")))
+        return F.when(kind.isin(PEOPLE_TYPES), people).otherwise(simple)
+
+    def winner(all_items: Column, key: Column) -> Column:
+        """The last item that replaces, else the first."""
+        return let(F.filter(all_items, lambda it: it["k"] == key), lambda own: let(
+            F.filter(own, lambda it: it["replace"]), lambda late: F.struct(key.alias("field"), F.when(
+                F.size(late) > 0, F.try_element_at(late, F.lit(-1))["v"]).otherwise(F.get(own, F.lit(0))["v"]).alias("value"))))
+
+    kinds = F.filter(F.transform("ents", lambda e: F.struct(
+        strip(F.coalesce(e["tipo"], F.lit(""))).alias("kind"), e.alias("e"))), lambda s: ~s["kind"].isin(PARTY_TYPES + IGNORED))
+    read = F.transform(kinds, lambda s: F.struct(
+        s["kind"].alias("kind"), _text(s["e"]).alias("text"), F.coalesce(F.try_element_at(alias, s["kind"]), s["kind"]).alias("std"), s["e"].alias("e")))
+    flat = F.array_compact(F.flatten(F.transform(read, items)))
+    fields = let(flat, lambda found: F.transform(F.array_distinct(F.transform(found, lambda it: it["k"])), lambda key: winner(found, key)))
+    # The outer form keeps the optimizer from repeating the rules in an inferred ``size > 0`` filter.
+    return docs.select("doc_id", F.explode_outer(fields).alias("f")).where("f.field IS NOT NULL").select("doc_id", "f.field", "f.value")
 
 
 def entities_to_votes(docs: DataFrame) -> DataFrame:

@@ -139,9 +139,9 @@ def fold_fulltext(body: Column, start: Column) -> Column:
     """
     def facts(line: Column) -> Column:
         row = _row_entry(line, FULLTEXT_ROW)
-        return F.struct(row["name"].alias("name"), row["votes"].alias("votes"),
-                        number(F.regexp_extract(line, r"(\d{1,3})\s*$", 1)).alias("tail"),
-                        let(F.upper(line), lambda u: keyword_hits(BALLOT, u)).alias("hits"))
+        return let(row, lambda r: F.struct(
+            r["name"].alias("name"), r["votes"].alias("votes"), number(F.regexp_extract(line, r"(\d{1,3})\s*$", 1)).alias("tail"),
+            let(F.upper(line), lambda u: keyword_hits(BALLOT, u)).alias("hits")))
 
     def step(acc: Column, e: Column) -> Column:
         def second(votes: Column) -> Column:
