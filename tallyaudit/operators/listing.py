@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import cut_lineage, shared_folder
 from .history import reader_family
 
 FILTERS = ("todos", "con_pdf", "con_ocr", "con_anomalia", "con_discrepancia", "sin_procesar")
@@ -85,15 +85,22 @@ def sort_sheets(listing: DataFrame, mode: str = "mesa") -> DataFrame:
     return listing.orderBy(*sort_columns(mode))
 
 
+#: Parts of a page index: fewer than this, or one per so many rows.
+MAX_PARTS, ROWS_OF_A_PART = 256, 1_000_000
+
+
 def write_page_index(listing: DataFrame, path: str, mode: str = "mesa", rows_per_part: int = 100_000) -> None:
     """Write the list in the order of ``mode`` for :func:`read_page`, as parts of consecutive rows.
 
     The list is range-partitioned by the sort key, every part sorted on its own; a row keeps its place in its part. A
     summary of one row per part holds how many rows the parts before it have, so any place in the order is found
-    without sorting or passing over the rows ahead of it.
+    without sorting or passing over the rows ahead of it. Parts hold more than ``rows_per_part`` rows where there would be
+    more than MAX_PARTS, since every part is a task and a sample of its bounds on the driver; of a large part a page
+    reads the row groups that hold it, as places ascend in the file.
     """
     spark = listing.sparkSession
-    parts = max(1, -(-listing.count() // rows_per_part))
+    n = listing.count()
+    parts = max(1, min(-(-n // rows_per_part), MAX_PARTS), -(-n // ROWS_OF_A_PART))
     order = sort_columns(mode)
     # A sorted partition numbers its rows one after another in the lower 33 bits.
     number = F.monotonically_increasing_id()
@@ -194,14 +201,22 @@ def _grams(text: Column) -> Column:
         F.sequence(F.lit(1), F.length(low) - GRAM + 1), lambda i: low.substr(i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
 
 
+#: Rows whose trigrams one task sorts.
+ROWS_OF_A_SHARE = 200_000
+
+
 def write_gram_index(rows: DataFrame, path: str, key: str, cols: list[str], buckets: int = 64) -> None:
     """Postings of the trigrams of ``cols`` for :func:`search_grams`, laid out by a hash of the trigram.
 
     Of a trigram that very many rows hold, the postings are spread over its files like any other; a search reads the
-    folders of its own trigrams only.
+    folders of its own trigrams only. The rows are dealt out in shares of a fixed size beforehand, so what a task sorts
+    does not grow with the table.
     """
+    narrow = cut_lineage(rows.select(key, *cols))
+    shares = max(1, -(-narrow.count() // ROWS_OF_A_SHARE))
+    rows = narrow.repartition(shares, F.xxhash64(key, *cols))
     grams = F.array_distinct(F.flatten(F.array(*[_grams(F.coalesce(F.col(c), F.lit(""))) for c in cols])))
-    postings = rows.select(F.explode(grams).alias("gram"), F.col(key)).distinct().withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
+    postings = rows.select(F.explode(grams).alias("gram"), F.col(key)).withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
     # Rows of one folder come from many tasks, so a frequent trigram is not one task's work.
     postings.sortWithinPartitions("part", "gram").write.partitionBy("part").parquet(path)
 
@@ -222,5 +237,5 @@ def search_grams(rows: DataFrame, path: str, key: str, cols: list[str], pattern:
         return rows.where(holds)
     found = spark.read.schema(f"gram STRING, {key} {rows.schema[key].dataType.simpleString()}, part INT").parquet(path).where(
         F.col("part").isin([r["part"] for r in asked]) & F.col("gram").isin([r["gram"] for r in asked]))
-    hits = found.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") == len(asked)).select(key)
+    hits = found.groupBy(key).agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(asked)).select(key)
     return rows.join(hits, key, "left_semi").where(holds)

@@ -38,3 +38,24 @@ def test_a_page_reads_few_parts(spark, tmp_path):
 def test_small_lists(spark, n):
     out = listing.page(sheets(spark, n), 1, 10).collect()
     assert len(out) == n and all((r["total"], r["pages"]) == (1, 1) for r in out)
+
+
+def test_parts_of_a_long_list_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(listing, "MAX_PARTS", 12)
+    rows = sheets(spark, 300)
+    listing.write_page_index(rows, str(tmp_path), "mesa", rows_per_part=5)
+    assert spark.read.parquet(f"{tmp_path}/parts").count() <= 12
+    pages = [listing.read_page(spark, str(tmp_path), i, 70).collect() for i in range(1, 6)]
+    assert [r["sheet_id"] for p in pages for r in p] == [r["sheet_id"] for r in listing.sort_sheets(rows, "mesa").collect()]
+
+
+def test_trigrams_are_written_in_shares(spark, tmp_path, monkeypatch):
+    """Rows of one key with different texts count every trigram once, whichever share they are in."""
+    monkeypatch.setattr(listing, "ROWS_OF_A_SHARE", 40)
+    rows = spark.range(200).select((F.col("id") % 90).alias("k"), F.concat(F.lit("ab"), (F.col("id") % 7).cast("string"), F.lit("cab")).alias("a"),
+                                   F.when(F.col("id") % 3 > 0, F.lit("ABAB")).alias("b"))
+    listing.write_gram_index(rows, str(tmp_path / "grams"), "k", ["a", "b"], 2)
+    assert len(list(tmp_path.glob("grams/part=0/*.parquet"))) + len(list(tmp_path.glob("grams/part=1/*.parquet"))) > 4
+    for pattern in ("ab3c", "BAB", "abab", "zzz", "3"):
+        want = [tuple(r) for r in rows.collect() if pattern.lower() in r["a"].lower() or pattern.lower() in (r["b"] or "").lower()]
+        assert sorted(map(str, (tuple(r) for r in listing.search_grams(rows, str(tmp_path / "grams"), "k", ["a", "b"], pattern, 2).collect()))) == sorted(map(str, want))
