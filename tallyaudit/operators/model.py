@@ -138,8 +138,13 @@ class LandmarkModel(Boundary):
 
 
 def rbf(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
-    d = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2.0 * (x @ y.T)
-    return np.exp(-gamma * np.maximum(d, 0.0))
+    d = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)
+    products = x @ y.T
+    products *= 2.0
+    d -= products
+    np.maximum(d, 0.0, out=d)
+    d *= -gamma
+    return np.exp(d, out=d)
 
 
 def _matrix(pdf: pd.DataFrame) -> np.ndarray:
@@ -270,11 +275,12 @@ def fit_summary(scored: DataFrame) -> DataFrame:
 
 
 def bulk_report(scored: DataFrame) -> DataFrame:
-    """Anomalous sheets, lowest score first, next to the number analysed."""
+    """Anomalous sheets, lowest score first, next to the number analysed. They are written before they are sorted, since
+    finding the bounds of a sort would score every sheet once more."""
     n = scored.agg(F.count("*")).scalar()
-    return scored.where("is_anomaly").select(
-        "sheet_id", "station", "contest_id", "score", "confidence",
-        F.array_join("explanation", " | ").alias("explanation")).withColumn("analysed", n).orderBy("score", "sheet_id")
+    found = cut_lineage(scored.where("is_anomaly").select(
+        "sheet_id", "station", "contest_id", "score", "confidence", F.array_join("explanation", " | ").alias("explanation")))
+    return found.withColumn("analysed", n).orderBy("score", "sheet_id")
 
 
 _ARRAYS = ("mean", "scale", "weights", "directions", "offsets", "landmarks")
