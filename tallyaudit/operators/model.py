@@ -29,6 +29,11 @@ DEFAULT_ELECTORS, DEFAULT_TURNOUT, NO_COMPARISON, DEFAULT_SCAN = 300.0, 0.5, 0.5
 MIN_ROWS = 5
 #: Raw scores are compared at this many digits: their last bits depend on the batch.
 DIGITS = 12
+#: Rows lifted at a time, so that their lifted vectors stay in the processor's cache. A product's last bits depend on a
+#: row's place modulo four, so blocks are a multiple of it and the last one has four rows at least.
+BLOCK = 256
+#: Rows of the sample that bounds the quantile of a table with more than so many rows.
+BOUNDED_FROM, SAMPLE = 200_000, 16_384
 
 
 def _clean(c: Column) -> Column:
@@ -105,8 +110,15 @@ class Boundary:
     def lift(self, x: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
+    def lifted(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Lifted vectors and raw scores of the rows in order, block by block."""
+        edges = [*range(0, max(len(x) - 3, 1), BLOCK), len(x)]
+        for start, end in zip(edges, edges[1:]):
+            z = self.lift(x[start:end])
+            yield z, z @ self.weights
+
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return self.lift(x) @ self.weights
+        return np.concatenate([raw for _, raw in self.lifted(x)])
 
     def decision(self, x: np.ndarray) -> np.ndarray:
         """Signed distance on the scale of the dual solution, negative = anomalous."""
@@ -152,15 +164,18 @@ def _matrix(pdf: pd.DataFrame) -> np.ndarray:
 
 
 def fit_one_class(feats: DataFrame, nu: float = 0.05, landmarks: int = 256, epochs: int = 60,
-                  tol: float = 1e-3) -> LandmarkModel:
+                  tol: float = 1e-3, written: bool = False) -> LandmarkModel:
     """The boundary with a share ``nu`` of the rows outside, in the span of ``landmarks`` rows.
 
     Every pass finds the mean of the ``nu`` share of rows that score lowest (an extreme point of the dual's feasible
-    set); the weights become the point of least norm in the hull of the means found so far. That pass also gives the
+    set); the weights become the point of least norm in the hull of the means found so far. The mean also gives the
     duality gap of the weights before it. Training ends at a gap of ``tol`` times the squared norm, or after ``epochs``
-    passes. The features are written once to the checkpoint folder first.
+    passes. A large table is lifted once per pass: the few rows near the boundary, within bounds that a sample gives, are
+    written and looked at again, the rows below them only summed (:func:`_near_boundary`). The features are written once to the checkpoint folder first, unless ``written`` says that ``feats`` is a
+    table already.
     """
-    data = cut_lineage(feats.select("sheet_id", *FEATURES))
+    data = feats.select("sheet_id", *FEATURES)
+    data = data if written else cut_lineage(data)
     row = data.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in FEATURES],
                    *[F.stddev_pop(c).alias(f"s_{c}") for c in FEATURES]).first()
     if row["n"] < MIN_ROWS:
@@ -172,9 +187,11 @@ def fit_one_class(feats: DataFrame, nu: float = 0.05, landmarks: int = 256, epoc
     model.landmarks = _landmarks(data, model, landmarks)
     model.weights = np.zeros(len(model.landmarks))
     inverse = np.linalg.pinv(rbf(model.landmarks, model.landmarks, model.gamma), rcond=1e-10, hermitian=True)
+    sample = _matrix(_sample(data, model.n)) if model.n > BOUNDED_FROM else None
     atoms, point = np.zeros((0, len(model.landmarks))), np.zeros(len(model.landmarks))
+    rows, below = data, np.zeros(len(model.landmarks) + 1)
     for _ in range(epochs):
-        lowest = _lowest_mean(data, model)
+        lowest = _lowest_mean(rows, model, below)
         norm = point @ model.weights
         model.gap = float((norm - lowest @ model.weights) / norm) if len(atoms) else np.inf
         if model.gap <= tol:
@@ -182,10 +199,49 @@ def fit_one_class(feats: DataFrame, nu: float = 0.05, landmarks: int = 256, epoc
         atoms = np.vstack([atoms, lowest])
         point = _least_norm(atoms @ inverse @ atoms.T) @ atoms
         model.weights = inverse @ point
-        model.rho = _quantile(data, model)
+        rows, below, share = _near_boundary(data, model, sample)
+        model.rho = _quantile(rows, model, share)
     return model
 
 
+def _sample(data: DataFrame, n: int) -> pd.DataFrame:
+    """About SAMPLE rows by hash of the key; few or many of them only make the bounds worse, not the result."""
+    hashed = data.where(F.pmod(F.xxhash64(F.col("sheet_id")), F.lit(max(1, n // SAMPLE))) == 0)
+    return hashed.select(*FEATURES).limit(2 * SAMPLE).toPandas()
+
+
+def _near_boundary(data: DataFrame, model: Boundary, sample: np.ndarray | None) -> tuple[DataFrame, np.ndarray, float]:
+    """Rows among which the ``nu`` quantile of all raw scores lies, the summed lifted vectors and number of the rows that score
+    lower, and the share of the former that scores up to it. All rows, where there is no sample or its bounds miss."""
+    dims = len(model.weights)
+    whole = data, np.zeros(dims + 1), model.nu
+    if sample is None or not len(sample):
+        return whole
+    # Five standard deviations of a sample's rank on either side.
+    reach = 5.0 * np.sqrt(model.nu * (1.0 - model.nu) / len(sample))
+    low, high = np.quantile(model.raw(sample), np.clip([model.nu - reach, model.nu + reach], 0.0, 1.0))
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(dims + 1)
+        for pdf in batches:
+            x, raws = _matrix(pdf), []
+            for z, raw in model.lifted(x):
+                raws.append(np.round(raw, DIGITS))
+                part = z[raws[-1] < low]
+                total += np.append(part.sum(axis=0), len(part))
+            raw = np.concatenate(raws)
+            yield pd.DataFrame(x[(raw >= low) & (raw <= high)], columns=FEATURES).assign(j=-1, v=np.nan)
+        yield pd.DataFrame({"j": np.arange(dims + 1), "v": total}).assign(**dict.fromkeys(FEATURES, np.nan))
+
+    found = cut_lineage(data.mapInPandas(split, ", ".join(f"`{c}` double" for c in FEATURES) + ", j int, v double"))
+    rows = found.where("j = -1").select(*FEATURES)
+    sums = found.groupBy("j").agg(F.when(F.col("j") < 0, F.count("*")).otherwise(F.sum("v")).alias("v")).collect()
+    sums = {r["j"]: r["v"] for r in sums}
+    below = np.array([sums[j] for j in range(dims + 1)])
+    share = (model.nu * model.n - below[-1]) / sums.get(-1, np.inf)
+    return (rows, below, float(share)) if 0.0 < share <= 1.0 else whole
+
+
 def _landmarks(data: DataFrame, model: LandmarkModel, k: int) -> np.ndarray:
     """Up to ``k`` scaled rows of a sample of 4 k rows by hash of the key, each the one that those before it explain
     least (pivoted Cholesky); every different row if there are few."""
@@ -219,8 +275,9 @@ def _least_norm(gram: np.ndarray, rounds: int = 20_000, tol: float = 1e-10) -> n
     return c
 
 
-def _lowest_mean(data: DataFrame, model: Boundary) -> np.ndarray:
-    """Mean lifted vector of the ``nu`` share of rows that score lowest, summed per task first.
+def _lowest_mean(data: DataFrame, model: Boundary, lower: np.ndarray) -> np.ndarray:
+    """Mean lifted vector of the ``nu`` share of rows that score lowest, summed per task first. ``lower`` is the sum and number of
+    the rows that score lower than any of ``data``.
 
     Rows at the boundary share what the rows below it leave of the share, so no row weighs more than the dual allows.
     """
@@ -229,22 +286,27 @@ def _lowest_mean(data: DataFrame, model: Boundary) -> np.ndarray:
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((2, dims + 1))
         for pdf in batches:
-            z = model.lift(_matrix(pdf))
-            raw = np.round(z @ model.weights, DIGITS)
-            for i, part in enumerate((z[raw < model.rho], z[raw == model.rho])):
+            found = [], []
+            for z, raw in model.lifted(_matrix(pdf)):
+                raw = np.round(raw, DIGITS)
+                found[0].append(z[raw < model.rho])
+                found[1].append(z[raw == model.rho])
+            for i, parts in enumerate(found):
+                part = np.concatenate(parts)
                 total[i] += np.append(part.sum(axis=0), len(part))
         yield pd.DataFrame({"j": np.arange(2 * dims + 2), "v": total.ravel()})
 
-    sums = data.mapInPandas(partial, "j int, v double").groupBy("j").agg(F.sum("v").alias("v")).orderBy("j").collect()
-    below, at = np.array([r["v"] for r in sums]).reshape(2, dims + 1)
+    sums = data.mapInPandas(partial, "j int, v double").groupBy("j").agg(F.sum("v").alias("v")).collect()
+    below, at = np.array([r["v"] for r in sorted(sums, key=lambda r: r["j"])]).reshape(2, dims + 1)
+    below = below + lower
     part = min(1.0, max(0.0, (model.nu * model.n - below[-1]) / at[-1])) if at[-1] else 0.0
     mixed = below + part * at
     return mixed[:-1] / mixed[-1]
 
 
-def _quantile(data: DataFrame, model: Boundary) -> float:
+def _quantile(data: DataFrame, model: Boundary, share: float) -> float:
     scored = with_raw_score(data, model)
-    return float(scored.agg(F.percentile_approx("raw", model.nu, 10000).alias("q")).first()["q"])
+    return float(scored.agg(F.percentile_approx("raw", share, 10000).alias("q")).first()["q"])
 
 
 def with_raw_score(data: DataFrame, model: Boundary) -> DataFrame:

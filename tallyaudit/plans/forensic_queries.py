@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import forensics, model
-from ..session import shared_folder
+from ..session import cut_lineage, shared_folder
 from ..sources import tables as t
 from .catalog import query
 from .source_queries import _FILE
@@ -261,8 +261,9 @@ for _compat in (False, True):
 
 
 def _scored(spark, sf):
-    f = _features(spark, sf)
-    return model.score(f, model.fit_one_class(f))
+    """The features are written once, for the fit's passes and for the scores."""
+    f = cut_lineage(_features(spark, sf))
+    return model.score(f, model.fit_one_class(f, written=True))
 
 
 @query("m02_fit_one_class")
@@ -283,9 +284,9 @@ def m04(spark, sf):
 
 @query("m05_save_load")
 def m05(spark, sf):
-    f = _features(spark, sf)
+    f = cut_lineage(_features(spark, sf))
     path = shared_folder(spark, "model")
-    model.save_model(spark, model.fit_one_class(f), path)
+    model.save_model(spark, model.fit_one_class(f, written=True), path)
     return model.score(f, model.load_model(spark, path)).select("sheet_id", "score", "is_anomaly")
 
 

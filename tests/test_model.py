@@ -61,3 +61,34 @@ def test_landmark_model_is_saved(spark, tmp_path):
     model.save_model(spark, m, str(tmp_path / "m"))
     again = model.load_model(spark, str(tmp_path / "m"))
     assert np.array_equal(again.decision(x), m.decision(x)) and (again.gap, again.n) == (m.gap, m.n)
+
+
+def test_rows_near_the_boundary_give_the_same_fit(spark, monkeypatch):
+    """A large table is lifted once per pass: bounds by a sample split off the rows that need a second look."""
+    x = rows(3000)
+    table = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], ["sheet_id", *model.FEATURES]).coalesce(2)
+    whole = model.fit_one_class(table, nu=NU, landmarks=40)
+    monkeypatch.setattr(model, "BOUNDED_FROM", 100)
+    monkeypatch.setattr(model, "SAMPLE", 1500)
+    seen, near = [], model._near_boundary
+
+    def watched(data, m, sample):
+        found = near(data, m, sample)
+        seen.append(found[0].count() if found[0] is not data else len(x))
+        return found
+
+    monkeypatch.setattr(model, "_near_boundary", watched)
+    bounded = model.fit_one_class(table, nu=NU, landmarks=40)
+    assert min(seen) < len(x) / 3 and bounded.gap <= 1e-3
+    assert np.isclose(bounded.rho, whole.rho, rtol=1e-6) and np.allclose(bounded.raw(x), whole.raw(x), rtol=1e-5)
+    near_rows, below, share = near(table, bounded, x[:400] - 1000.0)  # a sample that tells nothing: all rows
+    assert near_rows is table and not below.any() and share == NU
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 255, 256, 257, 259, 1027])
+def test_blocks_of_rows_score_like_the_whole(n):
+    rng = np.random.default_rng(n)
+    m = model.LandmarkModel(mean=np.zeros(14), scale=np.ones(14), weights=rng.normal(size=60), rho=0.0, nu=NU, n=n, landmarks=rng.normal(size=(60, 14)), gamma=0.1)
+    x = rng.normal(size=(n, 14))
+    assert np.allclose(m.raw(x), m.lift(x) @ m.weights, rtol=1e-12, atol=1e-12)
+    assert all(len(z) <= 2 * model.BLOCK for z, _ in m.lifted(x)) and sum(len(z) for z, _ in m.lifted(x)) == n
