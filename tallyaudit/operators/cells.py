@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # Ink and confidence limits, minimum counts and shares.
 FAINT_INK = 145
 DARK_INK = 120
@@ -19,9 +21,19 @@ MAX_VALUE = 999
 
 CELLS = ("d0", "d1", "d2")
 
+#: Cells that one task groups, about.
+CELLS_OF_A_PART = 500_000
+
 
 def wide_cells(cells: DataFrame) -> DataFrame:
-    """One row per (sheet, ballot row): three digits, confidences and ink levels."""
+    """One row per (sheet, ballot row): three digits, confidences and ink levels.
+
+    The cells are written and dealt out by form into parts of a bounded number of cells, as their narrow rows take many
+    times their shuffled size in a task's hash tables. Whatever groups by form later finds its rows in one part.
+    """
+    cells = cut_lineage(cells.select("sheet_id", "row_idx", "pos", "digit", "conf", "min_ink"))
+    cells = cells.repartition(max(1, -(-cells.count() // CELLS_OF_A_PART)), "sheet_id")
+
     def at(pos: int, col: str) -> Column:
         return F.max(F.when(F.col("pos") == pos, F.col(col)))
 
