@@ -11,16 +11,21 @@ from ..session import use_utc
 # code wins, so the state times of its sheets lie at the end of the log.
 TEST_DAYS = (1706486400, 1706572800, 1706659200)
 
+#: Vote lines that one task groups, about, where they are dealt out by sheet.
+LINES_OF_A_PART = 150_000
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     use_utc(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def v_line(spark: SparkSession, sf: str) -> DataFrame:
+def v_line(spark: SparkSession, sf: str, dealt: bool = False) -> DataFrame:
     """Vote lines, one row per (sheet, code); codes of 80 and above are the special rows.
 
-    Only numbers are aggregated, so the aggregate stays hash-based; the name follows from the code.
+    Only numbers are aggregated, so the aggregate stays hash-based; the name follows from the code. ``dealt`` deals the
+    lines out by sheet into parts of a bounded number of lines first: narrow rows take many times their shuffled size in
+    a task's hash tables, and whatever groups or joins by sheet later finds its rows in one part.
     """
     special = {5: (90, "VOTOS IMPUGNADOS"), 6: (80, "VOTOS EN BLANCO"), 7: (81, "VOTOS NULOS")}
     code = "CAST(l_suppkey % 25 AS INT) + 1"
@@ -28,9 +33,11 @@ def v_line(spark: SparkSession, sf: str) -> DataFrame:
     for number, (special_code, special_name) in special.items():
         code = f"CASE WHEN l_linenumber = {number} THEN {special_code} ELSE {code} END"
         name = f"CASE WHEN code = {special_code} THEN '{special_name}' ELSE {name} END"
+    lines = table(spark, sf, "lineitem").selectExpr("l_orderkey AS sheet_id", f"{code} AS code", "CAST(l_quantity AS INT) AS votes")
+    if dealt:
+        lines = lines.repartition(max(1, -(-lines.count() // LINES_OF_A_PART)), "sheet_id")
     return (
-        table(spark, sf, "lineitem")
-        .selectExpr("l_orderkey AS sheet_id", f"{code} AS code", "CAST(l_quantity AS INT) AS votes")
+        lines
         .groupBy("sheet_id", "code").agg(F.sum("votes").alias("votes"))
         .selectExpr("sheet_id", "code", f"{name} AS name", "votes")
     )
@@ -44,9 +51,9 @@ def _envelope(spark: SparkSession, sf: str) -> DataFrame:
         "o_orderpriority AS contest", "o_orderstatus AS state", "o_orderdate AS captured_at")
 
 
-def v_sheet(spark: SparkSession, sf: str) -> DataFrame:
-    """Sheets with declared totals and deterministic faults."""
-    totals = v_line(spark, sf).groupBy("sheet_id").agg(
+def v_sheet(spark: SparkSession, sf: str, dealt: bool = False) -> DataFrame:
+    """Sheets with declared totals and deterministic faults; ``dealt`` as for the lines."""
+    totals = v_line(spark, sf, dealt).groupBy("sheet_id").agg(
         F.sum("votes").alias("s_all"),
         F.sum(F.when(F.col("code") < 80, F.col("votes")).otherwise(0)).alias("s_party"))
     sheets = _envelope(spark, sf).join(totals, "sheet_id").selectExpr(
@@ -229,7 +236,7 @@ def v_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 def v_list_sheet(spark: SparkSession, sf: str) -> DataFrame:
     """Sheets as the list shows them: with a document path and a capture time as text."""
-    return v_sheet(spark, sf).selectExpr(
+    return v_sheet(spark, sf, dealt=True).selectExpr(
         "*", "CASE sheet_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('/p/', sheet_id) END AS pdf_path",
         """CASE WHEN sheet_id % 11 = 0 THEN NULL
            ELSE date_format(captured_at, 'yyyy-MM-dd HH:mm:ss') END AS captured_text""")

@@ -59,3 +59,32 @@ def test_trigrams_are_written_in_shares(spark, tmp_path, monkeypatch):
     for pattern in ("ab3c", "BAB", "abab", "zzz", "3"):
         want = [tuple(r) for r in rows.collect() if pattern.lower() in r["a"].lower() or pattern.lower() in (r["b"] or "").lower()]
         assert sorted(map(str, (tuple(r) for r in listing.search_grams(rows, str(tmp_path / "grams"), "k", ["a", "b"], pattern, 2).collect()))) == sorted(map(str, want))
+
+
+def test_the_list_is_computed_once(spark, tmp_path):
+    """The index counts, samples and sorts a written copy of the list."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = sheets(spark, 400)
+    listing.write_page_index(rows.mapInPandas(watched, rows.schema), str(tmp_path), "tipo", rows_per_part=50)
+    assert seen.value == 400
+    assert listing.read_page(spark, str(tmp_path), 1, 400).count() == 400
+
+
+def test_sheets_of_the_list_are_dealt_in_bounded_parts(spark, tmp_path, monkeypatch):
+    from tallyaudit.sources import tables
+
+    spark.range(900).selectExpr(
+        "id % 70 AS l_orderkey", "id % 9 AS l_suppkey", "CAST(id % 7 + 1 AS INT) AS l_linenumber", "CAST(id % 50 AS DOUBLE) AS l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(70).selectExpr(
+        "id AS o_orderkey", "id % 12 AS o_custkey", "'1-URGENT' AS o_orderpriority", "'F' AS o_orderstatus", "DATE'2024-01-02' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    plain = sorted(map(tuple, tables.v_sheet(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(tables, "LINES_OF_A_PART", 100)
+    dealt = tables.v_list_sheet(spark, str(tmp_path)).drop("pdf_path", "captured_text")
+    assert tables.v_line(spark, str(tmp_path), dealt=True).rdd.getNumPartitions() == 9
+    assert sorted(map(tuple, dealt.collect())) == plain and len(plain) == 70
