@@ -99,6 +99,8 @@ def write_page_index(listing: DataFrame, path: str, mode: str = "mesa", rows_per
     reads the row groups that hold it, as places ascend in the file.
     """
     spark = listing.sparkSession
+    # Counted, sampled and sorted from a table, so that its joins run, and broadcast, once.
+    listing = cut_lineage(listing)
     n = listing.count()
     parts = max(1, min(-(-n // rows_per_part), MAX_PARTS), -(-n // ROWS_OF_A_PART))
     order = sort_columns(mode)
